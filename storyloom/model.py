@@ -25,6 +25,10 @@ TABLES = (
 
 ITEM_KINDS = ("paper", "article", "model", "repo", "discussion", "post", "video")
 
+# Twelve consecutive items lie within a day of each other; the groups are spread
+# over the corpus days at any scale.
+SPREAD = f"(CAST(floor(d.doc_id / 12) AS BIGINT) * 2654437 + (d.doc_id % 12) * 7919) % {CORPUS_DAYS * 86400}"
+
 RELATIONS: dict[str, str] = {}
 
 RELATIONS["items"] = f"""
@@ -46,9 +50,9 @@ SELECT d.doc_id AS item_id, d.source AS source, 'doc-' || CAST(d.doc_id AS STRIN
        CASE WHEN d.doc_id % 7 = 3 THEN d.text ELSE NULL END AS body,
        CASE WHEN d.doc_id % 4 = 0 THEN 'https://img.example.net/' || CAST(d.doc_id AS STRING) || '.jpg' ELSE NULL END AS media_url,
        CASE WHEN d.doc_id % 6 = 0 THEN NULL ELSE 'author-' || CAST(d.doc_id % 40 AS STRING) END AS author,
-       CASE WHEN d.doc_id % 11 = 0 THEN NULL ELSE {EPOCH_START} + (d.doc_id * 7919) % {CORPUS_DAYS * 86400} END AS published_s,
-       {EPOCH_START} + (d.doc_id * 7919) % {CORPUS_DAYS * 86400} + 900 AS fetched_s,
-       CASE WHEN d.doc_id % 11 = 0 THEN 900 ELSE 0 END + {EPOCH_START} + (d.doc_id * 7919) % {CORPUS_DAYS * 86400} AS at,
+       CASE WHEN d.doc_id % 11 = 0 THEN NULL ELSE {EPOCH_START} + {SPREAD} END AS published_s,
+       {EPOCH_START} + {SPREAD} + 900 AS fetched_s,
+       CASE WHEN d.doc_id % 11 = 0 THEN 900 ELSE 0 END + {EPOCH_START} + {SPREAD} AS at,
        CASE d.doc_id % 7
          WHEN 0 THEN chr(123) || '"arxiv_id":"2401.' || substring(CAST(100000 + CAST(floor(d.doc_id / 20) AS BIGINT) % 100000 AS STRING), 2) || 'v2","upvotes":' || CAST(d.n_chars % 90 AS STRING) || chr(125)
          WHEN 1 THEN chr(123) || '"feed":"' || d.source || '","links":["https://arxiv.org/abs/2401.' || substring(CAST(100000 + CAST(floor(d.doc_id / 20) AS BIGINT) % 100000 AS STRING), 2) || '","https://x.com/share?u=1"]' || chr(125)
