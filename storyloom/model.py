@@ -198,8 +198,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mapped(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A mapping text over base tables and relations as a DataFrame."""
+    parts = [f"{n} AS ({RELATIONS[n]})" for n in _needed(text)]
+    text = ("WITH " + ",\n".join(parts) + "\n" if parts else "") + text
+    return spark.sql(re.sub(r"@(\w+)", lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", text))
+
+
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A mapped relation as a DataFrame."""
-    parts = [f"{n} AS ({RELATIONS[n]})" for n in _needed(RELATIONS[name])]
-    text = ("WITH " + ",\n".join(parts) + "\n" if parts else "") + RELATIONS[name]
-    return spark.sql(re.sub(r"@(\w+)", lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", text))
+    return mapped(spark, sf_dir, RELATIONS[name])
