@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return current
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder, on the shared storage checkpoints use."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from the written copy.
 
