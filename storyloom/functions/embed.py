@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -28,11 +29,11 @@ def hashed_terms(dimension: int = 64) -> Embedder:
         places: dict[str, int] = {}
         out = np.zeros((len(texts), dimension))
         for row, text in enumerate(texts):
-            for word in term.findall(text.lower()):
+            for word, times in Counter(term.findall(text.lower())).items():
                 place = places.get(word)
                 if place is None:
                     place = places[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimension
-                out[row, place] += 1
+                out[row, place] += times
         return out
 
     return embed

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from storyloom.functions import urls
+from storyloom.functions.text import strip
 from storyloom.model import METADATA
 
 UNDATED_HOURS = 8760.0
@@ -77,4 +78,4 @@ def embedding_text() -> Column:
         F.when(F.col("kind") == "model", as_model).when(F.col("kind") == "repo", as_repo)
         .when(F.col("kind") == "discussion", as_thread).otherwise(other)
     )
-    return F.substring(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), 1, EMBED_LIMIT)
+    return F.substring(strip(text), 1, EMBED_LIMIT)

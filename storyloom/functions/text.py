@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -10,6 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLANK = r"(?U)\s+"
+# Every character counted as white space at the ends of a text.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(SPACES))
 
 
 @F.arrow_udf(T.StringType())
@@ -22,8 +29,17 @@ def decode_entities(text: Column) -> Column:
     return F.coalesce(_entities(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once however often it is used.
+
+    Expressions under CASE branches are not shared by code generation, so a
+    costly one named several times would run several times.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def none_if_blank(text: Column) -> Column:
-    return F.when(text != "", text)
+    return bind(text, lambda t: F.when(t != "", t))
 
 
 def squeeze(text: Column) -> Column:
@@ -50,12 +66,14 @@ def strip_boilerplate(text: Column) -> Column:
 
 def truncate(text: Column, limit: int) -> Column:
     """At most ``limit`` characters, cut back to a late enough word boundary."""
-    head = F.substring(text, 1, limit)
-    after_space = F.instr(F.reverse(head), " ")
-    last_space = F.when(after_space > 0, F.lit(limit) - after_space).otherwise(F.lit(-1))
-    cut = F.when(last_space > 0.6 * limit, head.substr(F.lit(1), last_space)).otherwise(head)
-    shortened = F.concat(F.regexp_replace(cut, r"(?U)\s+$", ""), F.lit("…"))
-    return F.when(F.length(text) <= limit, text).otherwise(shortened)
+
+    def shortened(head: Column) -> Column:
+        after_space = F.instr(F.reverse(head), " ")
+        last_space = F.when(after_space > 0, F.lit(limit) - after_space).otherwise(F.lit(-1))
+        cut = F.when(last_space > 0.6 * limit, head.substr(F.lit(1), last_space)).otherwise(head)
+        return F.concat(F.rtrim(cut, F.lit(SPACES)), F.lit("…"))
+
+    return bind(text, lambda t: F.when(F.length(t) <= limit, t).otherwise(bind(F.substring(t, 1, limit), shortened)))
 
 
 def slug(text: Column) -> Column:
@@ -142,28 +160,26 @@ CARD_PHRASES = (
 PROSE_MINIMUM, WRITTEN_MINIMUM, DESCRIPTION_LIMIT = 40, 18, 600
 
 
-def _block_prose(block: Column) -> Column:
-    """One markdown block as prose, NULL when it is something else."""
-    bare = F.regexp_replace(F.regexp_replace(block, r"!\[[^\]]*\]\([^)]*\)", ""), r"(?U)^\s+|\s+$", "")
-    opening = F.lit(False)
-    for mark in NOT_PROSE_OPENINGS:
-        opening = opening | F.startswith(bare, F.lit(mark))
-    flat = F.regexp_replace(F.regexp_replace(bare, r"\[([^\]]*)\]\([^)]*\)", "$1"), "\n", " ")
+_OPENING = "^(?:" + "|".join(re.escape(m) for m in NOT_PROSE_OPENINGS) + ")"
+_STOCK = "(?i)" + "|".join(re.escape(p).replace("\\ ", " ") for p in CARD_PHRASES)
+
+
+def _flat_block(block: Column) -> Column:
+    flat = F.regexp_replace(F.regexp_replace(block, r"\[([^\]]*)\]\([^)]*\)", "$1"), "\n", " ")
     flat = F.regexp_replace(F.regexp_replace(flat, r"<[^>]+>", " "), BLANK, " ")
     flat = F.regexp_replace(flat, r"\s+([,.;:!?)\]}])", "$1")
-    flat = F.btrim(F.regexp_replace(flat, r"([(\[{])\s+", "$1"))
-    stock = F.lit(False)
-    for phrase in CARD_PHRASES:
-        stock = stock | F.contains(F.lower(flat), F.lit(phrase))
-    return F.when((bare != "") & ~opening & ~stock & (F.length(flat) > PROSE_MINIMUM), flat)
+    return F.btrim(F.regexp_replace(flat, r"([(\[{])\s+", "$1"))
 
 
 def prose_summary(markdown: Column) -> Column:
     """The first block of real prose in a markdown document.
 
-    Entities are decoded once for the document rather than per block, so the
-    blocks stay in JVM expressions.
+    Entities are decoded once for the document rather than per block, and every
+    step over the blocks is a pass of its own, so no block is worked on twice.
     """
     body = decode_entities(F.regexp_replace(markdown, r"(?s)\A---\r?\n.*?\r?\n---\r?\n", ""))
-    found = F.filter(F.transform(F.split(body, "\n\n"), _block_prose), lambda b: b.isNotNull())
-    return truncate(F.get(found, F.lit(0)), DESCRIPTION_LIMIT)
+    bare = F.transform(F.split(body, "\n\n"), lambda b: strip(F.regexp_replace(b, r"!\[[^\]]*\]\([^)]*\)", "")))
+    written = F.filter(bare, lambda b: (b != "") & ~F.regexp_like(b, F.lit(_OPENING)))
+    flat = F.transform(written, _flat_block)
+    prose = F.filter(flat, lambda b: (F.length(b) > PROSE_MINIMUM) & ~F.regexp_like(b, F.lit(_STOCK)))
+    return truncate(F.get(prose, F.lit(0)), DESCRIPTION_LIMIT)

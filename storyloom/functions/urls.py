@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from storyloom.functions.text import bind, strip
+
 # RFC 3986, appendix B.
 PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(?s:.*))?$"
 
@@ -61,19 +63,20 @@ def _query(raw: Column) -> Column:
     return F.array_join(joined, "&")
 
 
-def canonical(url: Column) -> Column:
-    """One stable form per document; text without a host comes back trimmed."""
-    clean = F.regexp_replace(F.coalesce(url, F.lit("")), r"(?U)^\s+|\s+$", "")
+def _rebuilt(clean: Column) -> Column:
     scheme = F.lower(part(clean, 1))
     scheme = F.when(scheme.isin("http", "https", ""), F.lit("https")).otherwise(scheme)
     host = F.regexp_replace(F.regexp_replace(without_www(part(clean, 2)), ":80$", ""), ":443$", "")
-    path = F.regexp_replace(part(clean, 3), "/+$", "")
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    query = _query(part(clean, 4))
-    query = F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))
+    path = bind(F.regexp_replace(part(clean, 3), "/+$", ""), lambda p: F.when(p == "", F.lit("/")).otherwise(p))
+    query = bind(_query(part(clean, 4)), lambda q: F.when(q == "", q).otherwise(F.concat(F.lit("?"), q)))
     return F.when(part(clean, 2) == "", clean).otherwise(F.concat(scheme, F.lit("://"), host, path, query))
 
 
+def canonical(url: Column) -> Column:
+    """One stable form per document; text without a host comes back trimmed."""
+    return bind(strip(F.coalesce(url, F.lit(""))), _rebuilt)
+
+
 def has_specific_path(url: Column) -> Column:
     """The URL names a page, not only a host."""
     return F.length(F.btrim(part(url, 3), F.lit("/"))) > 2

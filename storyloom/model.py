@@ -13,6 +13,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from storyloom.session import spread
+
 # 2024-01-01T00:00:00Z, and the moment queries treat as "now": nothing reads a clock.
 EPOCH_START = 1704067200
 CORPUS_DAYS = 60
@@ -208,3 +210,13 @@ def mapped(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A mapped relation as a DataFrame."""
     return mapped(spark, sf_dir, RELATIONS[name])
+
+
+def spread_relation(spark: SparkSession, sf_dir: str, name: str, key: str, base: str = "documents") -> DataFrame:
+    """A relation on every core, where its base table has too few files for that."""
+    return spread(relation(spark, sf_dir, name), key, len(table(spark, sf_dir, base).inputFiles()))
+
+
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    df = table(spark, sf_dir, name)
+    return spread(df, key, len(df.inputFiles()))

@@ -91,10 +91,7 @@ def assign(members: DataFrame, identifiers: DataFrame, stored: DataFrame | None
     A story is named by its opening item; one that exists keeps its name, which
     ``stored`` (item_id, story_id) tells for the items of batch 0.
     """
-    # Identifiers meet themselves several times below; where they come straight
-    # from extraction that would extract them again each time.
-    keys = cut_lineage(identifiers.where(F.col("type").isin(*identity.STRONG)))
-    linked = cut_lineage(parents(members, keys, merge, ambiguous, window_days))
+    linked = cut_lineage(parents(members, identifiers, merge, ambiguous, window_days))
     rooted = roots(linked)
     if stored is None:
         named = rooted.select("item_id", F.col("root").alias("story_id"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import items as I
+from storyloom.functions import text as X
 from storyloom.functions import urls as U
 
 # Identifier types that name one artefact, and the fan-out guard.
@@ -55,12 +56,12 @@ def url_identifier(url: Column) -> Column:
         .when(tag != "", pair("github_release", F.concat(full, F.lit("@"), tag)))
         .otherwise(pair("github_repo", full))
     )
-    canonical = U.canonical(url)
+    page = X.bind(U.canonical(url), lambda c: F.when(U.has_specific_path(c), pair("url", c)))
     return (
         F.when(_has(url, PREPRINT_URL), pair("arxiv", F.regexp_extract(url, PREPRINT_URL, 1)))
         .when(_has(url, HUB), hub)
         .when(_has(url, U.CODE_HOST), code)
-        .when(U.has_specific_path(canonical), pair("url", canonical))
+        .otherwise(page)
     )
 
 

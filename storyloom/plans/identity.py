@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storyloom.functions import urls as U
-from storyloom.model import relation, table
+from storyloom.model import relation, spread_relation, table
 from storyloom.operators import identity as D
 from storyloom.plans.registry import query
 from storyloom.plans.scalars import canonical_sql, js, JSON, URLRE
+from storyloom.session import cut_lineage
 
 
 def clean_sql(x: str) -> str:
@@ -91,7 +92,12 @@ STRONG = _in(D.STRONG)
 
 
 def identifiers(spark, sf):
-    return D.extract(relation(spark, sf, "items"))
+    return D.extract(spread_relation(spark, sf, "items", "item_id"))
+
+
+def stored_identifiers(spark, sf):
+    """Identifiers as the table they are kept in: extracted once, then read."""
+    return cut_lineage(identifiers(spark, sf))
 
 
 @query("d01_identifiers", "SELECT item_id, type, value FROM identifiers", IDENTIFIERS)
@@ -143,4 +149,4 @@ SELECT item_id, parent FROM (
 def identifier_join(spark, sf):
     items = relation(spark, sf, "items")
     order = items.select("item_id", F.struct(F.lit(1).alias("batch"), "at", "item_id").alias("ord"))
-    return D.earliest_sharing(D.extract(items), order)
+    return D.earliest_sharing(stored_identifiers(spark, sf), order)

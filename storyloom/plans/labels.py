@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storyloom.functions import vectors as V
-from storyloom.model import NOW, relation, table
+from storyloom.model import NOW, relation, spread_relation, table
 from storyloom.operators import labels as L
 from storyloom.operators import topics as P
 from storyloom.operators import tree as R
@@ -213,7 +213,7 @@ ENTITIES = [("model", "On", ["Oneat"]), ("org", "Le", ["La Aux"]), ("tool", "Der
 
 
 def texts(spark, sf):
-    return L.member_texts(relation(spark, sf, "story_items"), relation(spark, sf, "items"))
+    return L.member_texts(relation(spark, sf, "story_items"), spread_relation(spark, sf, "items", "item_id"))
 
 
 def facet_matches(spark, sf):
@@ -318,7 +318,7 @@ SELECT CASE WHEN o.n * 2 >= o.times AND lower(o.prefix) NOT IN ('abstract','anno
 def name_mining(spark, sf):
     rel = lambda n: relation(spark, sf, n)
     known = [[name, *aliases] for _, name, aliases in ENTITIES]
-    return L.mine_names(rel("story_items"), rel("items"), rel("stories"), known, (NOW - 30 * 86400) // 86400)
+    return L.mine_names(rel("story_items"), spread_relation(spark, sf, "items", "item_id"), rel("stories"), known, (NOW - 30 * 86400) // 86400)
 
 
 @query("f26_spine_sync", """

@@ -13,7 +13,7 @@ from storyloom.plans.registry import query
 
 # SQL spelling of strip_html for the entities the pages hold.
 FLAT = r"""nullif(trim(regexp_replace(regexp_replace(regexp_replace(
-  replace(replace(replace(replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&amp;', '&'),
+  regexp_replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&quot;', '"'), '&amp;?', '&', 'g'),
   '[\s\x{{a0}}]+', ' ', 'g'), '[\s]+([,.;:!?)\]}}])', '\1', 'g'), '([(\[{{])\s+', '\1', 'g')), '')"""
 URLRE = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 HOST = f"lower(regexp_extract(url, '{URLRE}', 2))"

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from storyloom.functions import embed as M
 from storyloom.functions import items as I
 from storyloom.functions import vectors as V
-from storyloom.model import relation, table
+from storyloom.model import relation, spread_table, table
 from storyloom.operators import calibrate as K
 from storyloom.operators import cluster as C
-from storyloom.operators import identity as D
 from storyloom.operators import similarity as S
 from storyloom.operators import triage as E
-from storyloom.plans.identity import IDENTIFIERS, STRONG
+from storyloom.plans.identity import IDENTIFIERS, STRONG, stored_identifiers
 from storyloom.plans.registry import query
 
 # Thresholds for the driver's vectors, which lie far apart from each other.
@@ -81,7 +80,7 @@ SELECT doc_id AS item_id, dim, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITI
   SELECT doc_id, CAST(('0x' || substring(md5(w), 1, 8)) AS BIGINT) % 64 AS dim, count(*) AS n FROM (
     SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) AS w FROM @documents) a GROUP BY doc_id, dim) b""")
 def embed_job(spark, sf):
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), M.embedded(F.col("text"), M.hashed_terms()).alias("v"))
+    rows = spread_table(spark, sf, "documents", "doc_id").select(F.col("doc_id").alias("item_id"), M.embedded(F.col("text"), M.hashed_terms()).alias("v"))
     each = rows.select("item_id", F.posexplode("v").alias("dim", "value")).where("value <> 0")
     return each.select("item_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("value").cast("double"), 6).alias("value"))
 
@@ -173,7 +172,7 @@ def _cluster_sql(merge: float, stored: str = "false") -> dict[str, str]:
 def assigned(spark, sf, merge=MERGE, stored: str = "false"):
     rows = members(spark, sf, stored)
     known = rows.where("batch = 0").select("item_id", F.col("item_id").alias("story_id")) if stored != "false" else None
-    return C.assign(rows, D.extract(relation(spark, sf, "items")), known, merge, LOW, DAYS)
+    return C.assign(rows, stored_identifiers(spark, sf), known, merge, LOW, DAYS)
 
 
 MATCH_SQL = {k: v for k, v in _cluster_sql(MERGE).items() if k in ("m", "pairs", "nearest")}
@@ -217,7 +216,7 @@ def clock(spark, sf):
 @query("e16_ambiguous_band", "SELECT item_id, nearest, score FROM assigned WHERE how = 'ambiguous'", _cluster_sql(MERGE))
 def ambiguous(spark, sf):
     rows = members(spark, sf)
-    linked = C.parents(rows, D.extract(relation(spark, sf, "items")), MERGE, LOW, DAYS)
+    linked = C.parents(rows, stored_identifiers(spark, sf), MERGE, LOW, DAYS)
     return linked.where("how = 'ambiguous'").select("item_id", "nearest", F.round("score", 6).alias("score"))
 
 
@@ -252,19 +251,19 @@ POSITIVE = {
 }
 
 
-def _positive_scores(spark, sf):
-    pairs = K.positives(D.extract(relation(spark, sf, "items")), _kept(spark, sf))
+def _positive_scores(spark, sf, keys=None):
+    pairs = K.positives(keys or stored_identifiers(spark, sf), _kept(spark, sf))
     return K.pair_scores(pairs, relation(spark, sf, "vectors"))
 
 
-def _hard_bins(spark, sf):
-    found = K.papers(D.extract(relation(spark, sf, "items")), _kept(spark, sf))
+def _hard_bins(spark, sf, keys=None):
+    found = K.papers(keys or stored_identifiers(spark, sf), _kept(spark, sf))
     return K.close_pair_bins(found.join(relation(spark, sf, "vectors").select("item_id", "embedding"), "item_id"))
 
 
 @query("e19_positive_pairs", "SELECT a, b, type, value FROM positive", POSITIVE)
 def positives(spark, sf):
-    return K.positives(D.extract(relation(spark, sf, "items")), _kept(spark, sf))
+    return K.positives(stored_identifiers(spark, sf), _kept(spark, sf))
 
 
 @query("e20_hard_negatives", "SELECT CAST(floor(round(score * 10000, 6)) AS INTEGER) AS bin, count(*) AS pairs FROM hard GROUP BY 1", POSITIVE)
@@ -305,4 +304,5 @@ SELECT t AS threshold, (SELECT count(*) FROM positive_scores WHERE score >= t) A
   round((SELECT count(*) FROM positive_scores WHERE score >= t) / (SELECT count(*) FROM positive_scores), 6) AS recall
 FROM (SELECT unnest({GRID}::DOUBLE[]) AS t) g""", POSITIVE)
 def trade_off(spark, sf):
-    return K.trade_off(_positive_scores(spark, sf), _hard_bins(spark, sf), GRID).withColumn("recall", F.round("recall", 6))
+    keys = stored_identifiers(spark, sf)
+    return K.trade_off(_positive_scores(spark, sf, keys), _hard_bins(spark, sf, keys), GRID).withColumn("recall", F.round("recall", 6))

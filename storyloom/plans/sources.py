@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import items as I
 from storyloom.functions import text as X
-from storyloom.model import NOW, mapped, relation, table
+from storyloom.model import NOW, mapped, relation, spread_relation, table
 from storyloom.plans.registry import query
 from storyloom.plans.scalars import FLAT, JSON, _truncate_sql, js
+from storyloom.session import spread
 from storyloom.sources import apis, feeds, normalise, sitemaps
 from storyloom.sources import describe as D
 from storyloom.sources import pages as P
@@ -38,6 +39,11 @@ def tag(name, value):
     return F.coalesce(F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>")), F.lit(""))
 
 
+def wide(spark, sf, text, key):
+    """A mapping on every core: its text is worked on at length."""
+    return spread(mapped(spark, sf, text), key, len(table(spark, sf, "documents").inputFiles()))
+
+
 def payloads(rows, key: str, part: str, before: str, after: str):
     """Twenty rows' parts joined into one body."""
     block = F.floor(F.col(key) / 20).alias("block")
@@ -51,7 +57,7 @@ ENTRY = """SELECT i.item_id, i.title, i.url, CASE WHEN i.item_id % 3 <> 0 THEN i
 
 
 def rss_payloads(spark, sf):
-    e = mapped(spark, sf, ENTRY)
+    e = wide(spark, sf, ENTRY, "item_id")
     when = F.date_format(F.timestamp_seconds("published_s"), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
     pic = F.concat(F.lit("https://pic.example.net/"), F.col("item_id").cast("string"), F.lit(".png"))
     art = (
@@ -317,7 +323,7 @@ SELECT c.doc_id, {_truncate_sql('p.prose', 600)} AS summary FROM card c LEFT JOI
    WHERE length(prose) > 40 AND NOT contains(lower(prose), 'more information needed') GROUP BY doc_id) p ON p.doc_id = c.doc_id""", {
     "card": CARD, "blocks": r"SELECT doc_id, unnest(string_split(regexp_replace(md, '(?s)^---\n.*?\n---\n', ''), chr(10) || chr(10))) AS b, generate_subscripts(string_split(regexp_replace(md, '(?s)^---\n.*?\n---\n', ''), chr(10) || chr(10)), 1) AS n FROM card"})
 def prose_summary(spark, sf):
-    return mapped(spark, sf, CARD).select("doc_id", X.prose_summary(F.col("md")).alias("summary"))
+    return wide(spark, sf, CARD, "doc_id").select("doc_id", X.prose_summary(F.col("md")).alias("summary"))
 
 
 WORTH = f"(kind IN ('article', 'post') OR {js('outbound_url')} <> '')"
@@ -329,7 +335,7 @@ PLAN = f"""SELECT item_id, t, ws, wm, array_to_string(list_filter([CASE WHEN bod
 
 def planned(spark, sf, limit):
     described = table(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").alias("item_id"))
-    return D.plan(relation(spark, sf, "items"), described, limit)
+    return D.plan(spread_relation(spark, sf, "items", "item_id"), described, limit)
 
 
 @query("a18_describe_plan", "SELECT item_id, ws AS wants_summary, wm AS wants_media, steps FROM pl WHERE steps <> '' ORDER BY t DESC, item_id LIMIT 60", {"pl": PLAN})

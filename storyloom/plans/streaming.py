@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import items as I
 from storyloom.model import NOW, relation, table
-from storyloom.operators import identity as D
 from storyloom.operators import ingest as B
 from storyloom.plans.feed import AGG
+from storyloom.plans.identity import stored_identifiers
 from storyloom.plans.ingest import HASH_SQL
 from storyloom.plans.readers import IMPRESSIONS, impressions
 from storyloom.plans.registry import query
@@ -59,7 +59,7 @@ def cluster_stream(spark, sf):
     times = relation(spark, sf, "items").select("item_id", "at")
     arrivals = J.stream_of(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding").join(times, "item_id")
     store = J.Versions(spark, out)
-    J.cluster_stream(arrivals, D.extract(relation(spark, sf, "items")), store, checkpoint, MERGE, LOW, DAYS)
+    J.cluster_stream(arrivals, stored_identifiers(spark, sf), store, checkpoint, MERGE, LOW, DAYS)
     return store.before().select("item_id", "story_id", "how")
 
 

@@ -49,3 +49,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str, files: int) -> DataFrame:
+    """``df`` on every core when it was read from fewer files than there are cores.
+
+    For work that costs far more per row than moving the row does. Tables of
+    ordinary size come in many files and are left where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if files < cores else df
