@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from storyloom.functions import items as I
 from storyloom.functions import vectors as V
 from storyloom.model import NOW, relation, spread_relation, table
 from storyloom.operators import labels as L
+from storyloom.operators import subjects as S
 from storyloom.operators import topics as P
 from storyloom.operators import tree as R
 from storyloom.plans.registry import query
@@ -328,3 +330,21 @@ def spine_sync(spark, sf):
     spine = relation(spark, sf, "spine")
     wanted = spine.where("ord >= 3").select("slug", F.concat("name", F.lit("!")).alias("name"), F.when(F.col("ord") % 2 == 0, F.col("parent")).alias("parent"))
     return P.sync_spine(spine.where("ord < 1000").select("slug", "name", "parent"), wanted)
+
+
+SUBJECT_DAYS, SUBJECT_FLOOR = 30, 0.35
+
+
+def subject_homes(spark, sf):
+    recent = relation(spark, sf, "stories").where(I.in_day_window(F.col("last_activity"), NOW, SUBJECT_DAYS)).select("story_id", F.col("last_activity").alias("newest"))
+    return S.groups(recent.join(story_centroids(spark, sf), "story_id"), SUBJECT_FLOOR)
+
+
+@query("f16_subject_groups")
+def subject_groups(spark, sf):
+    return S.candidates(subject_homes(spark, sf), *[relation(spark, sf, n) for n in ("story_topics", "spine")])
+
+
+@query("f16_subject_topics")
+def subject_topics(spark, sf):
+    return S.covered(subject_homes(spark, sf), relation(spark, sf, "story_topics"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storyloom.operators import calibrate, cluster, feed, readers, similarity
+from storyloom.operators import calibrate, cluster, feed, readers, similarity, subjects
 
 DAY = 86400
 
@@ -127,3 +127,34 @@ def test_diversify_equals_greedy(spark):
 def test_roles(spark):
     rows = spark.createDataFrame([("article", True), ("article", False), ("model", False), ("model", True), ("paper", False)], "kind string, opens boolean")
     assert [r[0] for r in rows.select(cluster.role(F.col("kind"), F.col("opens"))).collect()] == ["seed", "coverage", "code", "seed", "paper"]
+
+
+def leader_pass(vectors, order, floor):
+    heads, sums, members = [], [], []
+    for i in order:
+        best, score = -1, floor
+        for g, head in enumerate(heads):
+            if (s := float(head @ vectors[i])) >= score:
+                best, score = g, s
+        if best < 0:
+            members.append([i])
+            sums.append(vectors[i].copy())
+            heads.append(vectors[i].copy())
+        else:
+            members[best].append(i)
+            sums[best] = sums[best] + vectors[i]
+            heads[best] = sums[best] / np.linalg.norm(sums[best])
+    return {m: group[0] for group in members for m in group}
+
+
+def test_subject_groups_equal_the_leader_pass(spark):
+    vectors, at = random_items(np.random.default_rng(9), 120)
+    v = vectors.astype(np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, int(at[i]), v[i].tolist()) for i in range(120)], "story_id long, newest long, centroid array<double>")
+    want = leader_pass(v, sorted(range(120), key=lambda i: (-at[i], i)), 0.8)
+    got = {r["story_id"]: r["leader"] for r in subjects.groups(rows, 0.8).collect()}
+    assert got == want
+    # In chunks every story still has one group, and far fewer groups than stories are left.
+    split = {r["story_id"]: r["leader"] for r in subjects.groups(rows, 0.8, chunk=30).collect()}
+    assert set(split) == set(range(120)) and len(set(split.values())) <= 2 * len(set(want.values()))
