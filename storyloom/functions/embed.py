@@ -24,9 +24,11 @@ def hashed_terms(dimension: int = 64) -> Embedder:
     vectors, which is what the jobs after it need.
     """
     term = re.compile(r"[^\W_]+")
+    places: dict[str, int] = {}
 
     def embed(texts: Sequence[str]) -> np.ndarray:
-        places: dict[str, int] = {}
+        if len(places) > 1_000_000:
+            places.clear()
         out = np.zeros((len(texts), dimension))
         for row, text in enumerate(texts):
             for word, times in Counter(term.findall(text.lower())).items():

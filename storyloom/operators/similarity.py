@@ -28,7 +28,9 @@ from storyloom.functions import vectors as V
 
 BLOCK_ROWS = 4096
 MAX_CENTRES = 64
-SLACK = 1e-6
+# Angles are float32 and vectors only nearly of length one: more than either
+# can be off, so that the test below never excludes a match.
+SLACK = 1e-3
 
 
 def _centres(vectors: DataFrame, count: int) -> np.ndarray:

@@ -56,15 +56,11 @@ def description(meta: Column) -> Column:
 
 def image(meta: Column, base: Column) -> Column:
     """The page's picture, resolved; only http(s), and never a site's own logo."""
-    choices = []
-    for key in IMAGE_KEYS:
-        raw = F.btrim(F.element_at(meta, key))
-        full = U.resolve(base, F.coalesce(X.strip_html(raw), raw))
-        usable = F.regexp_like(full, F.lit("(?i)^https?://"))
-        for mark in NOT_ART:
-            usable = usable & ~F.contains(F.lower(full), F.lit(mark))
-        choices.append(F.when((raw != "") & usable, full))
-    return F.coalesce(*choices)
+    raws = F.array(*[F.coalesce(X.strip_html(F.element_at(meta, key)), F.btrim(F.element_at(meta, key))) for key in IMAGE_KEYS])
+    full = F.transform(F.filter(raws, lambda r: F.coalesce(r, F.lit("")) != ""), lambda r: U.resolve(base, r))
+    not_art = F.lit("(?i)" + "|".join(m.replace(".", r"\.") for m in NOT_ART))
+    usable = F.filter(full, lambda u: F.regexp_like(u, F.lit("(?i)^https?://")) & ~F.regexp_like(u, not_art))
+    return F.get(usable, F.lit(0))
 
 
 def announced_feeds(html: Column, base: Column) -> Column:
