@@ -146,12 +146,12 @@ SELECT c_custkey AS reader, 'topic-' || CAST(c_custkey AS STRING) || '-' || CAST
   FROM @customer
 """
 
-# The sources each reader topic takes: four consecutive ones.
+# The four sources each reader topic takes.
 RELATIONS["reader_topic_sources"] = """
-SELECT t.topic_key, s.name AS source
-  FROM reader_topics t JOIN sources s
-    ON s.source_id = t.reader % 20 OR s.source_id = (t.reader + 1) % 20
-    OR s.source_id = (t.reader + 7) % 20 OR s.source_id = (t.reader + 12) % 20
+SELECT x.topic_key, s.name AS source FROM (
+    SELECT topic_key, reader % 20 AS source_id FROM reader_topics UNION ALL SELECT topic_key, (reader + 1) % 20 FROM reader_topics
+    UNION ALL SELECT topic_key, (reader + 7) % 20 FROM reader_topics UNION ALL SELECT topic_key, (reader + 12) % 20 FROM reader_topics
+  ) x JOIN sources s ON s.source_id = x.source_id
 """
 
 METADATA = T.StructType([

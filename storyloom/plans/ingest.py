@@ -14,13 +14,13 @@ from storyloom.plans.registry import query
 HASH_SQL = """sha256(concat_ws(chr(0), kind, url, title, coalesce(author, ''), coalesce(strftime(make_timestamp(published_s * 1000000), '%Y-%m-%dT%H:%M:%SZ'), ''),
   coalesce(summary, ''), coalesce(body, ''), coalesce(media_url, '')))"""
 
-# A batch re-delivers most items, edits some titles, and holds second copies.
+# A batch delivers all items again, some of them new, some edited, some twice.
 SINCE = EPOCH_START + 20 * 86400
 BATCH = {
     "hashed": f"SELECT *, {HASH_SQL} AS content_hash FROM items",
     "stored": "SELECT * FROM hashed WHERE item_id % 10 <> 9",
     "batch": f"""SELECT source, external_id, title, content_hash FROM (
-       SELECT source, external_id, title, {HASH_SQL} AS content_hash FROM (SELECT * REPLACE (CASE WHEN item_id % 4 = 1 THEN title || ' (edited)' ELSE title END AS title) FROM items WHERE item_id % 3 <> 0) e) b""",
+       SELECT source, external_id, title, {HASH_SQL} AS content_hash FROM (SELECT * REPLACE (CASE WHEN item_id % 4 = 1 THEN title || ' (edited)' ELSE title END AS title) FROM items) e) b""",
     "classified": f"""SELECT b.source, b.external_id, b.title, b.content_hash,
        CASE WHEN s.external_id IS NULL AND i.published_s < {SINCE} THEN 'stale' WHEN s.external_id IS NULL THEN 'inserted'
             WHEN s.content_hash = b.content_hash THEN 'unchanged' ELSE 'updated' END AS outcome
@@ -34,7 +34,7 @@ def _stored(spark, sf):
 
 
 def _batch(spark, sf):
-    rows = relation(spark, sf, "items").where("item_id % 3 <> 0")
+    rows = relation(spark, sf, "items")
     edited = F.when(F.col("item_id") % 4 == 1, F.concat("title", F.lit(" (edited)"))).otherwise(F.col("title"))
     rows = rows.select(*B.IDENTITY, *[c for c in B.CONTENT if c != "title"], "item_id", edited.alias("title"))
     early = rows.where("item_id % 8 = 1").withColumn("title", F.lit("first copy")).withColumn("seq", F.lit(0))
