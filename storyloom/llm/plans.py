@@ -31,3 +31,10 @@ def op2_quality(spark, sf_dir):
     from storyloom.llm import quality
 
     return quality.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_secrets")
+def op10_secrets(spark, sf_dir):
+    from storyloom.llm import secrets
+
+    return secrets.report(table(spark, sf_dir, "documents"))
