@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.session import scratch
@@ -47,19 +47,23 @@ def one_label(labels: DataFrame, column: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min(column).alias("label"), F.max(column).alias("high")).where("label = high").drop("high")
 
 
-def bounded_sample(rows: DataFrame, max_rows: int, max_bytes: int) -> list:
-    """Rows (text, label) for fitting on the driver: of each label the first ``max_rows``
-    in hash order, as far as their texts fill ``max_bytes``."""
-    from pyspark.sql import Window
+def bounded_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> list:
+    """(text, label) pairs for fitting on the driver: of each label the first ``max_rows``
+    labelled ids in hash order, as far as their texts fill ``max_bytes``. Null text is empty.
 
+    ``labels`` is (doc_id, label). The ids are drawn before any text is read, so
+    what meets the texts is at most ``2 * max_rows`` rows of two numbers.
+    """
     picked = None
     for label in (0, 1):
-        own = rows.where(F.col("label") == label).withColumn("_at", F.xxhash64("text"))
-        own = own.orderBy("_at", "text").limit(max_rows)
-        filled = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy("_at", "text").rowsBetween(Window.unboundedPreceding, 0))
-        own = own.withColumn("_filled", filled).where(F.col("_filled") <= max_bytes)
+        own = labels.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
         picked = own if picked is None else picked.unionByName(own)
-    return sorted(((r.text, r.label) for r in picked.select("text", "label").collect()))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    filled = F.sum(F.octet_length("text")).over(
+        Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    rows = rows.withColumn("filled", filled).where(F.col("filled") <= max_bytes)
+    return sorted((r.text, r.label) for r in rows.select("text", "label").collect())
 
 
 class Logistic:

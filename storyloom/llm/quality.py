@@ -83,9 +83,9 @@ class Model:
         return self.calibrate(np.array([features(t) for t in texts]))
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
-    """``labelled`` (text, label): every second sampled text trains the dictionaries, the others calibrate."""
-    rows = bounded_sample(labelled.select(F.coalesce("text", F.lit("")).alias("text"), "label"), max_rows, max_bytes)
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
+    """``labels`` (doc_id, label): every second sampled text trains the dictionaries, the others calibrate."""
+    rows = bounded_sample(docs, labels, max_rows, max_bytes)
     prior = sum(y for _, y in rows) / len(rows) if rows else 0.5
     halves = {label: [t for t, y in rows if y == label] for label in (0, 1)}
     if min(map(len, halves.values())) < 2:
@@ -107,15 +107,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.withColumn("score", rate(F.col("text")))
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, label) of the labelled documents outside the held-out fold."""
-    own = one_label(labels, "quality").where(fold(F.col("doc_id"), 4) != 2)
-    return docs.select("doc_id", "text").join(own, "doc_id").select("text", "label")
+def learning_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, label) outside the held-out fold."""
+    return one_label(labels, "quality").where(fold(F.col("doc_id"), 4) != 2)
 
 
 def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    scored = score(docs.select("doc_id", "text"), fit(learning_rows(docs, labels)))
+    scored = score(docs.select("doc_id", "text"), fit(docs, learning_labels(labels)))
     return scored.select(
         "doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
@@ -125,4 +124,4 @@ def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents scored ``THRESHOLD`` or more, columns as they came."""
     columns = docs.columns
-    return score(docs, fit(learning_rows(docs, labels))).where(F.col("score") >= THRESHOLD).select(*columns)
+    return score(docs, fit(docs, learning_labels(labels))).where(F.col("score") >= THRESHOLD).select(*columns)
