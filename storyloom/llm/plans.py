@@ -38,3 +38,12 @@ def op10_secrets(spark, sf_dir):
     from storyloom.llm import secrets
 
     return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_packing")
+def op4_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from storyloom.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
