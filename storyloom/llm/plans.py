@@ -47,3 +47,10 @@ def op4_packing(spark, sf_dir):
     from storyloom.llm import packing
 
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    from storyloom.llm import toxicity
+
+    return toxicity.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
