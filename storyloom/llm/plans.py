@@ -54,3 +54,10 @@ def op6_toxicity(spark, sf_dir):
     from storyloom.llm import toxicity
 
     return toxicity.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_decontamination")
+def op5_decontamination(spark, sf_dir):
+    from storyloom.llm import decontamination
+
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
