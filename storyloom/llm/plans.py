@@ -61,3 +61,10 @@ def op5_decontamination(spark, sf_dir):
     from storyloom.llm import decontamination
 
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_warc")
+def op3_warc(spark, sf_dir):
+    from storyloom.llm import warc
+
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
