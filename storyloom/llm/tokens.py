@@ -15,8 +15,9 @@ import numpy as np
 # The vocabulary's pre-token pattern over the plain characters, in lower case.
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\s0-9a-zß-öø-ÿ]+")
 _PLAIN = re.compile("[\\t-\\r\\x20-\\x7eÀ-ÿ–—‘-”…€]*")
-#: Distinct pre-tokens a worker remembers before it starts anew.
-MEMO = 1_000_000
+#: Distinct pre-tokens a worker remembers before it starts anew. One is remembered
+#: when it comes a second time, which a table of ``MET`` marks tells.
+MEMO, MET = 400_000, 1 << 22
 
 
 class Tokens:
@@ -32,6 +33,7 @@ class Tokens:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.met = bytearray(MET)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -55,8 +57,22 @@ class Tokens:
         if None in found:
             if len(self.known) > MEMO:
                 self._forget()
-            self._learn(list(dict.fromkeys(w for w in words if w not in self.known)))
+            fresh = {w: hash(w) % MET for w in words if w not in self.known}
+            again = [w for w, at in fresh.items() if self.met[at]]
+            once = [w for w, at in fresh.items() if not self.met[at]]
+            self._learn(again)
+            mark = self.used
+            self._learn(once)
             found = list(map(self.known.get, words))
+            result = self._gather(found)
+            for word in once:
+                del self.known[word]
+                self.met[fresh[word]] = 1
+            self.used = mark
+            return result
+        return self._gather(found)
+
+    def _gather(self, found: list[int]) -> np.ndarray:
         if not found:
             return np.zeros(0, np.uint32)
         at = np.array(found)
