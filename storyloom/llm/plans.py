@@ -68,3 +68,10 @@ def op3_warc(spark, sf_dir):
     from storyloom.llm import warc
 
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+@query("op9_line_dedup")
+def op9_line_dedup(spark, sf_dir):
+    from storyloom.llm import lines
+
+    return lines.report(table(spark, sf_dir, "documents"))
