@@ -75,3 +75,10 @@ def op9_line_dedup(spark, sf_dir):
     from storyloom.llm import lines
 
     return lines.report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_order_minhash")
+def op8_order_minhash(spark, sf_dir):
+    from storyloom.llm import fingerprints
+
+    return fingerprints.report(table(spark, sf_dir, "documents"))
