@@ -82,3 +82,10 @@ def op8_order_minhash(spark, sf_dir):
     from storyloom.llm import fingerprints
 
     return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_jaccard_join")
+def op7_jaccard_join(spark, sf_dir):
+    from storyloom.llm import jaccard
+
+    return jaccard.grouped(table(spark, sf_dir, "documents"), words=4, percent=85)
