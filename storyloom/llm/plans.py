@@ -89,3 +89,10 @@ def op7_jaccard_join(spark, sf_dir):
     from storyloom.llm import jaccard
 
     return jaccard.grouped(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark, sf_dir):
+    from storyloom.llm import suffixes
+
+    return suffixes.report(table(spark, sf_dir, "documents"))
