@@ -33,19 +33,20 @@ from storyloom.llm.common import stored
 
 WINDOW, LEAST_RUN, LEAST_SHARE = 8, 13, 0.8
 BITMAP_WORDS = 1 << 16  # 64 bits each
-MEMO = 600_000
+#: Words a worker remembers before it starts anew, and texts whose words are learned together.
+MEMO, AT_ONCE = 400_000, 256
 
 # Unit words, in lower case, and number words.
-UNITS = (
+UNITS = frozenset((
     "mm", "cm", "km", "m", "ft", "inch", "inches", "feet", "yard", "yards", "mile", "miles", "meter", "meters", "metre", "metres", "kilometer", "kilometers",
     "mg", "g", "kg", "lb", "lbs", "oz", "pound", "pounds", "gram", "grams", "kilogram", "kilograms", "ton", "tons", "tonnes", "ml", "l", "liter", "liters", "litre", "litres",
     "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years",
     "mph", "kmh", "km/h", "m/s", "hz", "khz", "mhz", "kb", "mb", "gb", "tb", "dollar", "dollars", "usd", "euro", "euros", "eur", "cent", "cents", "percent",
     "degrees", "celsius", "fahrenheit", "volt", "volts", "watt", "watts", "joule", "joules", "newton", "newtons",
-)
-NUMBER_WORDS = (
+))
+NUMBER_WORDS = frozenset((
     "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "forty", "fifty", "hundred", "thousand", "million", "billion",
-)
+))
 EMPTY, LITERAL, NUMBER, UNIT, MEASURE = range(5)
 NAME = 5
 _PLACE = np.array([0, 0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -66,56 +67,62 @@ class Templates:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows: list[tuple] = []
         self.table = None
 
     @staticmethod
     def _read(word: str) -> tuple:
         """(hash of the core, kind, capitalised, ends a sentence)."""
-        core = _EDGE.sub("", word)
         ends = word.rstrip("\"')]}”»*#$%&").endswith((".", "!", "?", ":"))
+        core = word if word.isalpha() else _EDGE.sub("", word)
         if not core:
             return 0, EMPTY, False, ends
         low = core.lower()
-        bare = word.strip("()[]\"'“”«».,;:!?")
-        if _NUMBER.fullmatch(bare) or low in NUMBER_WORDS:
-            kind = NUMBER
-        elif low in UNITS:
+        kind = LITERAL
+        if low in UNITS:
             kind = UNIT
-        elif _MEASURE.fullmatch(low):
-            kind = MEASURE
-        else:
-            kind = LITERAL
+        elif low in NUMBER_WORDS:
+            kind = NUMBER
+        elif not core.isalpha():
+            if _NUMBER.fullmatch(word.strip("()[]\"'“”«».,;:!?")):
+                kind = NUMBER
+            elif _MEASURE.fullmatch(low):
+                kind = MEASURE
         return _hash(low), kind, core[0].isupper() and not core.isupper(), ends
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(template hash, value hash, kind) per word that is not only punctuation."""
-        words = (text or "").split()
-        found = list(map(self.known.get, words))
-        if None in found:
-            if len(self.known) > MEMO:
-                self._forget()
-            for word in words:
-                if word not in self.known:
-                    self.known[word] = len(self.rows)
-                    self.rows.append(self._read(word))
-            fresh = self.rows[0 if self.table is None else len(self.table[0]):]
-            new = (
-                np.array([r[0] for r in fresh], np.uint64), np.array([r[1] for r in fresh], np.int8),
-                np.array([r[2] for r in fresh], bool), np.array([r[3] for r in fresh], bool),
-            )
-            # Grown arrays are kept in one piece; growth by words not seen before.
+    def learn(self, texts: list[str | None]) -> list[list[str]]:
+        """The words of each text, all of them known from now on."""
+        words = [(text or "").split() for text in texts]
+        if len(self.known) > MEMO:
+            self._forget()
+        fresh = list(set().union(*words).difference(self.known))
+        if fresh:
+            rows = list(zip(*map(self._read, fresh)))
+            new = tuple(np.array(column, kind) for column, kind in zip(rows, (np.uint64, np.int8, bool, bool)))
             self.table = new if self.table is None else tuple(np.concatenate(p) for p in zip(self.table, new))
-            found = list(map(self.known.get, words))
-        if not found:
+            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+        return words
+
+    def read(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(template hash, value hash, kind) per learned word that is not only punctuation."""
+        if not words:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
-        value, kind, capital, ends = (column[found] for column in self.table)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        value, kind, capital, ends = (column[at] for column in self.table)
         opens = np.append(True, ends[:-1])
         kind = np.where((kind == LITERAL) & capital & ~opens, NAME, kind)
         keep = kind != EMPTY
         value, kind = value[keep], kind[keep]
         return np.where(kind == LITERAL, value, _PLACE[kind]), value, kind
 
+    def __call__(self, texts: list[str | None]):
+        """``read`` of every text; words are learned for ``AT_ONCE`` texts at a time."""
+        for k in range(0, len(texts), AT_ONCE):
+            for words in self.learn(texts[k:k + AT_ONCE]):
+                yield self.read(words)
+
+
+_TEMPLATES = Templates()
+
 
 def windows(template: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, usable) of every window; usable when half its words or more are literal."""
@@ -125,7 +132,8 @@ def windows(template: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = len(template) - width + 1
     out = np.full(n, np.uint64(width), np.uint64)
     for k in range(width):
-        out = (out ^ template[k:k + n]) * np.uint64(0x9FB21C651E98DF25)
+        out ^= template[k:k + n]
+        out *= np.uint64(0x9FB21C651E98DF25)
         out ^= out >> np.uint64(29)
     literal = np.append(0, np.cumsum(kind == LITERAL))
     return out, (literal[width:] - literal[:n]) * 2 >= width
@@ -143,12 +151,10 @@ def _window_rows(rows: DataFrame, bitmap=None) -> DataFrame:
     """``rows`` (key_id, key_text, text) as window rows; with a bitmap only those it lets pass."""
 
     def read(batches):
-        templates = Templates()
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint64)
         for batch in batches:
             out = {name: [] for name in ("h", "row", "at", "n_words", "slots")}
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                template, value, kind = templates(text)
+            for row, (template, value, kind) in enumerate(_TEMPLATES(batch.column("text").to_pylist())):
                 hashes, usable = windows(template, kind)
                 if bits is not None and len(hashes):
                     usable &= (bits[(hashes >> np.uint64(6)) % np.uint64(BITMAP_WORDS)] >> (hashes & np.uint64(63))) & np.uint64(1) == 1
