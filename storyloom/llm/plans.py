@@ -96,3 +96,10 @@ def op1_suffix_dedup(spark, sf_dir):
     from storyloom.llm import suffixes
 
     return suffixes.report(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

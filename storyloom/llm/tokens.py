@@ -9,6 +9,7 @@ encoded as a whole. Both give the library's ids.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -38,15 +39,20 @@ class Tokens:
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        for word, got in zip(words, self.codec.encode_batch_fast(words, add_special_tokens=False)):
-            at, ids = len(self.known), got.ids
-            if at == len(self.starts):
-                self.starts, self.sizes = np.resize(self.starts, 2 * at), np.resize(self.sizes, 2 * at)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.ids[self.used:self.used + len(ids)] = ids
-            self.known[word], self.starts[at], self.sizes[at] = at, self.used, len(ids)
-            self.used += len(ids)
+        if not words:
+            return
+        found = [got.ids for got in self.codec.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        at, end = len(self.known), self.used + int(sizes.sum())
+        while at + len(words) > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+        while end > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.used:end] = np.fromiter(chain.from_iterable(found), np.uint32, end - self.used)
+        self.sizes[at:at + len(words)] = sizes
+        self.starts[at:at + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.known.update(zip(words, range(at, at + len(words))))
+        self.used = end
 
     def __call__(self, text: str) -> np.ndarray:
         """uint32 ids of the text."""
