@@ -6,8 +6,8 @@ number), has an equal set or one of Jaccard similarity ``THRESHOLD`` or more; th
 earlier line counts whether or not it goes itself. Lines without a word stay.
 
 Equal sets meet first, by a partial aggregate that keeps the earliest. Shingles
-are then ordered by rarity: the most frequent ones over all lines (a bounded
-sketch counts them) come last, the others by hash. Similar sets must share one of
+are then ordered by rarity: the most frequent ones over all lines (a table of
+fixed size counts them) come last, the others by hash. Similar sets must share one of
 their first ``n - ceil(t * n) + 1`` shingles, have sizes within ``t`` of each
 other, and the places of the shared shingle must leave room for enough overlap.
 Every set is first compared with the earliest set that holds one of its prefix
@@ -27,18 +27,18 @@ from pyspark.sql import functions as F
 from storyloom.llm.common import SPACE, stored
 
 WORDS, THRESHOLD = 5, 0.8
-#: The most frequent shingles told apart: how many, and counters of the sketch.
-FREQUENT, COUNTERS = 2048, 100_000
+#: Shingles are counted in 2**BUCKET_BITS buckets; frequent is a bucket of so many times the mean, and at most so many are.
+BUCKET_BITS, TIMES, FREQUENT = 17, 3, 2048
 
 
 def shingle_hashes(hashes: Column, n: int = WORDS) -> Column:
-    """64-bit hashes of the runs of ``n`` words; one of the whole when there are fewer; none without words.
+    """64-bit hashes of the runs of ``n`` words; one of the whole when there are fewer.
 
     ``hashes`` must be a column (word hashes), not an expression: it is read many times.
     """
     size = F.size(hashes)
     runs = F.transform(F.sequence(F.lit(0), size - n), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(n)]))
-    return F.when(size >= n, runs).when(size > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(size >= n, runs).otherwise(F.array(F.xxhash64(hashes)))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -53,17 +53,25 @@ def line_sets(own: DataFrame) -> DataFrame:
     return hashed.select("doc_id", "text_key", "line_no", F.array_distinct(shingle_hashes(F.col("words"))).alias("set"))
 
 
-def frequent_shingles(sets: DataFrame) -> list[int]:
-    """The shingles that most lines hold, at most ``FREQUENT``, counted over all lines in bounded memory."""
-    top = sets.select(F.explode("set").alias("token")).agg(F.expr(f"approx_top_k(token, {FREQUENT}, {COUNTERS})").alias("top"))
-    return sorted(r["item"] for r in top.select(F.explode("top").alias("t")).select("t.item", "t.count").where("count > 64").collect())
+def frequent_buckets(sets: DataFrame) -> list[int]:
+    """The hash buckets that hold frequent shingles: of all shingles of all lines, those counted ``TIMES`` the mean or more.
+
+    The table of counts has a fixed size and is summed before it is moved; the
+    list is at most ``FREQUENT`` long, the fullest first.
+    """
+    # The outer form: the plain one adds a filter on the array, which would move into the lambda that builds it.
+    counts = stored(sets.select(F.explode_outer("set").alias("t")).groupBy(F.shiftrightunsigned("t", 64 - BUCKET_BITS).alias("bucket")).agg(F.count("*").alias("n")), "line-buckets")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    full = counts.where(F.col("n") > max(64, TIMES * total / (1 << BUCKET_BITS))).orderBy(F.desc("n"), "bucket").limit(FREQUENT)
+    return sorted(r["bucket"] for r in full.select("bucket").collect())
 
 
 def _prefix(tokens: str, frequent: list[int], threshold: float) -> Column:
     """The first shingles in rarity order that a similar set must share one of, as 32-bit names."""
     # A name is 62 bits of the hash; frequent shingles sort last by the bit above.
-    last = f"IF(t IN ({', '.join(f'{t}L' for t in frequent)}), {1 << 62}L, 0L)" if frequent else "0L"
-    ranked = F.expr(f"array_sort(transform({tokens}, t -> shiftrightunsigned(t, 2) + {last}))")
+    buckets = ", ".join(f"{b}L" for b in frequent)
+    last = f"IF(shiftrightunsigned(t, {64 - BUCKET_BITS}) IN ({buckets}), {1 << 62}L, 0L)" if frequent else "0L"
+    ranked = F.expr(f"sort_array(transform({tokens}, t -> shiftrightunsigned(t, 2) + {last}))")
     n = F.size(tokens)
     take = n - F.ceil(n * threshold - F.lit(1e-9)).cast("int") + 1
     return F.transform(F.slice(ranked, F.lit(1), take), lambda t: (t.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int"))
@@ -93,10 +101,10 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_key, line_no) of the lines to remove."""
     own = keyed(docs)
     sets = line_sets(own)
-    frequent = frequent_shingles(sets)
+    frequent = frequent_buckets(sets)
     order = ["doc_id", "text_key", "line_no"]
     rows = stored(sets.select(
-        *order, F.size("set").alias("n"), F.xxhash64(F.array_sort("set")).alias("k1"), F.xxhash64(F.lit(7), F.array_sort("set")).alias("k2"),
+        *order, F.size("set").alias("n"), F.xxhash64(F.sort_array("set")).alias("k1"), F.xxhash64(F.lit(7), F.sort_array("set")).alias("k2"),
         _prefix("set", frequent, threshold).alias("prefix"),
     ), "line-sets")
     # Equal sets: the earliest line stands for all. Its rank in the order is its number.
