@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import stored
-from storyloom.llm.rolling import U, mix, shingles
+from storyloom.llm.rolling import U, mix, shingle_groups
 from storyloom.operators.cluster import roots
 
 ORDERS = 3
@@ -53,9 +53,8 @@ def rarity_levels(docs: DataFrame, words: int) -> bytes:
     def count(batches):
         total = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
-            parts = [shingles((t or "").encode("utf-8", "replace"), words) for t in batch.column("text").to_pylist()]
-            if parts:
-                total += np.bincount(_bucket(np.concatenate(parts)), minlength=len(total))
+            for _, _, tokens in shingle_groups(batch.column("text").to_pylist(), words):
+                total += np.bincount(_bucket(tokens), minlength=len(total))
         held = [zlib.compress(total[k * width:(k + 1) * width].tobytes(), 1) for k in range(SLICES)]
         yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array(held, pa.binary())})
 
@@ -76,15 +75,29 @@ def rarity_levels(docs: DataFrame, words: int) -> bytes:
     return np.clip(np.floor(np.log2(np.maximum(counts / usual, 1.0))), 0, 15).astype(np.uint8).tobytes()
 
 
-def _prefix(tokens: np.ndarray, levels: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The first tokens under an order, in that order."""
+def _ranks(tokens: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
+    """The place of tokens in a global order: rarity level, then the order's own hash."""
+    return (levels[_bucket(tokens)].astype(U) << U(60)) | (mix(tokens, 100 + order) >> U(4))
+
+
+def _prefix(tokens: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
+    """The first tokens of a set under an order, in that order."""
     take = len(tokens) - -(-percent * len(tokens) // 100) + 1
-    rank = (levels[_bucket(tokens)].astype(U) << U(60)) | (mix(tokens, 100 + order) >> U(4))
-    return tokens[np.argsort(rank, kind="stable")[:take]]
+    if take < len(tokens):
+        chosen = np.argpartition(ranks, take - 1)[:take]
+        return tokens[chosen[np.argsort(ranks[chosen])]]
+    return tokens[np.argsort(ranks)]
 
 
-def _set_key(tokens: np.ndarray) -> int:
-    return int((mix(mix(tokens, 5).sum(keepdims=True) ^ U(len(tokens)), 6) ^ np.bitwise_xor.reduce(mix(tokens, 7)))[0].view(np.int64))
+def _set_keys(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A name of 64 bits for each set; sets without tokens have none of their own."""
+    size = np.diff(bounds)
+    full = size > 0
+    keys = np.zeros(len(size), U)
+    if full.any():
+        at = bounds[:-1][full]
+        keys[full] = mix(np.add.reduceat(mix(tokens, 5), at) ^ size[full].astype(U), 6) ^ np.bitwise_xor.reduceat(mix(tokens, 7), at)
+    return keys.view(np.int64)
 
 
 def _signed(tokens: np.ndarray) -> list:
@@ -97,11 +110,11 @@ def described(docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
         table = np.frombuffer(levels.value, np.uint8)
         for batch in batches:
             keys, sizes, prefixes = [], [], []
-            for text in batch.column("text").to_pylist():
-                tokens = shingles((text or "").encode("utf-8", "replace"), words)
-                keys.append(_set_key(tokens) if len(tokens) else None)
-                sizes.append(len(tokens))
-                prefixes.append(_signed(_prefix(tokens, table, 0, percent)) if len(tokens) else [])
+            for _, bounds, tokens in shingle_groups(batch.column("text").to_pylist(), words):
+                ranks, size = _ranks(tokens, table, 0), np.diff(bounds)
+                keys += [key if n else None for key, n in zip(_set_keys(tokens, bounds).tolist(), size.tolist())]
+                sizes += size.tolist()
+                prefixes += [_signed(_prefix(tokens[a:b], ranks[a:b], percent)) if a < b else [] for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
                 ["doc_id", "set_key", "n", "prefix"],
@@ -110,12 +123,12 @@ def described(docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, "doc_id long, set_key long, n long, prefix array<long>")
 
 
-def _live_bits(keys: DataFrame) -> bytes:
-    """A bitmap of fixed size that holds the set keys; it may let others pass."""
-    word = F.shiftrightunsigned("set_key", 64 - LIVE_BITS + 6)
-    rows = keys.groupBy(word.alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(set_key, {64 - LIVE_BITS}) & 63 AS INT))")).alias("bits")
-    ).collect()
+def _live_bits(live: DataFrame) -> bytes:
+    """A bitmap of fixed size that holds the hashes of the nodes; it may let others pass."""
+    h = F.xxhash64("node")
+    word = F.shiftrightunsigned(h, 64 - LIVE_BITS + 6)
+    bit = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(xxhash64(node), {64 - LIVE_BITS}) & 63 AS INT))")
+    rows = live.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
     bits = np.zeros(1 << (LIVE_BITS - 6), np.int64)
     for r in rows:
         bits[r["word"]] = r["bits"]
@@ -123,47 +136,49 @@ def _live_bits(keys: DataFrame) -> bytes:
 
 
 def whole_sets(docs: DataFrame, live: DataFrame, levels, words: int, percent: int) -> DataFrame:
-    """(node, n, tokens, prefixes) of the live nodes; ``live`` is (node, set_key). ``prefixes`` are those of the orders after the first."""
+    """(node, set_key, n, tokens, prefixes) of the nodes ``live`` (node, set_key). ``prefixes`` are those of the orders after the first.
+
+    Only documents that pass the bitmap of the live ids are read into sets, so
+    copies of a node are never moved.
+    """
     bitmap = docs.sparkSession.sparkContext.broadcast(_live_bits(live))
 
     def read(batches):
         table, bits = np.frombuffer(levels.value, np.uint8), np.frombuffer(bitmap.value, U)
         for batch in batches:
+            place = batch.column("h").to_numpy().view(np.uint64) >> U(64 - LIVE_BITS)
+            passed = np.flatnonzero((bits[place >> U(6)] >> (place & U(63))) & U(1))
             rows, keys, sizes, sets, prefixes = [], [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                tokens = shingles((text or "").encode("utf-8", "replace"), words)
-                if not len(tokens):
-                    continue
-                key = _set_key(tokens)
-                place = (key % (1 << 64)) >> (64 - LIVE_BITS)
-                if int(bits[place >> 6]) >> (place & 63) & 1:
-                    rows.append(row)
-                    keys.append(key)
-                    sizes.append(len(tokens))
-                    sets.append(tokens.tobytes())
-                    prefixes.append([_signed(_prefix(tokens, table, k, percent)) for k in range(1, ORDERS)])
+            texts = batch.column("text").take(pa.array(passed)).to_pylist()
+            for first, bounds, tokens in shingle_groups(texts, words):
+                ranks, names = [_ranks(tokens, table, k) for k in range(1, ORDERS)], _set_keys(tokens, bounds).tolist()
+                for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                    if a < b:
+                        rows.append(int(passed[first + i]))
+                        keys.append(names[i])
+                        sizes.append(b - a)
+                        sets.append(tokens[a:b].tobytes())
+                        prefixes.append([_signed(_prefix(tokens[a:b], rank[a:b], percent)) for rank in ranks])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()),
                  pa.array(sets, pa.binary()), pa.array(prefixes, pa.list_(pa.list_(pa.int64())))],
-                ["doc_id", "set_key", "n", "tokens", "prefixes"],
+                ["node", "set_key", "n", "tokens", "prefixes"],
             )
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        read, "doc_id long, set_key long, n long, tokens binary, prefixes array<array<long>>")
-    # The node is the smallest id of its set: one row of it is kept, copies go before anything is moved.
-    return found.join(live.withColumnRenamed("set_key", "_key"), (F.col("doc_id") == F.col("node")) & (F.col("set_key") == F.col("_key"))).select(
-        "node", "n", "tokens", "prefixes",
-    ).dropDuplicates(["node"])
+    doc_id = F.col("doc_id").cast("long")
+    found = docs.where(F.col("doc_id").isNotNull()).select(doc_id.alias("doc_id"), F.xxhash64(doc_id).alias("h"), "text").mapInArrow(
+        read, "node long, set_key long, n long, tokens binary, prefixes array<array<long>>")
+    return found.join(live, ["node", "set_key"], "left_semi").dropDuplicates(["node", "set_key"])
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """``prefixes`` (node, n, prefix) -> (token, node, n, most): tokens that several prefixes hold, with the
-    overlap that the node can still have with a set that meets it there."""
-    tokens = prefixes.select("node", "n", F.posexplode("prefix").alias("place", "token"))
+    """``prefixes`` (node, set_key, n, prefix) -> (token, node, n, most): tokens that several prefixes hold, with
+    the overlap that the node can still have with a set that meets it there."""
+    tokens = prefixes.select("node", "set_key", "n", F.posexplode("prefix").alias("place", "token"))
     several = stored(tokens.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token"), "jaccard-shared")
     kept = tokens.join(several, "token")
     # Tokens passed over on the way are in no other prefix, so not in a set that meets this one here.
-    met = F.row_number().over(Window.partitionBy("node").orderBy("place")) - 1
+    met = F.row_number().over(Window.partitionBy("node", "set_key").orderBy("place")) - 1
     return stored(kept.select("token", "node", "n", (F.col("n") - F.col("place") + met).alias("most")), "jaccard-tokens")
 
 
@@ -212,32 +227,41 @@ def components(links: DataFrame) -> DataFrame:
         label = stored(label.join(rooted, F.col("component") == F.col("item_id")).select("node", F.col("root").alias("component")), "components")
 
 
+def _across(tokens: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that may link by a shared prefix token."""
+    own = tokens.join(label, "node", "left").select("token", "node", "n", "most", F.coalesce("component", "node").alias("component"))
+    met = own.alias("x").join(own.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node"))
+                              & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", percent))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def similar_pairs(docs: DataFrame, rows: DataFrame, levels, words: int, percent: int) -> DataFrame:
     """(a, b): links between nodes that, with the nodes themselves, give the components."""
     nodes = stored(
         rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         .where("node IS NOT NULL"), "jaccard-nodes",
     )
-    first = _shared(nodes.select("node", "n", "prefix"))
-    live = stored(first.select("node").distinct().join(nodes.select("node", "set_key"), "node"), "jaccard-live")
-    sets = stored(whole_sets(docs, live, levels, words, percent), "jaccard-sets")
+    first = _shared(nodes)
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The sets of the nodes that some pair names, and of no others."""
+        named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
+        live = stored(named.join(nodes.select("node", "set_key"), "node"), "jaccard-live")
+        return stored(whole_sets(docs, live, levels, words, percent), "jaccard-sets")
 
     # Round one: each token leads its sets to the one that can overlap others most.
     lead = first.groupBy("token").agg(F.max(F.struct((F.col("most") / F.col("n")).alias("share"), (-F.col("node")).alias("_"), "node", "n", "most")).alias("l")).select("token", "l.*")
     near = first.alias("x").join(lead.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & _may_link("x", "y", percent))
     near = stored(near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "jaccard-lead-pairs")
-    links = stored(_linked(near, sets, percent), "jaccard-lead-links")
+    links = stored(_linked(near, sets_of(near), percent), "jaccard-lead-links")
     label = components(links)
 
     # Round two: sets of different components, meeting under every order.
-    pairs = None
-    for order in range(ORDERS):
-        own = first if order == 0 else _shared(sets.select("node", "n", F.get("prefixes", order - 1).alias("prefix")))
-        own = own.join(label, "node", "left").select("token", "node", "n", "most", F.coalesce("component", "node").alias("component"))
-        met = own.alias("x").join(own.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node"))
-                                  & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", percent))
-        met = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        pairs = stored(met.join(near, ["a", "b"], "left_anti") if pairs is None else met.join(pairs, ["a", "b"], "left_semi"), "jaccard-pairs")
+    pairs = stored(_across(first, label, percent).join(near, ["a", "b"], "left_anti"), "jaccard-pairs")
+    sets = sets_of(pairs)
+    for order in range(1, ORDERS):
+        own = _shared(sets.select("node", "set_key", "n", F.get("prefixes", order - 1).alias("prefix")))
+        pairs = stored(pairs.join(_across(own, label, percent), ["a", "b"], "left_semi"), "jaccard-pairs")
     return links.union(stored(_linked(pairs, sets, percent), "jaccard-links"))
 
 

@@ -61,8 +61,56 @@ def shingles(data: bytes, size: int) -> np.ndarray:
     found = words(data)
     if not len(found):
         return found
-    size, n = min(size, len(found)), max(1, len(found) - size + 1)
+    return np.unique(_runs(found, min(size, len(found))))
+
+
+def _runs(found: np.ndarray, size: int) -> np.ndarray:
+    n = len(found) - size + 1
     out = np.full(n, size, U)
     for k in range(size):
         out = mix(out ^ found[k:k + n], k + 3)
-    return np.unique(out)
+    return out
+
+
+#: Bytes of text worked on in one go.
+GROUP_BYTES = 1 << 20
+
+
+def shingle_groups(texts: list[str | None], size: int):
+    """(first, bounds, tokens) for consecutive texts: the ``shingles`` of text ``first + i`` are ``tokens[bounds[i]:bounds[i + 1]]``."""
+    first = 0
+    while first < len(texts):
+        data, total = [], 0
+        while first + len(data) < len(texts) and (not data or total < GROUP_BYTES) and len(data) < 60_000:
+            data.append((texts[first + len(data)] or "").encode("utf-8", "replace"))
+            total += len(data[-1]) + 1
+        yield first, *_group(data, size)
+        first += len(data)
+
+
+def _group(data: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    view = np.frombuffer(b"\n".join(data).lower(), np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[view], [True]]).astype(np.int8)))
+    start, stop = edges[::2], edges[1::2]
+    if not len(start):
+        return np.zeros(len(data) + 1, np.int64), np.zeros(0, U)
+    found = span_hash(prefix_sums(view), start, stop)
+    begins = np.cumsum([0, *(len(d) + 1 for d in data[:-1])])
+    owner = np.searchsorted(begins, start, side="right") - 1
+    count = np.bincount(owner, minlength=len(data))
+    tokens, owners = np.zeros(0, U), np.zeros(0, np.int64)
+    if len(found) >= size:
+        inside = owner[:len(owner) - size + 1] == owner[size - 1:]
+        tokens, owners = _runs(found, size)[inside], owner[:len(inside)][inside]
+    # Texts of fewer words are one run each.
+    last = np.cumsum(count)
+    short = np.flatnonzero((count > 0) & (count < size))
+    if len(short):
+        tokens = np.concatenate([tokens, *(_runs(found[last[i] - count[i]:last[i]], count[i]) for i in short)])
+        owners = np.concatenate([owners, short])
+    order = np.argsort(tokens)
+    order = order[np.argsort(owners[order].astype(np.uint16), kind="stable")]
+    tokens, owners = tokens[order], owners[order]
+    new = np.append(True, (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1]))
+    tokens, owners = tokens[new], owners[new]
+    return np.searchsorted(owners, np.arange(len(data) + 1)), tokens
