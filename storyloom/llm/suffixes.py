@@ -12,9 +12,11 @@ built to that depth, in the steps of the difference-cover construction:
   it, its gram, what follows, as far as its strings reach. Positions are grouped by
   the gram's name; where it repeats, by the name of the whole piece.
 - *Recurse.* Pieces whose whole name repeats are settled: all their strings repeat.
-  Only grams that repeat with different pieces go on.
-- *Merge the rest.* For those, every remaining start is named by its ``LENGTH``-byte
-  prefix, and equal prefixes meet.
+  Where a gram repeats with different pieces, the single pieces and one occurrence
+  of each settled piece go on: starts that lie together in a block of ``BLOCK`` share a
+  core of ``LENGTH - BLOCK + 1`` bytes, which is named in turn.
+- *Merge the rest.* Where a core repeats, every remaining start is named by its
+  ``LENGTH``-byte prefix, and equal prefixes meet.
 
 Names are 64-bit fingerprints, compared only below an equal gram name, in place of
 ranks: no step needs one global order. Bitmaps of fixed size (``BITS``) keep what
@@ -39,6 +41,7 @@ from storyloom.llm.rolling import U, mix, prefix_sums, span_hash
 
 LENGTH, GRAM = 200, 48
 WIDTH = LENGTH - GRAM + 1
+BLOCK = 20
 BITS = 26
 #: Window starts handled at once; the place inside fits the low bits of the packed hash.
 _STRETCH, _PLACE_BITS = 1 << 22, 24
@@ -55,13 +58,13 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1:width - 1 + n])
 
 
-def sampled(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram name, piece name, first start, last start) of every sampled position; ``sums`` are those of the text."""
+def sampled(sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(gram name, piece name, first start, last start, place) of every sampled position; ``sums`` are those of the text."""
     starts = len(sums) - LENGTH  # of strings of LENGTH bytes
     if starts <= 0:
         none = np.zeros(0, np.int64)
-        return none.astype(U), none.astype(U), none, none
-    grams, lows, highs = [], [], []
+        return none.astype(U), none.astype(U), none, none, none
+    grams, lows, highs, places = [], [], [], []
     for base in range(0, starts, _STRETCH):
         end = min(starts, base + _STRETCH)
         at = np.arange(base, end + WIDTH - 1)
@@ -70,10 +73,11 @@ def sampled(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         chosen = (_least((gram & ~place) | (at - base).astype(U), WIDTH) & place).astype(np.int64)
         first = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
         grams.append(gram[chosen[first]])
+        places.append(base + chosen[first])
         lows.append(base + first)
         highs.append(base + np.append(first[1:], len(chosen)) - 1)
     gram, low, high = np.concatenate(grams), np.concatenate(lows), np.concatenate(highs)
-    return gram, span_hash(sums, low, high + LENGTH), low, high
+    return gram, span_hash(sums, low, high + LENGTH), low, high, np.concatenate(places)
 
 
 def _passes(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
@@ -109,8 +113,13 @@ def _signed(names: np.ndarray) -> pa.Array:
     return pa.array(names.view(np.int64))
 
 
+def _spots(keys: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """A name of each place (text, first start)."""
+    return mix(keys.view(U) ^ mix(low.astype(U), 3), 4)
+
+
 def pieces(own: DataFrame, only=None) -> DataFrame:
-    """(gram, piece, text_key, low, high) of the sampled positions, those whose gram the bitmap ``only`` lets pass."""
+    """(gram, piece, text_key, low, high, spot) of the sampled positions, those whose gram the bitmap ``only`` lets pass."""
     def read(batches):
         bits = None if only is None else np.frombuffer(only.value, U)
         for batch in batches:
@@ -125,45 +134,93 @@ def pieces(own: DataFrame, only=None) -> DataFrame:
                     rows.append(np.full(len(part[0]), row))
             if parts:
                 gram, piece, low, high = (np.concatenate([p[k] for p in parts]) for k in range(4))
-                key = batch.column("text_key").take(pa.array(np.concatenate(rows)))
+                key = batch.column("text_key").to_numpy()[np.concatenate(rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(gram), _signed(piece), key, pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
-                    ["gram", "piece", "text_key", "low", "high"],
+                    [_signed(gram), _signed(piece), pa.array(key), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), _signed(_spots(key, low))],
+                    ["gram", "piece", "text_key", "low", "high", "spot"],
                 )
 
-    return own.mapInArrow(read, "gram long, piece long, text_key long, low int, high int")
-
-
-def prefixes(own: DataFrame, mixed, open_) -> DataFrame:
-    """(prefix, text_key, at, open): the named prefix of every start whose gram the bitmap ``mixed`` lets pass;
-    ``open`` where the piece may repeat nowhere as a whole."""
+    return own.mapInArrow(read, "gram long, piece long, text_key long, low int, high int, spot long")
+
+
+def _chosen(batches, spots: np.ndarray):
+    """(text_key, sums, gram, piece, low, high, place) of each text with sampled positions that the bitmap lets pass.
+
+    Of equal texts in one task the first stands for all: a position that goes on
+    is single, or one occurrence of it is enough.
+    """
+    seen = set()
+    for batch in batches:
+        for key, text in zip(batch.column("text_key").to_pylist(), batch.column("text").to_pylist()):
+            if key in seen:
+                continue
+            seen.add(key)
+            sums = prefix_sums(_data(text))
+            found = sampled(sums)
+            if len(found[0]):
+                keep = _passes(spots, _spots(np.full(len(found[2]), key, np.int64), found[2]))
+                if keep.any():
+                    yield key, sums, *(x[keep] for x in found)
+
+
+def _blocks(sums: np.ndarray, gram: np.ndarray, low: np.ndarray, high: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(core name, first start, last start, piece) per block; blocks are counted from the gram back, so equal strings share theirs."""
+    near, far = (place - high) // BLOCK, (place - low) // BLOCK
+    count = far - near + 1
+    ends = np.cumsum(count)
+    piece = np.repeat(np.arange(len(low)), count)
+    block = np.arange(ends[-1]) - (ends - count)[piece] + near[piece]
+    latest = place[piece] - block * BLOCK
+    # The bytes that all starts of the block have in common.
+    core = mix(span_hash(sums, latest, latest + LENGTH - BLOCK + 1) ^ gram[piece], 8)
+    return core, np.maximum(latest - BLOCK + 1, low[piece]), np.minimum(latest, high[piece]), piece
+
+
+def cores(own: DataFrame, spots) -> DataFrame:
+    """(core): the core of every block of the positions that the bitmap ``spots`` lets pass."""
     def read(batches):
-        grams, whole = np.frombuffer(mixed.value, U), np.frombuffer(open_.value, U)
-        for batch in batches:
-            names, keys, places, opens = [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                sums = prefix_sums(_data(text))
-                gram, piece, low, high = sampled(sums)
-                if not len(gram):
-                    continue
-                keep = _passes(grams, gram)
-                gram, piece, low, high = gram[keep], piece[keep], low[keep], high[keep]
-                if not len(gram):
-                    continue
-                size = high - low + 1
-                ends = np.cumsum(size)
-                at = np.repeat(low - (ends - size), size) + np.arange(ends[-1])
-                # The gram's name goes in, so prefixes meet only below equal grams.
-                names.append(mix(span_hash(sums, at, at + LENGTH) ^ np.repeat(gram, size), 9))
-                keys.append(np.full(len(at), row))
-                places.append(at)
-                opens.append(np.repeat(_passes(whole, piece), size))
-            if names:
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(np.concatenate(names)), batch.column("text_key").take(pa.array(np.concatenate(keys))),
-                     pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(opens))],
-                    ["prefix", "text_key", "at", "open"],
-                )
+        held, size = [], 0
+        for _, sums, gram, _, low, high, place in _chosen(batches, np.frombuffer(spots.value, U)):
+            held.append(_blocks(sums, gram, low, high, place)[0])
+            size += len(held[-1])
+            if size > 100_000:
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(held))], ["core"])
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(held))], ["core"])
+
+    return own.mapInArrow(read, "core long")
+
+
+def prefixes(own: DataFrame, spots, repeated, single) -> DataFrame:
+    """(prefix, text_key, at, open): the named prefix of every start in a block whose core the bitmap ``repeated``
+    lets pass; ``open`` where the bitmap ``single`` holds the piece, so that it may repeat nowhere as a whole."""
+    def read(batches):
+        cores_, whole = np.frombuffer(repeated.value, U), np.frombuffer(single.value, U)
+        held, size = [], 0
+
+        def sent():
+            names, keys, places, opens = (np.concatenate([h[k] for h in held]) for k in range(4))
+            return pa.RecordBatch.from_arrays([_signed(names), pa.array(keys), pa.array(places.astype(np.int32)), pa.array(opens)], ["prefix", "text_key", "at", "open"])
+
+        for key, sums, gram, piece, low, high, place in _chosen(batches, np.frombuffer(spots.value, U)):
+            core, first, last, owner = _blocks(sums, gram, low, high, place)
+            keep = _passes(cores_, core)
+            first, last, owner = first[keep], last[keep], owner[keep]
+            if not len(first):
+                continue
+            count = last - first + 1
+            ends = np.cumsum(count)
+            at = np.repeat(first - (ends - count), count) + np.arange(ends[-1])
+            owner = np.repeat(owner, count)
+            # The gram's name goes in, so prefixes meet only below equal grams.
+            held.append((mix(span_hash(sums, at, at + LENGTH) ^ gram[owner], 9), np.full(len(at), key, np.int64), at, _passes(whole, piece)[owner]))
+            size += len(at)
+            if size > 100_000:
+                yield sent()
+                held, size = [], 0
+        if held:
+            yield sent()
 
     return own.mapInArrow(read, "prefix long, text_key long, at int, open boolean")
 
@@ -174,14 +231,15 @@ def repeated_starts(own: DataFrame) -> DataFrame:
     grams = stored(pieces(own).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "suffix-grams")
     held = context.broadcast(_bitmap(grams, "gram"))
     met = stored(pieces(own, held).join(grams, "gram"), "suffix-pieces")
-    counted = stored(met.groupBy("gram", "piece").agg(F.count("*").alias("n")), "suffix-names")
+    counted = stored(met.groupBy("gram", "piece").agg(F.count("*").alias("n"), F.min("spot").alias("spot")), "suffix-names")
     whole = stored(counted.where("n > 1").select("gram", "piece"), "suffix-whole")
     settled = met.join(whole, ["gram", "piece"], "left_semi").select("text_key", "low", "high")
-    # A gram met before different pieces: its starts are compared one by one.
-    several = counted.groupBy("gram").agg(F.count("*").alias("pieces")).where("pieces > 1").select("gram")
-    mixed = context.broadcast(_bitmap(several, "gram"))
-    open_ = context.broadcast(_bitmap(counted.where("n = 1"), "piece"))
-    rest = stored(prefixes(own, mixed, open_), "suffix-prefixes")
+    # A gram met before different pieces: the single ones, and one occurrence of each other, are compared further.
+    several = stored(counted.groupBy("gram").agg(F.count("*").alias("pieces")).where("pieces > 1").select("gram"), "suffix-several")
+    spots = context.broadcast(_bitmap(counted.join(several, "gram", "left_semi"), "spot"))
+    single = context.broadcast(_bitmap(counted.where("n = 1"), "piece"))
+    repeated = cores(own, spots).groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+    rest = stored(prefixes(own, spots, context.broadcast(_bitmap(repeated, "core")), single), "suffix-prefixes")
     equal = stored(rest.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix"), "suffix-equal")
     late = rest.where("open").join(equal, "prefix", "left_semi").select("text_key", F.col("at").alias("low"), F.col("at").alias("high"))
     return settled.union(late)
