@@ -46,9 +46,17 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def line_sets(own: DataFrame) -> DataFrame:
-    """(doc_id, text_key, line_no, set): one row per line that has a word."""
-    lines = own.where(F.col("text").isNotNull()).select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    words = F.filter(F.split(F.lower("line"), f"[{SPACE}]+"), lambda w: w != "")
+    """(doc_id, text_key, line_no, set): one row per line that has a word.
+
+    With a column ``wanted`` (array of line numbers) in ``own``, of those lines only.
+    """
+    lines = own.where(F.col("text").isNotNull()).select(*[c for c in own.columns if c != "text"], F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    if "wanted" in own.columns:
+        lines = lines.where(F.array_contains("wanted", F.col("line_no")))
+    # A split at one literal character is much cheaper than one at a pattern; few lines hold other blanks.
+    low = F.lower("line")
+    plain = F.when(low.rlike(r"[\x09-\x0D]"), F.translate(low, "\t\x0b\x0c\r", "    ")).otherwise(low)
+    words = F.filter(F.split(plain, " "), lambda w: w != "")
     hashed = lines.select("doc_id", "text_key", "line_no", F.transform(words, lambda w: F.xxhash64(w)).alias("words")).where(F.size("words") > 0)
     return hashed.select("doc_id", "text_key", "line_no", F.array_distinct(shingle_hashes(F.col("words"))).alias("set"))
 
@@ -120,13 +128,16 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sized = firsts.select("rid", *order)
 
     def whole(pairs: DataFrame) -> DataFrame:
-        """The shingle sets of the lines that ``pairs`` name, from the texts."""
+        """The shingle sets of the lines that ``pairs`` name, from the texts; other lines are not read into sets."""
         named = pairs.select(F.col("later").alias("rid")).union(pairs.select(F.col("earlier").alias("rid"))).distinct().join(sized, "rid")
-        texts = own.join(named.select("doc_id", "text_key").distinct().withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}),
-                         F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left_semi")
-        named = named.withColumnsRenamed({"doc_id": "_id", "text_key": "_key", "line_no": "_no"})
-        return stored(line_sets(texts.dropDuplicates(["doc_id", "text_key"])).join(
-            named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")) & (F.col("line_no") == F.col("_no")),
+        per_text = named.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(
+            F.collect_list("line_no").alias("wanted"),
+        )
+        texts = own.join(stored(per_text, "line-wanted"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
+        found = line_sets(texts.select("doc_id", "text_key", "text", "wanted"))
+        names = named.withColumnsRenamed({"doc_id": "_id", "text_key": "_key", "line_no": "_no"})
+        return stored(found.join(
+            names, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")) & (F.col("line_no") == F.col("_no")),
         ).select("rid", "set"), "line-whole")
 
     first_hits = stored(_verified(near, whole(near), threshold).select(F.col("later").alias("rid")).distinct(), "line-first-hits")
