@@ -10,7 +10,6 @@ from storyloom.functions.text import strip
 from storyloom.model import METADATA
 
 UNDATED_HOURS = 8760.0
-EMBED_LIMIT, TAG_LIMIT, BODY_LIMIT = 2000, 12, 600
 
 
 def at() -> Column:
@@ -64,18 +63,18 @@ def comments(meta: Column) -> Column:
 
 
 def embedding_text() -> Column:
-    """Title plus what identifies an item of its kind."""
+    """Title plus what identifies an item of its kind, whole: a model's window is the embedder's matter."""
     meta = metadata()
-    tags = F.slice(F.filter(meta["tags"], lambda t: ~F.contains(t, F.lit(":"))), 1, TAG_LIMIT)
+    tags = F.filter(meta["tags"], lambda t: ~F.contains(t, F.lit(":")))
     filled = lambda c: F.when(c != "", c)
     title = filled(F.col("title"))
     as_model = F.concat_ws(" ", title, filled(F.regexp_replace(meta["pipeline_tag"], "-", " ")),
                            filled(F.array_join(tags, " ")))
-    as_repo = F.concat_ws(" ", title, filled(F.substring(F.col("body"), 1, BODY_LIMIT)))
+    as_repo = F.concat_ws(" ", title, filled(F.col("body")))
     as_thread = F.concat_ws(" ", title, filled(urls.domain(meta["outbound_url"])), filled(F.col("summary")))
     other = F.concat_ws(" ", title, filled(F.col("summary")))
     text = (
         F.when(F.col("kind") == "model", as_model).when(F.col("kind") == "repo", as_repo)
         .when(F.col("kind") == "discussion", as_thread).otherwise(other)
     )
-    return F.substring(strip(text), 1, EMBED_LIMIT)
+    return strip(text)

@@ -10,7 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# A tag, a run of blanks, blanks before closing and after opening punctuation.
+TAG = r"<[^>]+>"
 BLANK = r"(?U)\s+"
+SPACE_BEFORE = r"(?U)\s+([,.;:!?)\]}])"
+SPACE_AFTER = r"(?U)([(\[{])\s+"
 # Every character counted as white space at the ends of a text.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -29,6 +33,13 @@ def decode_entities(text: Column) -> Column:
     return F.coalesce(_entities(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
+def decode_each(texts: Column) -> Column:
+    """``decode_entities`` of every element of an array; the texts leave the JVM as one."""
+    mark = "\x01"  # no text of a page or feed holds this control
+    joined = decode_entities(F.array_join(texts, mark))
+    return F.when(F.size(texts) > 0, F.split(joined, mark)).otherwise(texts)
+
+
 def bind(value: Column, use) -> Column:
     """``use(value)`` with the value computed once however often it is used.
 
@@ -48,9 +59,9 @@ def squeeze(text: Column) -> Column:
 
 def strip_html(text: Column) -> Column:
     """An HTML fragment as plain text, NULL when nothing is left."""
-    flat = F.regexp_replace(decode_entities(F.regexp_replace(text, r"<[^>]+>", " ")), BLANK, " ")
-    flat = F.regexp_replace(flat, r"(?U)\s+([,.;:!?)\]}])", "$1")
-    flat = F.regexp_replace(flat, r"(?U)([(\[{])\s+", "$1")
+    flat = F.regexp_replace(decode_entities(F.regexp_replace(text, TAG, " ")), BLANK, " ")
+    flat = F.regexp_replace(flat, SPACE_BEFORE, "$1")
+    flat = F.regexp_replace(flat, SPACE_AFTER, "$1")
     return none_if_blank(F.btrim(flat))
 
 
@@ -157,29 +168,33 @@ CARD_PHRASES = (
     "more details on the model",
     "direct use",
 )
-PROSE_MINIMUM, WRITTEN_MINIMUM, DESCRIPTION_LIMIT = 40, 18, 600
+PROSE_MINIMUM, WRITTEN_MINIMUM = 40, 18
 
 
 _OPENING = "^(?:" + "|".join(re.escape(m) for m in NOT_PROSE_OPENINGS) + ")"
 _STOCK = "(?i)" + "|".join(re.escape(p).replace("\\ ", " ") for p in CARD_PHRASES)
 
 
-def _flat_block(block: Column) -> Column:
+def _bare_block(block: Column) -> Column:
     flat = F.regexp_replace(F.regexp_replace(block, r"\[([^\]]*)\]\([^)]*\)", "$1"), "\n", " ")
-    flat = F.regexp_replace(F.regexp_replace(flat, r"<[^>]+>", " "), BLANK, " ")
-    flat = F.regexp_replace(flat, r"\s+([,.;:!?)\]}])", "$1")
-    return F.btrim(F.regexp_replace(flat, r"([(\[{])\s+", "$1"))
+    return F.regexp_replace(flat, TAG, " ")
+
+
+def _flat_block(block: Column) -> Column:
+    flat = F.regexp_replace(F.regexp_replace(block, BLANK, " "), SPACE_BEFORE, "$1")
+    return F.btrim(F.regexp_replace(flat, SPACE_AFTER, "$1"))
 
 
 def prose_summary(markdown: Column) -> Column:
-    """The first block of real prose in a markdown document.
+    """The first block of real prose in a markdown document, whole.
 
-    Entities are decoded once for the document rather than per block, and every
-    step over the blocks is a pass of its own, so no block is worked on twice.
+    What kind of block it is shows in the text as written; entities are decoded
+    after that, for all blocks at once. Every step over the blocks is a pass of
+    its own, so no block is worked on twice.
     """
-    body = decode_entities(F.regexp_replace(markdown, r"(?s)\A---\r?\n.*?\r?\n---\r?\n", ""))
+    body = F.regexp_replace(markdown, r"(?s)\A---\r?\n.*?\r?\n---\r?\n", "")
     bare = F.transform(F.split(body, "\n\n"), lambda b: strip(F.regexp_replace(b, r"!\[[^\]]*\]\([^)]*\)", "")))
     written = F.filter(bare, lambda b: (b != "") & ~F.regexp_like(b, F.lit(_OPENING)))
-    flat = F.transform(written, _flat_block)
+    flat = F.transform(decode_each(F.transform(written, _bare_block)), _flat_block)
     prose = F.filter(flat, lambda b: (F.length(b) > PROSE_MINIMUM) & ~F.regexp_like(b, F.lit(_STOCK)))
-    return truncate(F.get(prose, F.lit(0)), DESCRIPTION_LIMIT)
+    return F.get(prose, F.lit(0))

@@ -112,11 +112,7 @@ def looks_like_site(text: Column) -> Column:
 
 
 def resolve(base: Column, ref: Column) -> Column:
-    """An http(s) reference resolved against its page.
-
-    Dot segments are not removed: pages that write a path for their picture
-    write it from the root or from the page's own folder.
-    """
+    """An http(s) reference resolved against its page, without dot segments."""
     scheme, host = F.lower(part(base, 1)), part(base, 2)
     root = F.concat(scheme, F.lit("://"), host)
     folder = F.regexp_replace(part(base, 3), "[^/]*$", "")
@@ -124,7 +120,20 @@ def resolve(base: Column, ref: Column) -> Column:
     return (
         F.when(F.regexp_like(ref, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), ref)
         .when(F.startswith(ref, F.lit("//")), F.concat(scheme, F.lit(":"), ref))
-        .when(F.startswith(ref, F.lit("/")), F.concat(root, ref))
         .when(F.startswith(ref, F.lit("?")), F.concat(root, part(base, 3), ref))
-        .otherwise(F.concat(root, folder, ref))
+        .otherwise(F.concat(root, without_dots(F.when(F.startswith(ref, F.lit("/")), ref).otherwise(F.concat(folder, ref)))))
+    )
+
+
+def without_dots(target: Column) -> Column:
+    """A rooted path, with or without query, whose ``.`` and ``..`` steps are taken."""
+    path = F.regexp_extract(target, "^[^?#]*", 0)
+    steps = F.split(path, "/")
+    last = F.element_at(steps, -1).isin(".", "..")
+    taken = F.aggregate(
+        F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), F.array().cast("array<string>"),
+        lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.array_append(done, s)),
     )
+    tidy = F.concat(F.lit("/"), F.array_join(taken, "/"), F.when(last & (F.size(taken) > 0), "/").otherwise(""))
+    dotted = F.regexp_like(path, F.lit(r"(^|/)\.\.?(/|$)"))
+    return F.when(dotted, F.concat(tidy, F.substring(target, F.length(path) + 1, F.length(target)))).otherwise(target)

@@ -111,9 +111,9 @@ def recent(spark, sf):
 
 @query("b07_source_health", """
 SELECT s.kind, s.name, s.enabled, s.last_error, count(i.item_id) AS item_count, max(i.at) AS newest
-FROM sources s LEFT JOIN items i ON i.source = s.name AND i.lang <> 'en' GROUP BY ALL""")
+FROM sources s LEFT JOIN items i ON i.source = s.name GROUP BY ALL""")
 def health(spark, sf):
-    return B.source_health(relation(spark, sf, "items").where("lang <> 'en'"), relation(spark, sf, "sources"))
+    return B.source_health(relation(spark, sf, "items"), relation(spark, sf, "sources"))
 
 
 @query("b08_broken_sources", "SELECT name, last_error FROM sources WHERE enabled AND last_error IS NOT NULL")
@@ -156,11 +156,10 @@ def run_totals(spark, sf):
 
 
 @query("b12_reconcile_sources", """
-SELECT name, origin, CASE WHEN origin = 'reader' THEN EXISTS (SELECT 1 FROM reader_topic_sources r WHERE r.source = s.name AND r.topic_key LIKE 'topic-1%') ELSE enabled END AS enabled
+SELECT name, origin, CASE WHEN origin = 'reader' THEN EXISTS (SELECT 1 FROM reader_topic_sources r WHERE r.source = s.name) ELSE enabled END AS enabled
 FROM sources s""")
 def reconcile(spark, sf):
-    used = relation(spark, sf, "reader_topic_sources").where("topic_key LIKE 'topic-1%'")
-    return B.reconcile(relation(spark, sf, "sources"), used)
+    return B.reconcile(relation(spark, sf, "sources"), relation(spark, sf, "reader_topic_sources"))
 
 
 @query("b13_status", """

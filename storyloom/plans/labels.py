@@ -60,7 +60,7 @@ def _tops(spark, sf):
 
 
 def _parents(spark, sf):
-    return {r[0]: r[1] for r in relation(spark, sf, "spine").where("slug LIKE 'leaf-%'").select("slug", "parent").limit(V.MAX_REFERENCE_ROWS).collect()}
+    return {r[0]: r[1] for r in relation(spark, sf, "spine").where("slug LIKE 'leaf-%'").select("slug", "parent").collect()}
 
 
 def filed(spark, sf, claims=True):

@@ -121,11 +121,11 @@ def js(key: str) -> str:
     return f"json_extract_string({JSON}, '$.{key}')"
 
 
-EMBED_SQL = rf"""substring(trim(regexp_replace(concat_ws(' ', nullif(title, ''),
-  CASE kind WHEN 'model' THEN replace({js('pipeline_tag')}, '-', ' ') || ' ' || array_to_string(list_filter(CAST(json_extract({JSON}, '$.tags') AS VARCHAR[]), lambda t: instr(t, ':') = 0)[1:12], ' ')
-            WHEN 'repo' THEN nullif(substring(body, 1, 600), '')
+EMBED_SQL = rf"""trim(regexp_replace(concat_ws(' ', nullif(title, ''),
+  CASE kind WHEN 'model' THEN replace({js('pipeline_tag')}, '-', ' ') || ' ' || array_to_string(list_filter(CAST(json_extract({JSON}, '$.tags') AS VARCHAR[]), lambda t: instr(t, ':') = 0), ' ')
+            WHEN 'repo' THEN nullif(body, '')
             WHEN 'discussion' THEN concat_ws(' ', regexp_replace(lower(regexp_extract({js('outbound_url')}, '^[a-z]+://([^/]*)', 1)), '^www\.', ''), nullif(summary, ''))
-            ELSE nullif(summary, '') END), '^\s+|\s+$', '', 'g')), 1, 2000)"""
+            ELSE nullif(summary, '') END), '^\s+|\s+$', '', 'g'))"""
 
 
 @query("c09_embedding_text", f"SELECT item_id, {EMBED_SQL} AS embedding_text FROM items")

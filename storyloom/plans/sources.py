@@ -12,7 +12,7 @@ from storyloom.functions import items as I
 from storyloom.functions import text as X
 from storyloom.model import NOW, mapped, relation, spread_relation, table
 from storyloom.plans.registry import query
-from storyloom.plans.scalars import FLAT, JSON, _truncate_sql, js
+from storyloom.plans.scalars import FLAT, JSON, js
 from storyloom.session import spread
 from storyloom.sources import apis, feeds, normalise, sitemaps
 from storyloom.sources import describe as D
@@ -74,7 +74,7 @@ def rss_payloads(spark, sf):
 
 
 @query("a01_feed_entries", f"""
-SELECT coalesce(guid, url) AS external_id, 'article' AS kind, url, {FLAT.format('title')} AS title, author, published_s, {_truncate_sql(FLAT.format('description'), 2000)} AS summary,
+SELECT coalesce(guid, url) AS external_id, 'article' AS kind, url, {FLAT.format('title')} AS title, author, published_s, {FLAT.format('description')} AS summary,
   CAST(NULL AS VARCHAR) AS body, CASE art WHEN 0 THEN media_url WHEN 1 THEN 'https://pic.example.net/' || item_id || '.png' WHEN 2 THEN 'https://pic.example.net/' || item_id || '.png' END AS media_url,
   '{{"feed":"https://feed.example.org/rss","links":["https://ref.example.org/' || item_id || '"]}}' AS metadata FROM (SELECT item_id, regexp_replace(title, '{CONTROL}', '', 'g') AS title, url, guid, author, published_s, regexp_replace(description, '{CONTROL}', '', 'g') AS description, media_url, art FROM entry) e""", {"entry": ENTRY})
 def feed_entries(spark, sf):
@@ -175,7 +175,7 @@ DAILY = """SELECT i.item_id, CASE WHEN i.item_id % 3 = 0 THEN NULL ELSE i.title
 
 @query("a07_daily_papers", f"""
 SELECT pid AS external_id, 'paper' AS kind, 'https://huggingface.co/papers/' || pid AS url, trim(coalesce(nullif(title, ''), inner_title)) AS title, CAST(NULL AS VARCHAR) AS author, coalesce(published_s, inner_s) AS published_s,
-  {_truncate_sql("coalesce(nullif(summary, ''), 'inner ' || pid)", 2000)} AS summary, thumbnail AS media_url, pid AS arxiv_id, upvotes, comments AS num_comments FROM daily WHERE pid <> '' AND coalesce(nullif(title, ''), inner_title) <> ''""", {"daily": DAILY})
+  coalesce(nullif(summary, ''), 'inner ' || pid) AS summary, thumbnail AS media_url, pid AS arxiv_id, upvotes, comments AS num_comments FROM daily WHERE pid <> '' AND coalesce(nullif(title, ''), inner_title) <> ''""", {"daily": DAILY})
 def daily_papers(spark, sf):
     d = mapped(spark, sf, DAILY)
     paper = F.struct(F.col("pid").alias("id"), F.col("inner_title").alias("title"), F.concat(F.lit("inner "), "pid").alias("summary"), I.iso(F.col("inner_s")).alias("publishedAt"), "upvotes")
@@ -203,7 +203,7 @@ PATCH = f"({VER.format(2)} <> '' AND TRY_CAST({VER.format(4)} AS BIGINT) > 0 AND
 
 
 @query("a09_releases", f"""
-SELECT repo || '@' || tag_name AS external_id, 'repo' AS kind, html_url AS url, repo || ' ' || coalesce(nullif(name, ''), tag_name) AS title, author, published_s, {_truncate_sql('body', 4000)} AS body, repo AS github_repo, tag_name AS tag
+SELECT repo || '@' || tag_name AS external_id, 'repo' AS kind, html_url AS url, repo || ' ' || coalesce(nullif(name, ''), tag_name) AS title, author, published_s, body, repo AS github_repo, tag_name AS tag
 FROM rel WHERE NOT draft AND NOT {PRE} AND NOT coalesce({PATCH}, false)""", {"rel": RELEASE})
 def releases(spark, sf):
     r = mapped(spark, sf, RELEASE)
@@ -217,7 +217,7 @@ def releases(spark, sf):
 # Sitemaps: every 25 pages are one map; a site is an index over up to 25 maps.
 MAPPED = f"""SELECT page_id, CAST(floor(page_id / 25) AS BIGINT) AS map_id, CAST(floor(page_id / 625) AS BIGINT) AS site_id, url,
   CASE page_id % 4 WHEN 3 THEN NULL ELSE {NOW} - CASE WHEN floor(page_id / 625) % 2 = 1 THEN 86400 ELSE (page_id * 7) % 100 * 86400 END END AS dated_s, page_id % 4 AS form FROM @pages"""
-LISTED = "SELECT 'site-' || site_id AS site, url AS loc, dated_s, CASE WHEN form = 1 THEN 'Title ' || page_id ELSE '' END AS title, page_id FROM mp WHERE map_id % 25 < 20"
+LISTED = "SELECT 'site-' || site_id AS site, url AS loc, dated_s, CASE WHEN form = 1 THEN 'Title ' || page_id ELSE '' END AS title, page_id FROM mp"
 
 
 def sitemap_payloads(spark, sf):
@@ -255,7 +255,7 @@ SEEN = {"mp": MAPPED, "listed": LISTED,
 def new_urls(spark, sf):
     rows = sitemaps.entries(sitemap_payloads(spark, sf))
     # The site seen before had read every third page.
-    read = mapped(spark, sf, MAPPED).where("page_id % 3 = 0 AND map_id % 25 < 20 AND site_id <> 0")
+    read = mapped(spark, sf, MAPPED).where("page_id % 3 = 0 AND site_id <> 0")
     seen = read.select(F.concat(F.lit("site-"), F.col("site_id").cast("string")).alias("site"), F.col("url").alias("loc"))
     return sitemaps.new_urls(rows, seen, seen, INCLUDE, NOW, 30)
 
@@ -271,13 +271,13 @@ def sitemap_preview(spark, sf):
 # Pages with the metadata publishers write: some of it, in several spellings.
 HEADED = """SELECT page_id, url, replace(html, '<meta charset="utf-8">', '<meta charset="utf-8">'
   || CASE page_id % 5 WHEN 0 THEN '<meta property="og:title" content="Talk &amp; &lt;b&gt;more ' || CAST(page_id AS STRING) || '"><meta content="second" property="og:title">' WHEN 1 THEN '<META NAME=''Description'' CONTENT=''short''>' WHEN 2 THEN '<meta name="description" content="A plain description of page ' || CAST(page_id AS STRING) || ' and what is on it .">' ELSE '' END
-  || CASE page_id % 3 WHEN 0 THEN '<meta property="og:image" content="/img/' || CAST(page_id AS STRING) || '.png">' WHEN 1 THEN '<meta name=twitter:image content=https://arxiv.org/static/browse/logo.png><meta property="og:image:url" content="pic.jpg">' ELSE '' END
-  || CASE page_id % 4 WHEN 0 THEN '<link rel="alternate" type="application/rss+xml" href="/feed/' || CAST(page_id AS STRING) || '"><link type="application/atom+xml" rel="x alternate" href="https://f.example.org/a?x=1&amp;y=2"><link rel="stylesheet" href="/s.css">' WHEN 1 THEN '<link rel="alternate" type="text/html" href="/amp">' ELSE '' END) AS html FROM @pages"""
+  || CASE page_id % 3 WHEN 0 THEN '<meta property="og:image" content="/a/../img/./' || CAST(page_id AS STRING) || '.png">' WHEN 1 THEN '<meta name=twitter:image content=https://arxiv.org/static/browse/logo.png><meta property="og:image:url" content="pic.jpg">' ELSE '' END
+  || CASE page_id % 4 WHEN 0 THEN '<link rel="alternate" type="application/rss+xml" href="/x/../feed/' || CAST(page_id AS STRING) || '?a=1&#38;b=2"><link type="application/atom+xml" rel="x alternate" href="https://f.example.org/a?x=1&amp;y=2"><link rel="stylesheet" href="/s.css">' WHEN 1 THEN '<link rel="alternate" type="text/html" href="/amp">' ELSE '' END) AS html FROM @pages"""
 ATTR = r"""regexp_extract(t, '(?i)(^|[^\w:.-]){0}\s*=\s*("([^"]*)"|''([^'']*)''|([^\s"''>]+))', {1})"""
 attr = lambda n: "coalesce(" + ", ".join(f"nullif({ATTR.format(n, g)}, '')" for g in (3, 4, 5)) + ")"
 META = {
     "headed": HEADED,
-    "tags": r"SELECT page_id, unnest(regexp_extract_all(regexp_replace(substring(html, 1, 250000), '(?is)</head\s*>.*', ''), '(?i)<meta\b[^>]*>')) AS t, generate_subscripts(regexp_extract_all(regexp_replace(substring(html, 1, 250000), '(?is)</head\s*>.*', ''), '(?i)<meta\b[^>]*>'), 1) AS n FROM headed",
+    "tags": r"SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?is)</head\s*>.*', ''), '(?i)<meta\b[^>]*>')) AS t, generate_subscripts(regexp_extract_all(regexp_replace(html, '(?is)</head\s*>.*', ''), '(?i)<meta\b[^>]*>'), 1) AS n FROM headed",
     "meta": f"SELECT page_id, key, arg_min(value, n) AS value FROM (SELECT page_id, n, lower(coalesce({attr('property')}, {attr('name')})) AS key, {attr('content')} AS value FROM tags) x WHERE key IS NOT NULL AND value IS NOT NULL GROUP BY page_id, key",
     "flat": "SELECT page_id, key, " + FLAT.format("replace(replace(value, '&lt;', '<'), '&gt;', '>')").replace("regexp_replace(replace(replace(value, '&lt;', '<'), '&gt;', '>'), '<[^>]+>', ' ', 'g')", "replace(replace(value, '&lt;', '<'), '&gt;', '>')") + " AS plain, value FROM meta",
 }
@@ -312,13 +312,14 @@ def page_image(spark, sf):
 
 
 CARD = """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '---' || chr(10) || 'license: mit' || chr(10) || '---' || chr(10) ELSE '' END || '# Title' || chr(10) || chr(10) || '![b](http://x/y.svg)' || chr(10) || chr(10)
-  || CASE doc_id % 3 WHEN 0 THEN '- item one of a list that is long enough to count' ELSE 'More Information needed, says the template of the card at great length' END || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)) AS md FROM @documents"""
+  || CASE doc_id % 3 WHEN 0 THEN '- item one of a list that is long enough to count' ELSE 'More Information needed, says the template of the card at great length' END || chr(10) || chr(10)
+  || CASE WHEN doc_id % 5 = 1 THEN '&lt;b&gt; opens a paragraph long enough to be prose &amp; kept' || chr(10) || chr(10) ELSE '' END || replace(text, chr(10), chr(10) || chr(10)) AS md FROM @documents"""
 BLOCK = "trim(regexp_replace(b, '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), ' ' || chr(10) || chr(9) || chr(13))"
 FLATB = FLAT.format(f"replace(regexp_replace({BLOCK}, '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), chr(10), ' ')")
 
 
 @query("a17_prose_summary", f"""
-SELECT c.doc_id, {_truncate_sql('p.prose', 600)} AS summary FROM card c LEFT JOIN (
+SELECT c.doc_id, replace(replace(replace(p.prose, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS summary FROM card c LEFT JOIN (
   SELECT doc_id, arg_min(prose, n) AS prose FROM (SELECT doc_id, n, {FLATB} AS prose FROM blocks WHERE NOT regexp_matches({BLOCK}, '^(#|\\||>|-|\\*|\\+|```|<|\\[!|:)') AND {BLOCK} <> '') x
    WHERE length(prose) > 40 AND NOT contains(lower(prose), 'more information needed') GROUP BY doc_id) p ON p.doc_id = c.doc_id""", {
     "card": CARD, "blocks": r"SELECT doc_id, unnest(string_split(regexp_replace(md, '(?s)^---\n.*?\n---\n', ''), chr(10) || chr(10))) AS b, generate_subscripts(string_split(regexp_replace(md, '(?s)^---\n.*?\n---\n', ''), chr(10) || chr(10)), 1) AS n FROM card"})
@@ -338,9 +339,9 @@ def planned(spark, sf, limit):
     return D.plan(spread_relation(spark, sf, "items", "item_id"), described, limit)
 
 
-@query("a18_describe_plan", "SELECT item_id, ws AS wants_summary, wm AS wants_media, steps FROM pl WHERE steps <> '' ORDER BY t DESC, item_id LIMIT 60", {"pl": PLAN})
+@query("a18_describe_plan", "SELECT item_id, ws AS wants_summary, wm AS wants_media, steps FROM pl WHERE steps <> '' ", {"pl": PLAN})
 def describe_plan(spark, sf):
-    rows = planned(spark, sf, D.BATCH_LIMIT)
+    rows = planned(spark, sf, None)
     shown = F.transform("steps", lambda s: F.when(s["strategy"] == "body", s["strategy"]).otherwise(F.concat_ws("|", s["strategy"], s["subject"])))
     return rows.select("item_id", "wants_summary", "wants_media", F.array_join(shown, " > ").alias("steps"))
 
@@ -368,7 +369,7 @@ FROM items i LEFT JOIN (SELECT item_id, coalesce(ws AND words IS NOT NULL, false
    LEFT JOIN body_words b ON b.item_id = p.item_id AND starts_with(p.steps, 'body')) z) w ON w.item_id = i.item_id""", {
     "pl": PLAN, "first_page": "SELECT i.url, min(p.page_id) AS page_id FROM items i JOIN @pages p ON p.page_id = i.item_id GROUP BY i.url",
     "body_blocks": "SELECT item_id, unnest(string_split(body, chr(10) || chr(10))) AS b, generate_subscripts(string_split(body, chr(10) || chr(10)), 1) AS n FROM items WHERE body <> ''",
-    "body_words": f"""SELECT item_id, {_truncate_sql('prose', 600)} AS summary FROM (SELECT item_id, arg_min(prose, n) AS prose FROM (SELECT item_id, n, {FLATB} AS prose FROM body_blocks WHERE NOT regexp_matches({BLOCK}, '^(#|\\||>|-|\\*|\\+|```|<|\\[!|:)') AND {BLOCK} <> '') x WHERE length(prose) > 40 GROUP BY item_id) q"""})
+    "body_words": f"""SELECT item_id, prose AS summary FROM (SELECT item_id, arg_min(prose, n) AS prose FROM (SELECT item_id, n, {FLATB} AS prose FROM body_blocks WHERE NOT regexp_matches({BLOCK}, '^(#|\\||>|-|\\*|\\+|```|<|\\[!|:)') AND {BLOCK} <> '') x WHERE length(prose) > 40 GROUP BY item_id) q"""})
 def describe_apply(spark, sf):
     items = relation(spark, sf, "items").withColumn("embedded_hash", F.col("external_id"))
     after, _ = D.apply(items, planned(spark, sf, None), fetched(spark, sf))
@@ -376,7 +377,7 @@ def describe_apply(spark, sf):
 
 
 @query("a20_announced_feeds", f"""
-SELECT page_id, {ROOT} || '/feed/' || page_id || ' https://f.example.org/a?x=1&y=2' AS feeds FROM @pages WHERE page_id % 4 = 0""")
+SELECT page_id, {ROOT} || '/feed/' || page_id || '?a=1&b=2 https://f.example.org/a?x=1&y=2' AS feeds FROM @pages WHERE page_id % 4 = 0""")
 def announced_feeds(spark, sf):
     rows = mapped(spark, sf, HEADED).select("page_id", P.announced_feeds(F.col("html"), F.col("url")).alias("f"))
     return rows.where(F.size("f") > 0).select("page_id", F.array_join("f", " ").alias("feeds"))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import items as I
-from storyloom.functions import text as X
 from storyloom.sources.raw import filled, raw_item
 
 HITS = "hits array<struct<objectID:string,title:string,url:string,author:string,created_at_i:bigint,points:bigint,num_comments:bigint>>"
@@ -16,7 +15,7 @@ PAPERS = ("array<struct<title:string,summary:string,thumbnail:string,publishedAt
           "paper:struct<id:string,title:string,summary:string,publishedAt:string,githubRepo:string,githubStars:bigint,upvotes:bigint>>>")
 RELEASES = ("array<struct<tag_name:string,name:string,html_url:string,body:string,draft:boolean,prerelease:boolean,published_at:string,"
             "author:struct<login:string>>>")
-BODY_LIMIT, SUMMARY_LIMIT, MIN_POINTS = 4000, 2000, 50
+MIN_POINTS = 50
 
 zero = lambda c: F.coalesce(c, F.lit(0))
 
@@ -96,7 +95,7 @@ def daily_papers(payloads: DataFrame) -> DataFrame:
                     zero(F.col("paper.upvotes")).alias("upvotes"), zero(F.col("numComments")).alias("num_comments"))
     return rows.select(*raw_item(
         F.col("paper.id"), "paper", F.concat(F.lit("https://huggingface.co/papers/"), "paper.id"), F.btrim("t"),
-        published_s=I.parse_time(either("publishedAt")), summary=X.truncate(either("summary"), SUMMARY_LIMIT), media_url=F.col("thumbnail"), metadata=meta,
+        published_s=I.parse_time(either("publishedAt")), summary=either("summary"), media_url=F.col("thumbnail"), metadata=meta,
     ))
 
 
@@ -133,5 +132,5 @@ def releases(payloads: DataFrame, keep_prereleases: bool = False, keep_patches:
     meta = F.struct(F.col("repo").alias("github_repo"), F.col("tag_name").alias("tag"), F.coalesce("prerelease", F.lit(False)).alias("prerelease"))
     return rows.select(*raw_item(
         F.concat("repo", F.lit("@"), "tag_name"), "repo", F.col("html_url"), title, author=F.col("author.login"), published_s=I.parse_time(F.col("published_at")),
-        body=X.truncate(F.col("body"), BODY_LIMIT), metadata=meta,
+        body=F.col("body"), metadata=meta,
     ))

@@ -10,7 +10,6 @@ from storyloom.functions import text as X
 from storyloom.sources import pages as P
 from storyloom.sources.raw import filled
 
-BATCH_LIMIT = 60
 STRATEGIES = ("body", "card", "repo", "page")
 
 
@@ -28,8 +27,9 @@ def steps(want_media: Column) -> Column:
     return F.concat(cheap, F.array_compact(F.array(page)))
 
 
-def plan(items: DataFrame, described: DataFrame, limit: int | None = BATCH_LIMIT) -> DataFrame:
-    """Items missing words or a picture, with the steps that could supply them, newest first."""
+def plan(items: DataFrame, described: DataFrame, limit: int | None = None) -> DataFrame:
+    """Items missing words or a picture, with the steps that could supply them, newest first when
+    ``limit`` asks for so many."""
     rows = items.where(~filled(F.col("summary")) | ~filled(F.col("media_url"))).join(described.select("item_id"), "item_id", "left_anti")
     rows = rows.withColumn("m", I.metadata())
     worth = F.col("kind").isin("article", "post") | filled(F.col("m.outbound_url"))
@@ -56,7 +56,7 @@ def apply(items: DataFrame, planned: DataFrame, fetched: DataFrame) -> tuple[Dat
     blurb = X.strip_html(F.when(F.col("strategy") == "repo", F.col("text")))
     words = (
         F.when(F.col("strategy").isin("body", "card"), X.prose_summary(F.when(F.col("strategy").isin("body", "card"), F.col("text"))))
-        .when(F.col("strategy") == "repo", F.when(F.length(blurb) >= X.WRITTEN_MINIMUM, X.truncate(blurb, X.DESCRIPTION_LIMIT)))
+        .when(F.col("strategy") == "repo", F.when(F.length(blurb) >= X.WRITTEN_MINIMUM, blurb))
         .otherwise(P.description(F.col("meta")))
     )
     rows = rows.withColumn("words", words).withColumn("art", P.image(F.col("meta"), F.col("subject")))

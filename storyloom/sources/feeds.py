@@ -9,8 +9,6 @@ from storyloom.functions import items as I
 from storyloom.functions import text as X
 from storyloom.sources.raw import filled, raw_item
 
-SUMMARY_LIMIT, LINK_LIMIT = 2000, 20
-
 MEDIA = "`media:content` array<struct<_url:string>>, `media:thumbnail` array<struct<_url:string>>"
 RSS = (f"channel struct<item:array<struct<title:string, link:string, guid:string, author:string, description:string, pubDate:string, "
        f"`media:content`:array<struct<_url:string>>, `media:thumbnail`:array<struct<_url:string>>, enclosure:array<struct<_url:string,_type:string>>>>>")
@@ -33,8 +31,8 @@ def _first(values: Column, field: str) -> Column:
 
 def links(html: Column) -> Column:
     """Distinct link targets of a fragment, in order."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(r"""(?i)href\s*=\s*["']([^"']+)["']"""), F.lit(1)), lambda h: F.btrim(F.regexp_replace(h, "&amp;", "&")))
-    return F.slice(F.array_distinct(found), 1, LINK_LIMIT)
+    found = X.decode_each(F.regexp_extract_all(html, F.lit(r"""(?i)href\s*=\s*["']([^"']+)["']"""), F.lit(1)))
+    return F.array_distinct(F.transform(found, lambda h: F.btrim(h)))
 
 
 def entries(payloads: DataFrame) -> DataFrame:
@@ -59,7 +57,7 @@ def entries(payloads: DataFrame) -> DataFrame:
 def normalise(payloads: DataFrame) -> DataFrame:
     """Feed entries as items; one without a link or a title is not addressable."""
     rows = entries(payloads).withColumn("plain", X.strip_html(F.col("title"))).where(filled(F.col("link")) & F.col("plain").isNotNull())
-    summary = X.truncate(X.strip_boilerplate(X.strip_html(F.col("summary"))), SUMMARY_LIMIT)
+    summary = X.strip_boilerplate(X.strip_html(F.col("summary")))
     found = links(F.col("summary"))
     meta = F.struct(F.col("feed"), F.when(F.size(found) > 0, found).alias("links"))
     return rows.select(*raw_item(

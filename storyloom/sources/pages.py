@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from storyloom.functions import text as X
 from storyloom.functions import urls as U
 
-HEAD_LIMIT = 250_000
-
 # Metadata keys by purpose, best first, and pictures that show no page.
 TITLE_KEYS = ("og:title", "twitter:title")
 DESCRIPTION_KEYS = ("og:description", "twitter:description", "description")
@@ -29,7 +27,7 @@ def _attribute(tag: Column, name: str) -> Column:
 
 def head_meta(html: Column) -> Column:
     """Map of the head's metadata; the first of each key wins."""
-    head = F.split(F.substring(html, 1, HEAD_LIMIT), r"(?i)</head\s*>", 2)[0]
+    head = F.split(html, r"(?i)</head\s*>", 2)[0]
     tags = F.regexp_extract_all(head, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0))
     pairs = F.transform(tags, lambda t: F.struct(
         F.lower(F.coalesce(_attribute(t, "property"), _attribute(t, "name"))).alias("key"), _attribute(t, "content").alias("value")))
@@ -51,7 +49,7 @@ def title(html: Column, meta: Column) -> Column:
 def description(meta: Column) -> Column:
     """The page's own description: written on purpose, or nothing."""
     texts = [X.strip_html(F.element_at(meta, k)) for k in DESCRIPTION_KEYS]
-    return X.truncate(F.coalesce(*[F.when(F.length(t) >= X.WRITTEN_MINIMUM, t) for t in texts]), X.DESCRIPTION_LIMIT)
+    return F.coalesce(*[F.when(F.length(t) >= X.WRITTEN_MINIMUM, t) for t in texts])
 
 
 def image(meta: Column, base: Column) -> Column:
@@ -70,6 +68,7 @@ def announced_feeds(html: Column, base: Column) -> Column:
     def feed(tag: Column) -> Column:
         rels = F.split(F.lower(_attribute(tag, "rel")), r"\s+")
         is_feed = F.array_contains(rels, F.lit("alternate")) & F.lower(_attribute(tag, "type")).isin(*FEED_TYPES)
-        return F.when(is_feed, U.resolve(base, F.regexp_replace(_attribute(tag, "href"), "&amp;", "&")))
+        return F.when(is_feed, _attribute(tag, "href"))
 
-    return F.array_distinct(F.array_compact(F.transform(tags, feed)))
+    written = X.decode_each(F.array_compact(F.transform(tags, feed)))
+    return F.array_distinct(F.transform(written, lambda href: U.resolve(base, href)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from storyloom.functions import items as I
 from storyloom.functions import text as X
 
-MAX_CHILDREN, MAX_AGE_DAYS, STAMPED, DEFAULT_LIMIT, PREVIEW_TITLES = 20, 60, 20, 10, 3
+MAX_AGE_DAYS, STAMPED, DEFAULT_LIMIT, PREVIEW_TITLES = 60, 20, 10, 3
 URLSET = "url array<struct<loc:string, lastmod:string, `news:news`:struct<`news:publication_date`:string, `news:title`:string>>>"
 INDEX = "sitemap array<struct<loc:string>>"
 
@@ -16,12 +16,12 @@ INDEX = "sitemap array<struct<loc:string>>"
 def entries(payloads: DataFrame) -> DataFrame:
     """(site, loc, dated_s, title) of each sitemap (site, url, body).
 
-    A site starts at its root map; an index leads one level down, to its first
-    twenty children.
+    A site starts at its root map; an index leads one level down, to all its
+    children. How many of them are fetched is the fetcher's budget.
     """
     is_index = F.contains("body", F.lit("<sitemapindex"))
     roots = payloads.where("is_root")
-    listed = F.slice(F.filter(F.transform(F.from_xml("body", INDEX)["sitemap"], lambda s: F.btrim(s["loc"])), lambda u: u != ""), 1, MAX_CHILDREN)
+    listed = F.filter(F.transform(F.from_xml("body", INDEX)["sitemap"], lambda s: F.btrim(s["loc"])), lambda u: u != "")
     children = roots.where(is_index).select("site", F.explode(listed).alias("url"))
     maps = roots.where(~is_index).select("site", "body").unionByName(children.join(payloads.select("url", "body"), "url").select("site", "body"))
     each = maps.select("site", F.explode(F.from_xml("body", URLSET)["url"]).alias("u"))
