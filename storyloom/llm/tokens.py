@@ -56,32 +56,33 @@ class Tokens:
 
     def __call__(self, text: str) -> np.ndarray:
         """uint32 ids of the text."""
-        if not _PLAIN.fullmatch(text):
-            return np.array(self.codec.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = _PIECE.findall(text.lower())
-        found = list(map(self.known.get, words))
-        if None in found:
-            if len(self.known) > MEMO:
-                self._forget()
-            fresh = {w: hash(w) % MET for w in words if w not in self.known}
-            again = [w for w, at in fresh.items() if self.met[at]]
-            once = [w for w, at in fresh.items() if not self.met[at]]
-            self._learn(again)
-            mark = self.used
-            self._learn(once)
-            found = list(map(self.known.get, words))
-            result = self._gather(found)
-            for word in once:
-                del self.known[word]
-                self.met[fresh[word]] = 1
-            self.used = mark
-            return result
-        return self._gather(found)
-
-    def _gather(self, found: list[int]) -> np.ndarray:
-        if not found:
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """uint32 ids of each text; what the texts bring anew is encoded together."""
+        plain = [_PLAIN.fullmatch(text) is not None for text in texts]
+        words = [_PIECE.findall(text.lower()) if ok else [] for text, ok in zip(texts, plain)]
+        if len(self.known) > MEMO:
+            self._forget()
+        fresh = {w: hash(w) % MET for w in set().union(*words).difference(self.known)}
+        once = [w for w, at in fresh.items() if not self.met[at]]
+        self._learn([w for w, at in fresh.items() if self.met[at]])
+        mark = self.used
+        self._learn(once)
+        result = [
+            self._gather(own) if ok else np.array(self.codec.encode(text, add_special_tokens=False).ids, np.uint32)
+            for text, ok, own in zip(texts, plain, words)
+        ]
+        for word in once:
+            del self.known[word]
+            self.met[fresh[word]] = 1
+        self.used = mark
+        return result
+
+    def _gather(self, words: list[str]) -> np.ndarray:
+        if not words:
             return np.zeros(0, np.uint32)
-        at = np.array(found)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         return self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
