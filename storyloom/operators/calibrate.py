@@ -5,15 +5,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storyloom.functions import vectors as V
 from storyloom.operators.identity import MAX_HOLDERS, STRONG
+from storyloom.session import cut_lineage
 
 HARD_WINDOW_DAYS = 7
-RANDOM_PAIRS = 4000
 BINS = 10000  # score bins per unit: thresholds of four decimals stay exact
 
 
@@ -31,18 +31,38 @@ def positives(identifiers: DataFrame, kept: DataFrame) -> DataFrame:
     return left.join(right, ["type", "value"]).where("a < b").select("a", "b", "type", "value")
 
 
-def random_pairs(kept: DataFrame, count: int = RANDOM_PAIRS, seed: int = 7) -> DataFrame:
-    """Up to ``count`` distinct unordered pairs of kept items, the same for a seed.
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """(key, place): places from 0 in the order of ``key``.
 
-    Two hash orders of the items are cut to ``count`` and put side by side; only
-    those bounded samples are ranked.
+    A place is one inside a range-sorted partition plus the rows of the partitions
+    before; only one count per partition is collected.
     """
-    def drawn(side: int, name: str) -> DataFrame:
-        key = F.md5(F.concat(F.col("item_id").cast("string"), F.lit(f":{seed}:{side}")))
-        top = kept.select(F.col("item_id").alias(name), key.alias("key")).orderBy("key").limit(count)
-        return top.withColumn("place", F.row_number().over(Window.orderBy("key"))).drop("key")
+    sorted_ = rows.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("at", F.monotonically_increasing_id())
+    sorted_ = cut_lineage(sorted_.select(key, F.shiftrightunsigned("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("inside")))
+    before, starts = 0, []
+    for r in sorted(sorted_.groupBy("part").count().collect()):
+        starts.append((r["part"], before))
+        before += r["count"]
+    offsets = rows.sparkSession.createDataFrame(starts, "part long, before long")
+    return sorted_.join(F.broadcast(offsets), "part").select(key, (F.col("before") + F.col("inside")).alias("place"))
 
-    met = drawn(0, "x").join(drawn(1, "y"), "place").where("x <> y")
+
+def random_pairs(kept: DataFrame, count: int, seed: int = 7) -> DataFrame:
+    """The distinct unordered pairs among ``count`` draws of two kept items, the same for a seed.
+
+    Either side of a draw is a hash of its number, taken as the place of an item;
+    draws of one item twice give no pair.
+    """
+    items = cut_lineage(numbered(kept, "item_id"))
+    n = max(1, items.count())
+
+    def side(number: int) -> Column:
+        hashed = F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}:{number}")).cast("binary"))
+        return F.conv(F.substring(hashed, 1, 8), 16, 10).cast("bigint") % n
+
+    draws = kept.sparkSession.range(count).select(side(0).alias("x_at"), side(1).alias("y_at")).where("x_at <> y_at")
+    met = draws.join(items.select(F.col("place").alias("x_at"), F.col("item_id").alias("x")), "x_at").join(
+        items.select(F.col("place").alias("y_at"), F.col("item_id").alias("y")), "y_at")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

@@ -271,15 +271,18 @@ def hard_negatives(spark, sf):
     return _hard_bins(spark, sf)
 
 
+DRAWS = 4000
+DRAWN = "CAST('0x' || substring(md5(CAST(k AS VARCHAR) || ':7:{0}'), 1, 8) AS BIGINT) % (SELECT count(*) FROM placed)"
 RANDOM_SQL = {
-    "xs": "SELECT item_id AS x, row_number() OVER (ORDER BY md5(item_id || ':7:0')) AS place FROM items WHERE triage_state = 'kept' QUALIFY place <= 4000",
-    "ys": "SELECT item_id AS y, row_number() OVER (ORDER BY md5(item_id || ':7:1')) AS place FROM items WHERE triage_state = 'kept' QUALIFY place <= 4000",
+    "placed": "SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS place FROM items WHERE triage_state = 'kept'",
+    "draws": f"SELECT {DRAWN.format(0)} AS x, {DRAWN.format(1)} AS y FROM range({DRAWS}) r(k)",
 }
 
 
-@query("e21_random_negatives", "SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM xs JOIN ys ON xs.place = ys.place WHERE x <> y", RANDOM_SQL)
+@query("e21_random_negatives", """SELECT DISTINCT least(p.item_id, q.item_id) AS a, greatest(p.item_id, q.item_id) AS b
+FROM draws JOIN placed p ON p.place = x JOIN placed q ON q.place = y WHERE x <> y""", RANDOM_SQL)
 def random_negatives(spark, sf):
-    return K.random_pairs(_kept(spark, sf))
+    return K.random_pairs(_kept(spark, sf), DRAWS)
 
 
 @query("e22_pair_scores", "SELECT a, b, type, value, round(score, 6) AS score FROM positive_scores", POSITIVE)

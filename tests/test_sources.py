@@ -52,3 +52,12 @@ def test_feed_addresses_are_decoded(spark):
     html = '<link rel="alternate" type="application/rss+xml" href="../f?a=1&#38;b=2"><link rel="stylesheet" href="/s">'
     assert one(spark, html, lambda v: P.announced_feeds(v, F.lit("https://e.org/a/b/"))) == ["https://e.org/a/f?a=1&b=2"]
     assert one(spark, "<p>", lambda v: P.announced_feeds(v, F.lit("https://e.org/"))) == []
+
+
+def test_random_pairs_are_as_many_as_asked(spark):
+    from storyloom.operators import calibrate
+
+    kept = spark.range(300).select(F.col("id").alias("item_id"))
+    rows = calibrate.random_pairs(kept, 4000).collect()
+    assert 3700 < len(rows) <= 4000 and all(r.a < r.b for r in rows) and len({(r.a, r.b) for r in rows}) == len(rows)
+    assert calibrate.random_pairs(kept.limit(0), 10).count() == 0
