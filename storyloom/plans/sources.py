@@ -260,6 +260,19 @@ def new_urls(spark, sf):
     return sitemaps.new_urls(rows, seen, seen, INCLUDE, NOW, 30)
 
 
+@query("a11_next_seen", """
+SELECT DISTINCT site, loc FROM wanted w WHERE NOT known AND NOT EXISTS (SELECT 1 FROM picked p WHERE p.site = w.site AND p.loc = w.loc AND rn > 30)
+UNION SELECT site, loc FROM wanted w WHERE EXISTS (SELECT 1 FROM seen s WHERE s.site = w.site AND s.loc = w.loc)
+UNION SELECT site, loc FROM picked WHERE rn <= 30""", SEEN | {"picked": "SELECT *, row_number() OVER (PARTITION BY site ORDER BY dated_s DESC NULLS LAST, loc) AS rn FROM candidates"})
+def next_seen(spark, sf):
+    rows = sitemaps.entries(sitemap_payloads(spark, sf))
+    read = mapped(spark, sf, MAPPED).where("page_id % 3 = 0 AND site_id <> 0")
+    seen = read.select(F.concat(F.lit("site-"), F.col("site_id").cast("string")).alias("site"), F.col("url").alias("loc"))
+    every = sitemaps.new_urls(rows, seen, seen, INCLUDE, NOW, None)
+    taken = every.where("place <= 30").select("site", "loc")
+    return sitemaps.next_seen(rows, seen, seen, taken, every.where("place > 30").select("site", "loc"), INCLUDE)
+
+
 @query("a12_sitemap_preview", f"""
 SELECT l.site, count(*) FILTER (dated_s >= {NOW} - 7 * 86400) AS week, (SELECT string_agg(title, ' | ' ORDER BY dated_s DESC, loc) FROM (SELECT * FROM listed x WHERE x.site = l.site AND title <> '' AND dated_s IS NOT NULL ORDER BY dated_s DESC, loc LIMIT 3) t) AS latest
 FROM listed l WHERE dated_s IS NOT NULL GROUP BY l.site""", {"mp": MAPPED, "listed": LISTED})

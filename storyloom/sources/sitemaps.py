@@ -30,8 +30,8 @@ def entries(payloads: DataFrame) -> DataFrame:
         "site", F.btrim("u.loc").alias("loc"), I.parse_time(dated).alias("dated_s"), X.squeeze(F.col("u.`news:news`.`news:title`")).alias("title"))
 
 
-def new_urls(rows: DataFrame, seen: DataFrame, visited: DataFrame, include: str, now: int, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """(site, loc, dated_s): what to visit, newest first, ``limit`` per site.
+def new_urls(rows: DataFrame, seen: DataFrame, visited: DataFrame, include: str, now: int, limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+    """(site, loc, dated_s): what to visit, newest first, ``limit`` per site; all of it with its ``place`` when there is no limit.
 
     A site without state only takes what its map dates as recent, unless that
     date is a build stamp; otherwise it takes what it has not seen.
@@ -44,7 +44,8 @@ def new_urls(rows: DataFrame, seen: DataFrame, visited: DataFrame, include: str,
     later = wanted.where("known").join(seen, ["site", "loc"], "left_anti")
     candidates = baseline.unionByName(later).select("site", "loc", "dated_s")
     place = F.row_number().over(Window.partitionBy("site").orderBy(F.desc_nulls_last("dated_s"), "loc"))
-    return candidates.withColumn("place", place).where(F.col("place") <= limit).drop("place")
+    placed = candidates.withColumn("place", place)
+    return placed if limit is None else placed.where(F.col("place") <= limit).drop("place")
 
 
 def next_seen(rows: DataFrame, seen: DataFrame, visited: DataFrame, taken: DataFrame, candidates_first: DataFrame, include: str) -> DataFrame:
