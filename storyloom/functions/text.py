@@ -102,8 +102,10 @@ def short_name(title: Column) -> Column:
 
 # The small words a topic's name is not searched for.
 SMALL_WORDS = (
-    "the and of in on to for an a at by or news och i på av om en ett med för"
-).split()
+    "the", "and", "of", "in", "on", "to", "for", "an", "a", "at",
+    "by", "or", "news", "och", "i", "på", "av", "om", "en", "ett",
+    "med", "för",
+)
 
 
 def words(text: Column) -> Column:

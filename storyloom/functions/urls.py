@@ -13,9 +13,9 @@ PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))
 # Parameters that only track, by prefix and by exact name.
 TRACKING_PREFIXES = r"^(utm_|mc_|pk_|_hs)"
 TRACKING_NAMES = (
-    "fbclid gclid dclid msclkid igshid mkt_tok ref ref_src referrer source cmpid ncid "
-    "spm at_medium at_campaign sh share si"
-).split()
+    "fbclid", "gclid", "dclid", "msclkid", "igshid", "mkt_tok", "ref", "ref_src", "referrer", "source",
+    "cmpid", "ncid", "spm", "at_medium", "at_campaign", "sh", "share", "si",
+)
 
 
 def part(url: Column, group: int) -> Column:

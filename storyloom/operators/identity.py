@@ -19,13 +19,12 @@ PREPRINT_URL = r"(?i)arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,5})"
 PREPRINT_CITE = r"(?i)arxiv[:\s]\s*(\d{4}\.\d{4,5})"
 DOI = r"(?i)(?<![\p{L}\p{N}_])(10\.\d{4,9}/[-._;()/:a-z0-9]+)"
 HUB = r"(?i)huggingface\.co/([\p{L}\p{N}_.-]+)/([\p{L}\p{N}_.-]+)"
-HUB_SECTIONS = "datasets papers blog spaces docs collections learn".split()
-CODE_SECTIONS = "sponsors orgs topics features about pricing".split()
+HUB_SECTIONS = ("datasets", "papers", "blog", "spaces", "docs", "collections", "learn")
+CODE_SECTIONS = ("sponsors", "orgs", "topics", "features", "about", "pricing")
 CHROME_SITES = (
-    "twitter.com x.com t.co facebook.com linkedin.com bsky.app threads.net instagram.com mastodon.social "
-    "news.ycombinator.com feedburner.com feeds.feedburner.com feedproxy.google.com wp.me gravatar.com "
-    "doubleclick.net substack.com patreon.com"
-).split()
+    "twitter.com", "x.com", "t.co", "facebook.com", "linkedin.com", "bsky.app", "threads.net", "instagram.com", "mastodon.social", "news.ycombinator.com",
+    "feedburner.com", "feeds.feedburner.com", "feedproxy.google.com", "wp.me", "gravatar.com", "doubleclick.net", "substack.com", "patreon.com",
+)
 CHROME_PATHS = r"(?i)/(?:share|sharer|intent|subscribe|login|signup|feed)(?:[/.?]|$)"
 
 
