@@ -110,7 +110,7 @@ SMALL_WORDS = (
 
 def words(text: Column) -> Column:
     parts = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.filter(parts, lambda w: (F.length(w) >= 2) & ~w.isin(SMALL_WORDS))
+    return F.filter(parts, lambda w: (F.length(w) >= 2) & ~w.isin(*SMALL_WORDS))
 
 
 def quoted(word: Column) -> Column:

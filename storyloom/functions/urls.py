@@ -57,7 +57,7 @@ def _query(raw: Column) -> Column:
     )
     kept = F.filter(
         pairs,
-        lambda kv: ~F.lower(kv["k"]).isin(TRACKING_NAMES) & ~F.lower(kv["k"]).rlike(TRACKING_PREFIXES),
+        lambda kv: ~F.lower(kv["k"]).isin(*TRACKING_NAMES) & ~F.lower(kv["k"]).rlike(TRACKING_PREFIXES),
     )
     joined = F.transform(F.array_sort(kept), lambda kv: F.concat(_encoded(kv["k"]), F.lit("="), _encoded(kv["v"])))
     return F.array_join(joined, "&")

@@ -43,7 +43,7 @@ def url_identifier(url: Column) -> Column:
     paper = (section == "papers") & _has(hub_name, r"^\d{4}\.\d{4,5}$")
     hub = (
         F.when(paper, pair("arxiv", hub_name))
-        .when(section.isin(HUB_SECTIONS) | (hub_name == ""), F.lit(None))
+        .when(section.isin(*HUB_SECTIONS) | (hub_name == ""), F.lit(None))
         .otherwise(pair("hf_model", F.concat(section, F.lit("/"), hub_name)))
     )
     owner = F.lower(F.regexp_extract(url, U.CODE_HOST, 1))
@@ -51,7 +51,7 @@ def url_identifier(url: Column) -> Column:
     full = F.concat(owner, F.lit("/"), repo)
     tag = F.regexp_extract(url, r"/releases/tag/([^/?#]+)", 1)
     code = (
-        F.when(owner.isin(CODE_SECTIONS) | (repo == ""), F.lit(None))
+        F.when(owner.isin(*CODE_SECTIONS) | (repo == ""), F.lit(None))
         .when(tag != "", pair("github_release", F.concat(full, F.lit("@"), tag)))
         .otherwise(pair("github_repo", full))
     )
@@ -73,7 +73,7 @@ def cited(own_url: Column, links: Column) -> Column:
         where = U.site(link)
         return (
             _has(link, "(?i)^https?://") & (where != "") & (where != own)
-            & ~where.isin(CHROME_SITES) & ~_has(link, CHROME_PATHS)
+            & ~where.isin(*CHROME_SITES) & ~_has(link, CHROME_PATHS)
         )
 
     found = F.array_distinct(F.array_compact(F.transform(F.filter(trimmed, leaves), url_identifier)))
@@ -90,7 +90,7 @@ def _repos_named(text: Column) -> Column:
     def one(hit: Column) -> Column:
         owner = F.lower(F.regexp_extract(hit, U.CODE_HOST, 1))
         repo = U.clean_repo(F.lower(F.regexp_extract(hit, U.CODE_HOST, 2)))
-        return F.when(~owner.isin(CODE_SECTIONS) & (repo != ""), pair("github_repo", F.concat(owner, F.lit("/"), repo)))
+        return F.when(~owner.isin(*CODE_SECTIONS) & (repo != ""), pair("github_repo", F.concat(owner, F.lit("/"), repo)))
 
     return F.transform(found, one)
 
