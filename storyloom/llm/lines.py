@@ -86,12 +86,14 @@ def _prefix(tokens: str, frequent: list[int], threshold: float) -> Column:
 
 
 def _candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(later, earlier) rids that share a prefix shingle and pass the length and place filters."""
+    """(later, earlier) rids that share a prefix shingle and pass the length, place and difference filters."""
     a, b = left.alias("a"), right.alias("b")
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     needed = F.ceil((F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold)) - F.lit(1e-9))
     room = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    return a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("b.rid") < F.col("a.rid")) & (small >= large * threshold - 1e-9) & (room >= needed)).select(
+    differ = F.bit_count(F.col("a.marks").bitwiseXOR(F.col("b.marks")))
+    fits = (small >= large * threshold - 1e-9) & (room >= needed) & (differ <= F.col("a.n") + F.col("b.n") - 2 * needed)
+    return a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("b.rid") < F.col("a.rid")) & fits).select(
         F.col("a.rid").alias("later"), F.col("b.rid").alias("earlier"),
     ).distinct()
 
@@ -113,17 +115,19 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     order = ["doc_id", "text_key", "line_no"]
     rows = stored(sets.select(
         *order, F.size("set").alias("n"), F.xxhash64(F.sort_array("set")).alias("k1"), F.xxhash64(F.lit(7), F.sort_array("set")).alias("k2"),
+        # One bit per element, by parity: two sets differ in at least as many elements as their marks in bits.
+        F.expr("aggregate(set, 0L, (acc, t) -> acc ^ shiftleft(1L, CAST(t & 63 AS INT)))").alias("marks"),
         _prefix("set", frequent, threshold).alias("prefix"),
     ), "line-sets")
     # Equal sets: the earliest line stands for all. Its rank in the order is its number.
-    firsts = rows.groupBy("k1", "k2").agg(F.min(F.struct(*order, "n", "prefix")).alias("f")).select("k1", "k2", "f.*")
+    firsts = rows.groupBy("k1", "k2").agg(F.min(F.struct(*order, "n", "marks", "prefix")).alias("f")).select("k1", "k2", "f.*")
     firsts = stored(
         firsts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rid", F.monotonically_increasing_id()), "line-firsts",
     )
-    tokens = firsts.select("rid", "n", F.posexplode("prefix").alias("place", "token"))
+    tokens = firsts.select("rid", "n", "marks", F.posexplode("prefix").alias("place", "token"))
     heads = stored(tokens.groupBy("token").agg(F.min("rid").alias("head"), F.count("*").alias("many")).where("many > 1"), "line-heads")
     shared = stored(tokens.join(heads, "token"), "line-shared")
-    lead = shared.where("rid = head").select("token", "rid", "n", "place")
+    lead = shared.where("rid = head").select("token", "rid", "n", "marks", "place")
     near = stored(_candidates(shared, lead, threshold), "line-lead-pairs")
     sized = firsts.select("rid", *order)
 
