@@ -100,27 +100,40 @@ def _set_keys(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+MARKS = ("m0", "m1", "m2", "m3")
+
+
+def _marks(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """256 bits per set, one per bucket of tokens, by parity: sets differ in at least as many tokens as their marks in bits."""
+    k = len(bounds) - 1
+    owner = np.repeat(np.arange(k), np.diff(bounds))
+    odd = np.bincount(owner * 256 + (tokens & U(255)).astype(np.int64), minlength=k * 256) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(k, 256), axis=1, bitorder="little").view(np.int64)
+
+
 def _signed(tokens: np.ndarray) -> list:
     return tokens.view(np.int64).tolist()
 
 
 def described(docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
-    """(doc_id, set_key, n, prefix) per row; the key is null and the prefix empty without words."""
+    """(doc_id, set_key, n, marks, prefix) per row; the key is null and the prefix empty without words."""
     def read(batches):
         table = np.frombuffer(levels.value, np.uint8)
         for batch in batches:
-            keys, sizes, prefixes = [], [], []
+            keys, sizes, prefixes, marks = [], [], [], [np.zeros((0, 4), np.int64)]
             for _, bounds, tokens in shingle_groups(batch.column("text").to_pylist(), words):
                 ranks, size = _ranks(tokens, table, 0), np.diff(bounds)
                 keys += [key if n else None for key, n in zip(_set_keys(tokens, bounds).tolist(), size.tolist())]
                 sizes += size.tolist()
+                marks.append(_marks(tokens, bounds))
                 prefixes += [_signed(_prefix(tokens[a:b], ranks[a:b], percent)) if a < b else [] for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "set_key", "n", "prefix"],
+                [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()),
+                 *(pa.array(np.concatenate(marks)[:, k]) for k in range(4)), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "set_key", "n", *MARKS, "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, "doc_id long, set_key long, n long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, "doc_id long, set_key long, n long, m0 long, m1 long, m2 long, m3 long, prefix array<long>")
 
 
 def _live_bits(live: DataFrame) -> bytes:
@@ -189,6 +202,15 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (F.least(n(a), n(b)) * 100 >= F.greatest(n(a), n(b)) * percent) & (F.least(F.col(f"{a}.most"), F.col(f"{b}.most")) >= needed)
 
 
+def _differ_little(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose marks differ in no more bits than the sets of a link may differ in tokens."""
+    side = lambda at: nodes.select(F.col("node").alias(at), F.struct("n", *MARKS).alias(f"{at}_m"))
+    bits = sum((F.bit_count(F.col(f"a_m.{m}").bitwiseXOR(F.col(f"b_m.{m}"))) for m in MARKS), F.lit(0))
+    total = F.col("a_m.n") + F.col("b_m.n")
+    needed = F.ceil(total * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-6))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(bits <= total - 2 * needed).select("a", "b").distinct()
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
     def verify(batches):
@@ -238,7 +260,7 @@ def _across(tokens: DataFrame, label: DataFrame, percent: int) -> DataFrame:
 def similar_pairs(docs: DataFrame, rows: DataFrame, levels, words: int, percent: int) -> DataFrame:
     """(a, b): links between nodes that, with the nodes themselves, give the components."""
     nodes = stored(
-        rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n", *MARKS, "prefix")))
         .where("node IS NOT NULL"), "jaccard-nodes",
     )
     first = _shared(nodes)
@@ -253,11 +275,12 @@ def similar_pairs(docs: DataFrame, rows: DataFrame, levels, words: int, percent:
     lead = first.groupBy("token").agg(F.max(F.struct((F.col("most") / F.col("n")).alias("share"), (-F.col("node")).alias("_"), "node", "n", "most")).alias("l")).select("token", "l.*")
     near = first.alias("x").join(lead.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & _may_link("x", "y", percent))
     near = stored(near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "jaccard-lead-pairs")
-    links = stored(_linked(near, sets_of(near), percent), "jaccard-lead-links")
+    close = stored(_differ_little(near, nodes, percent), "jaccard-close-pairs")
+    links = stored(_linked(close, sets_of(close), percent), "jaccard-lead-links")
     label = components(links)
 
     # Round two: sets of different components, meeting under every order.
-    pairs = stored(_across(first, label, percent).join(near, ["a", "b"], "left_anti"), "jaccard-pairs")
+    pairs = stored(_differ_little(_across(first, label, percent).join(near, ["a", "b"], "left_anti"), nodes, percent), "jaccard-pairs")
     sets = sets_of(pairs)
     for order in range(1, ORDERS):
         own = _shared(sets.select("node", "set_key", "n", F.get("prefixes", order - 1).alias("prefix")))
