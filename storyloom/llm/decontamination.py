@@ -1,38 +1,47 @@
 """Benchmark decontamination by templates.
 
 Words become a template: numbers, units and names turn into typed placeholders,
-other words into their lower-case core. Windows of ``WINDOW`` template words that
-hold at least half literal words are hashed; documents and items meet in a join
-on the hash. Matching windows of one document and item on one diagonal form runs,
-and a run counts when its slots agree: the same value in the item stands opposite
-the same value in the document all along, so a question with other numbers is
-caught and a text that merely shares the shape is not. A document is contaminated
-by an item when a run covers ``LEAST_RUN`` words, or ``LEAST_SHARE`` of a shorter item.
+other words into their lower-case core. Windows of ``WINDOW`` words are hashed
+under two keys: the template, when at least half of its words are literal, and
+the lower-case words themselves, whatever their place and case. Documents and
+items meet in a join on the keys; what met is then compared word by word.
+
+Two words agree when their templates or their lower-case cores are equal. A run of
+agreeing words that holds a window of equal key counts when its slots agree: the
+same value in the item stands opposite the same value in the document all along,
+so a question with other numbers is caught and a text that merely shares the shape
+is not. A run of equal words counts without that. A document is contaminated by an
+item when a run covers ``LEAST_RUN`` words, or ``LEAST_SHARE`` of a shorter item.
+An item of ``WINDOW`` words or fewer is one window, found as a whole; documents are
+read at every width that occurs among the items. Words with hardly a literal among
+them are found verbatim only, or next to a window that met.
 
 A name is a capitalised word, not one all in capitals, that does not open a sentence. Before the join, window
 hashes of documents pass a bitmap of fixed size made from all items; it only saves
 work, every hit is decided by the join. Items may be many: nothing of them is
-collected but the bitmap.
+collected but the bitmap and the widths.
 
-Null or empty texts and items match nothing. Items of fewer than ``WINDOW`` words
-are one window. Repeated rows give one result; one id with two texts is
-contaminated when either is.
+Null or empty texts and items match nothing. Repeated rows give one result; one id
+with two texts is contaminated when either is.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import stored
 
 WINDOW, LEAST_RUN, LEAST_SHARE = 8, 13, 0.8
 BITMAP_WORDS = 1 << 16  # 64 bits each
+VERBATIM = 1 << 32  # seed of the keys of plain words
 #: Words a worker remembers before it starts anew, and texts whose words are learned together.
 MEMO, AT_ONCE = 400_000, 256
 
@@ -102,77 +111,179 @@ class Templates:
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
         return words
 
-    def read(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(template hash, value hash, kind) per learned word that is not only punctuation."""
-        if not words:
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(template hash, value hash, kind, row) per word that is not only punctuation, text after text."""
+        words = self.learn(texts)
+        flat = list(chain.from_iterable(words))
+        if not flat:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int64)
+        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        row = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
         value, kind, capital, ends = (column[at] for column in self.table)
-        opens = np.append(True, ends[:-1])
+        opens = np.append(True, ends[:-1] | (row[1:] != row[:-1]))
         kind = np.where((kind == LITERAL) & capital & ~opens, NAME, kind)
         keep = kind != EMPTY
         value, kind = value[keep], kind[keep]
-        return np.where(kind == LITERAL, value, _PLACE[kind]), value, kind
+        return np.where(kind == LITERAL, value, _PLACE[kind]), value, kind, row[keep]
 
     def __call__(self, texts: list[str | None]):
-        """``read`` of every text; words are learned for ``AT_ONCE`` texts at a time."""
+        """(first text, ``read``) of ``AT_ONCE`` texts at a time."""
         for k in range(0, len(texts), AT_ONCE):
-            for words in self.learn(texts[k:k + AT_ONCE]):
-                yield self.read(words)
+            yield k, self.read(texts[k:k + AT_ONCE])
 
 
 _TEMPLATES = Templates()
 
 
-def windows(template: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, usable) of every window; usable when half its words or more are literal."""
-    width = min(WINDOW, len(template))
-    if width == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    n = len(template) - width + 1
-    out = np.full(n, np.uint64(width), np.uint64)
+def _hashes(words: np.ndarray, width: int, seed: int) -> np.ndarray:
+    n = len(words) - width + 1
+    out = np.full(n, np.uint64(seed + width), np.uint64)
     for k in range(width):
-        out ^= template[k:k + n]
+        out ^= words[k:k + n]
         out *= np.uint64(0x9FB21C651E98DF25)
         out ^= out >> np.uint64(29)
-    literal = np.append(0, np.cumsum(kind == LITERAL))
-    return out, (literal[width:] - literal[:n]) * 2 >= width
+    return out
 
 
-def _slots(value: np.ndarray, kind: np.ndarray, at: int) -> list[int]:
-    own = slice(at, at + WINDOW)
-    return value[own][kind[own] != LITERAL].view(np.int64).tolist()
+def _full(flags: np.ndarray, width: int) -> np.ndarray:
+    """How many of each ``width`` neighbours are set."""
+    count = np.append(0, np.cumsum(flags))
+    return count[width:] - count[:len(count) - width]
 
 
-_SCHEMA = "h long, key_id long, key_text long, at int, n_words int, slots array<long>"
+def windows(template: np.ndarray, value: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(template key, verbatim key, light) of every window; light when half its words or more are literal."""
+    return _hashes(template, width, 0), _hashes(value, width, VERBATIM), _full(kind == LITERAL, width) * 2 >= width
 
 
-def _window_rows(rows: DataFrame, bitmap=None) -> DataFrame:
-    """``rows`` (key_id, key_text, text) as window rows; with a bitmap only those it lets pass."""
+_SCHEMA = "h long, key_id long, key_text long, at int, n_words int"
+
+
+def _window_rows(rows: DataFrame, widths=None, bitmap=None) -> DataFrame:
+    """``rows`` (key_id, key_text, text) as window rows: items in windows of ``WINDOW`` words or as one
+    shorter window, documents in windows of all ``widths``, as far as the bitmap lets them pass."""
 
     def read(batches):
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint64)
+
+        def passed(keys):
+            if bits is None:
+                return np.ones(len(keys), bool)
+            return (bits[(keys >> np.uint64(6)) % np.uint64(BITMAP_WORDS)] >> (keys & np.uint64(63))) & np.uint64(1) == 1
+
         for batch in batches:
-            out = {name: [] for name in ("h", "row", "at", "n_words", "slots")}
-            for row, (template, value, kind) in enumerate(_TEMPLATES(batch.column("text").to_pylist())):
-                hashes, usable = windows(template, kind)
-                if bits is not None and len(hashes):
-                    usable &= (bits[(hashes >> np.uint64(6)) % np.uint64(BITMAP_WORDS)] >> (hashes & np.uint64(63))) & np.uint64(1) == 1
-                for at in np.flatnonzero(usable).tolist():
-                    out["h"].append(int(hashes[at].view(np.int64)))
-                    out["row"].append(row)
-                    out["at"].append(at)
-                    out["n_words"].append(len(template))
-                    out["slots"].append(_slots(value, kind, at))
-            at_row = pa.array(out["row"], pa.int64())
-            yield pa.RecordBatch.from_arrays([
-                pa.array(out["h"], pa.int64()), batch.column("key_id").take(at_row), batch.column("key_text").take(at_row),
-                pa.array(out["at"], pa.int32()), pa.array(out["n_words"], pa.int32()), pa.array(out["slots"], pa.list_(pa.int64())),
-            ], ["h", "key_id", "key_text", "at", "n_words", "slots"])
+            for k, (template, value, kind, row) in _TEMPLATES(batch.column("text").to_pylist()):
+                sizes = np.bincount(row)
+                first = np.cumsum(sizes) - sizes
+                own_width = np.minimum(sizes, WINDOW)
+                for width in (np.unique(own_width).tolist() if widths is None else widths):
+                    if not 0 < width <= len(row):
+                        continue
+                    by_template, verbatim, light = windows(template, value, kind, width)
+                    n = len(light)
+                    inside = row[:n] == row[width - 1:]
+                    if widths is None:
+                        inside &= own_width[row[:n]] == width
+                    light = np.flatnonzero(inside & light & passed(by_template))
+                    plain = np.flatnonzero(inside & passed(verbatim))
+                    if width < WINDOW:  # one window is the whole item: equal ones of a text decide alike
+                        light, plain = (at[_firsts(row[at], by_template[at], verbatim[at])] for at in (light, plain))
+                    at = np.append(light, plain)
+                    own = row[at]
+                    from_row = pa.array(own + k)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.append(by_template[light], verbatim[plain]).view(np.int64)), batch.column("key_id").take(from_row),
+                        batch.column("key_text").take(from_row), pa.array((at - first[own]).astype(np.int32)), pa.array(sizes[own].astype(np.int32)),
+                    ], ["h", "key_id", "key_text", "at", "n_words"])
 
     return rows.mapInArrow(read, _SCHEMA)
 
 
+def _firsts(row: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Places of the first of each equal (row, keys)."""
+    return np.unique(np.column_stack([row.astype(np.uint64), *keys]), axis=0, return_index=True)[1]
+
+
+_WORDS = "template binary, value binary, kind binary"
+
+
+def _item_words(rows: DataFrame) -> DataFrame:
+    """(item_id, item_text, item_template, item_value, item_kind): the words of each item."""
+
+    def read(batches):
+        for batch in batches:
+            columns = [[], [], []]
+            for text in batch.column("text").to_pylist():
+                for own, words in zip(columns, _TEMPLATES.read([text])):
+                    own.append(words.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("key_id"), batch.column("key_text"), *(pa.array(c, pa.binary()) for c in columns)],
+                                             ["item_id", "item_text", "item_template", "item_value", "item_kind"])
+
+    return rows.dropDuplicates(["key_id", "key_text"]).mapInArrow(read, "item_id long, item_text long, item_template binary, item_value binary, item_kind binary")
+
+
+def _stretches(rows: DataFrame) -> DataFrame:
+    """``rows`` (key_id, key_text, text, met): per met item and diagonal the document's words opposite the item."""
+
+    def read(batches):
+        for batch in batches:
+            for at, (key, text_key, text, met) in enumerate(zip(*(batch.column(name).to_pylist() for name in ("key_id", "key_text", "text", "met")))):
+                template, value, kind, _ = _TEMPLATES.read([text])
+                for k in range(0, len(met), AT_ONCE):
+                    part = met[k:k + AT_ONCE]
+                    cut = [slice(max(0, m["diagonal"]), max(0, m["diagonal"] + m["n_words"])) for m in part]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([key] * len(part), pa.int64()), pa.array([text_key] * len(part), pa.int64()),
+                        pa.array([m["item_id"] for m in part], pa.int64()), pa.array([m["item_text"] for m in part], pa.int64()),
+                        pa.array([max(0, -m["diagonal"]) for m in part], pa.int32()),
+                        *(pa.array([words[c].tobytes() for c in cut], pa.binary()) for words in (template, value, kind)),
+                    ], ["key_id", "key_text", "item_id", "item_text", "skipped", "template", "value", "kind"])
+
+    return rows.mapInArrow(read, f"key_id long, key_text long, item_id long, item_text long, skipped int, {_WORDS}")
+
+
+def longest_run(item: tuple, text: tuple, n_words: int) -> int:
+    """The longest run that counts between the (template, value, kind) of an item of ``n_words`` and of the words opposite; 0 for none."""
+    (t, v, k), (other_t, other_v, other_k) = item, text
+    width, need = min(WINDOW, n_words), min(LEAST_RUN, math.ceil(n_words * LEAST_SHARE))
+    if len(t) < width:
+        return 0
+    equal, alike = v == other_v, t == other_t
+    keyed = (_full(equal, width) == width) | ((_full(alike, width) == width) & (_full(k == LITERAL, width) * 2 >= width))
+    best = 0
+    for flags in (equal, equal | alike):
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
+        for begin, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if end - begin < max(need, width, best + 1) or not keyed[begin:end - width + 1].any():
+                continue
+            if flags is not equal:
+                slots = np.flatnonzero((k[begin:end] != LITERAL) | (other_k[begin:end] != LITERAL)) + begin
+                pairs = set(zip(v[slots].tolist(), other_v[slots].tolist()))
+                if len(pairs) != len({a for a, _ in pairs}):
+                    continue
+            best = end - begin
+    return best
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """(key_id, key_text, item_id, run_words, item_words) of the stretches whose run counts."""
+
+    def read(batches):
+        for batch in batches:
+            names = ("skipped", "template", "value", "kind", "item_template", "item_value", "item_kind")
+            runs, sizes = [], []
+            for skipped, *words in zip(*(batch.column(name).to_pylist() for name in names)):
+                read_as = [np.frombuffer(w, kind) for w, kind in zip(words, (np.uint64, np.uint64, np.int8) * 2)]
+                n_words, n = len(read_as[3]), len(read_as[0])
+                runs.append(longest_run(tuple(w[skipped:skipped + n] for w in read_as[3:]), tuple(read_as[:3]), n_words))
+                sizes.append(n_words)
+            out = pa.RecordBatch.from_arrays([*(batch.column(name) for name in ("key_id", "key_text", "item_id")), pa.array(runs, pa.int32()), pa.array(sizes, pa.int32())],
+                                             ["key_id", "key_text", "item_id", "run_words", "item_words"])
+            yield out.filter(pa.array([run > 0 for run in runs], pa.bool_()))
+
+    return rows.mapInArrow(read, "key_id long, key_text long, item_id long, run_words int, item_words int")
+
+
 def _keyed(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(F.col(key).cast("long").alias("key_id"), F.xxhash64("text").alias("key_text"), "text").where(F.col("text").isNotNull())
 
@@ -190,23 +301,21 @@ def _bitmap(hashes: DataFrame) -> bytes:
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_key, item_id, run_words, item_words): the longest consistent run of each pair that counts."""
     spark = docs.sparkSession
-    items = stored(_window_rows(_keyed(benchmark, "item_id")), "benchmark-windows")
-    bitmap = spark.sparkContext.broadcast(_bitmap(items.select("h")))
-    hits = _window_rows(_keyed(docs, "doc_id"), bitmap)
-    other = items.select("h", F.col("key_id").alias("item_id"), F.col("key_text").alias("item_text"), F.col("at").alias("item_at"),
-                         F.col("n_words").alias("item_words"), F.col("slots").alias("item_slots"))
-    met = hits.join(other, "h").select(
-        "key_id", "key_text", "item_id", "item_text", "item_words", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at",
-        F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")).alias("slots"),
-    )
-    line = Window.partitionBy("key_id", "key_text", "item_id", "item_text", "diagonal").orderBy("item_at")
-    runs = met.dropDuplicates(["key_id", "key_text", "item_id", "item_text", "diagonal", "item_at"]).withColumn("run", F.col("item_at") - F.row_number().over(line))
-    runs = runs.groupBy("key_id", "key_text", "item_id", "item_text", "item_words", "diagonal", "run").agg(
-        (F.count("*") + F.least(F.lit(WINDOW), F.col("item_words")) - 1).alias("run_words"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"),
+    items, texts = _keyed(benchmark, "item_id"), _keyed(docs, "doc_id")
+    own = stored(_window_rows(items), "benchmark-windows")
+    words = stored(_item_words(items), "benchmark-words")
+    bitmap = spark.sparkContext.broadcast(_bitmap(own.select("h")))
+    widths = [r.width for r in own.select(F.least("n_words", F.lit(WINDOW)).alias("width")).distinct().collect()]
+    other = own.select("h", F.col("key_id").alias("item_id"), F.col("key_text").alias("item_text"), F.col("at").alias("item_at"), F.col("n_words").alias("item_words"))
+    met = _window_rows(texts, widths, bitmap).join(other, "h").select(
+        F.col("key_id").alias("met_id"), F.col("key_text").alias("met_text"),
+        F.struct("item_id", "item_text", F.col("item_words").alias("n_words"), (F.col("at") - F.col("item_at")).alias("diagonal")).alias("met"),
     )
-    agrees = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["a"])))
-    enough = F.col("run_words") >= F.least(F.lit(LEAST_RUN), F.ceil(F.col("item_words") * LEAST_SHARE))
-    return runs.where(agrees & enough).groupBy(
+    met = stored(met.groupBy("met_id", "met_text").agg(F.collect_set("met").alias("met")), "benchmark-met")
+    found = _stretches(texts.join(met, F.col("key_id").eqNullSafe(F.col("met_id")) & (F.col("key_text") == F.col("met_text"))).select("key_id", "key_text", "text", "met"))
+    words = words.withColumnsRenamed({"item_id": "word_id", "item_text": "word_text"})
+    runs = _judged(found.join(words, F.col("item_id").eqNullSafe(F.col("word_id")) & (F.col("item_text") == F.col("word_text"))))
+    return runs.groupBy(
         F.col("key_id").alias("doc_id"), F.col("key_text").alias("text_key"), "item_id",
     ).agg(F.max("run_words").alias("run_words"), F.max("item_words").alias("item_words"))
 

@@ -110,6 +110,25 @@ def test_templates(spark):
     assert decontamination.report(docs.limit(0), benchmark).count() == 0 and decontamination.report(docs, benchmark.limit(0)).count() == 0
 
 
+def contaminated(spark, texts, *items):
+    """The numbers of the texts that an item contaminates."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {r.doc_id for r in decontamination.report(docs, benchmark).collect()}
+
+
+def test_short_items_and_dense_placeholders(spark):
+    around = "some words before it stand here and {} then more of them follow after it"
+    short, dense = "What is the capital of France?", "What is 12 + 15 + 31 + 44 + 5 + 6 + 7?"
+    assert contaminated(spark, [around.format(short), short, around.format("What is the size of France?"), "What is the"], short) == {0, 1}
+    assert contaminated(spark, [around.format(dense), around.format("What is 13 + 25 + 41 + 54 + 8 + 9 + 1?")], dense) == {0}
+    assert contaminated(spark, [around.format("at 7 Paris"), around.format("at 8 Rome")], "7 Paris") == {0}
+    # A dense stretch inside or at the end of a longer item with other numbers.
+    long = "please write the numbers {} {} {} {} {} {} {} {} {} in one line below"
+    assert contaminated(spark, [around.format(long.format(*range(30, 39))), around.format(long.format(*[5] * 9))], long.format(*range(9))) == {0, 1}
+    assert contaminated(spark, [around.format("add up all of these numbers for me 4 5 6 7 8 9 10 11")], "add up all of these numbers for me 3 2 5 7 9 12 1 0") == {0}
+
+
 def test_planted_passages_are_found(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     flat = lambda t: " ".join(t.lower().split())
