@@ -16,7 +16,8 @@ An item of ``WINDOW`` words or fewer is one window, found as a whole; documents
 read at every width that occurs among the items. Words with hardly a literal among
 them are found verbatim only, or next to a window that met.
 
-A name is a capitalised word, not one all in capitals, that does not open a sentence. Before the join, window
+A name is a capitalised word, not one all in capitals, that is no ``COMMON`` word; its place does not matter, so a
+name that opens a sentence is one too. Words that may be either, such as Will, count as names. Before the join, window
 hashes of documents pass a bitmap of fixed size made from all items; it only saves
 work, every hit is decided by the join. Items may be many: nothing of them is
 collected but the bitmap and the widths.
@@ -56,6 +57,21 @@ UNITS = frozenset((
 NUMBER_WORDS = frozenset((
     "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "forty", "fifty", "hundred", "thousand", "million", "billion",
 ))
+# Function words and words that open questions and tasks: never names, capitalised or not. Words that also serve as names (will, may, mark) are left out.
+COMMON = frozenset((
+    "a", "an", "the", "this", "that", "these", "those", "there", "here", "it", "its", "he", "she", "his", "her", "hers", "him", "they", "them", "their", "we", "us", "our", "you", "your", "i", "my", "me",
+    "who", "whom", "whose", "what", "which", "when", "where", "why", "how", "whether", "if", "then", "else", "because", "since", "although", "though", "while", "until", "unless", "as", "so", "than",
+    "and", "or", "but", "nor", "not", "no", "yes", "none", "neither", "either", "both", "each", "every", "all", "any", "some", "many", "much", "most", "more", "few", "several", "such", "other", "another",
+    "of", "in", "on", "at", "by", "for", "from", "to", "with", "without", "about", "after", "before", "during", "between", "among", "through", "over", "under", "above", "below", "into", "onto", "near", "per",
+    "is", "are", "was", "were", "be", "been", "being", "am", "do", "does", "did", "has", "have", "had", "can", "could", "would", "should", "shall", "must", "might", "let", "suppose", "assume", "given", "consider",
+    "find", "calculate", "compute", "determine", "solve", "show", "prove", "write", "explain", "describe", "choose", "select", "list", "give", "state", "name", "answer", "question", "read", "use", "complete",
+    "now", "today", "tomorrow", "yesterday", "later", "first", "second", "next", "last", "finally", "however", "therefore", "thus", "hence", "also", "only", "just", "still", "once", "again", "together", "altogether", "please", "note",
+    "der", "die", "das", "den", "dem", "des", "ein", "eine", "einen", "einem", "einer", "eines", "und", "oder", "aber", "nicht", "ist", "sind", "war", "waren", "hat", "haben", "wird", "werden", "er", "sie", "es", "wir", "ihr",
+    "wer", "was", "wie", "wo", "wann", "warum", "welche", "welcher", "welches", "wenn", "als", "auf", "aus", "bei", "mit", "nach", "von", "vor", "zu", "zum", "zur", "im", "für", "über", "unter", "durch", "auch", "nur", "dann", "sich",
+    "le", "la", "les", "un", "une", "du", "de", "et", "ou", "mais", "ne", "pas", "est", "sont", "il", "elle", "ils", "elles", "nous", "vous", "ce", "cette", "ces", "qui", "que", "quoi", "quel", "quelle", "où", "quand", "comment",
+    "pourquoi", "si", "dans", "sur", "sous", "avec", "pour", "par", "sans", "entre", "aux", "au", "el", "los", "las", "una", "unos", "unas", "y", "o", "pero", "no", "es", "son", "él", "ella", "ellos", "en", "con", "por", "para", "sin",
+    "qué", "quién", "cuál", "cómo", "cuándo", "dónde", "cuánto", "cuántos", "al", "del", "se", "su",
+))
 EMPTY, LITERAL, NUMBER, UNIT, MEASURE = range(5)
 NAME = 5
 _PLACE = np.array([0, 0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -80,11 +96,10 @@ class Templates:
 
     @staticmethod
     def _read(word: str) -> tuple:
-        """(hash of the core, kind, capitalised, ends a sentence)."""
-        ends = word.rstrip("\"')]}”»*#$%&").endswith((".", "!", "?", ":"))
+        """(hash of the core, kind)."""
         core = word if word.isalpha() else _EDGE.sub("", word)
         if not core:
-            return 0, EMPTY, False, ends
+            return 0, EMPTY
         low = core.lower()
         kind = LITERAL
         if low in UNITS:
@@ -96,7 +111,9 @@ class Templates:
                 kind = NUMBER
             elif _MEASURE.fullmatch(low):
                 kind = MEASURE
-        return _hash(low), kind, core[0].isupper() and not core.isupper(), ends
+        if kind == LITERAL and core[0].isupper() and not core.isupper() and low not in COMMON:
+            kind = NAME
+        return _hash(low), kind
 
     def learn(self, texts: list[str | None]) -> list[list[str]]:
         """The words of each text, all of them known from now on."""
@@ -106,7 +123,7 @@ class Templates:
         fresh = list(set().union(*words).difference(self.known))
         if fresh:
             rows = list(zip(*map(self._read, fresh)))
-            new = tuple(np.array(column, kind) for column, kind in zip(rows, (np.uint64, np.int8, bool, bool)))
+            new = tuple(np.array(column, kind) for column, kind in zip(rows, (np.uint64, np.int8)))
             self.table = new if self.table is None else tuple(np.concatenate(p) for p in zip(self.table, new))
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
         return words
@@ -119,9 +136,7 @@ class Templates:
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int64)
         at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         row = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
-        value, kind, capital, ends = (column[at] for column in self.table)
-        opens = np.append(True, ends[:-1] | (row[1:] != row[:-1]))
-        kind = np.where((kind == LITERAL) & capital & ~opens, NAME, kind)
+        value, kind = (column[at] for column in self.table)
         keep = kind != EMPTY
         value, kind = value[keep], kind[keep]
         return np.where(kind == LITERAL, value, _PLACE[kind]), value, kind, row[keep]

@@ -129,6 +129,16 @@ def test_short_items_and_dense_placeholders(spark):
     assert contaminated(spark, [around.format("add up all of these numbers for me 4 5 6 7 8 9 10 11")], "add up all of these numbers for me 3 2 5 7 9 12 1 0") == {0}
 
 
+def test_names_of_any_place_and_case(spark):
+    item = "Tom has 3 apples. Tom buys 4 more pears. How many fruits does Tom have now?"
+    other = item.replace("Tom", "Bob").replace("3", "5")
+    two = other.replace("Bob buys", "Sue buys")
+    assert contaminated(spark, [item, other, two, f"Question 5 {other}", item.lower(), item.upper(), item.replace(" ", " \n")], item) == {0, 1, 3, 4, 5, 6}
+    named = "The train that Anna took from Berlin to Hamburg with Peter left late"
+    assert contaminated(spark, [named.lower(), named.upper(), f"Here: {named.lower()} again", named.replace("Anna", "Mary"), named.replace("late", "early")], named) == {0, 1, 2, 3, 4}
+    assert contaminated(spark, ["Will has 3 apples. Will buys 4 more pears. How many fruits does Will have now?"], item) == {0}
+
+
 def test_planted_passages_are_found(spark):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     flat = lambda t: " ".join(t.lower().split())
