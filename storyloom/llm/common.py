@@ -49,7 +49,8 @@ def one_label(labels: DataFrame, column: str) -> DataFrame:
 
 def bounded_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> list:
     """(text, label) pairs for fitting on the driver: of each label the first ``max_rows``
-    labelled ids in hash order, as far as their texts fill ``max_bytes``. Null text is empty.
+    labelled ids in hash order, as far as their texts fill ``max_bytes``. Null text is empty;
+    a text that alone is longer than ``max_bytes`` is passed over.
 
     ``labels`` is (doc_id, label). The ids are drawn before any text is read, so
     what meets the texts is at most ``2 * max_rows`` rows of two numbers.
@@ -58,7 +59,7 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes:
     for label in (0, 1):
         own = labels.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
         picked = own if picked is None else picked.unionByName(own)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").where(F.octet_length("text") <= max_bytes)
     filled = F.sum(F.octet_length("text")).over(
         Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -66,20 +67,34 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes:
     return sorted((r.text, r.label) for r in rows.select("text", "label").collect())
 
 
+def label_rows(docs: DataFrame, labels: DataFrame) -> dict[int, int]:
+    """How many rows of ``docs`` carry each label of ``labels`` (doc_id, label); no text is read."""
+    counts = docs.select("doc_id").join(labels, "doc_id").groupBy("label").agg(F.count("*").alias("rows")).collect()
+    return {0: 0, 1: 0} | {r.label: r.rows for r in counts}
+
+
+def row_weights(sample: list, totals: dict[int, int]) -> dict[int, float]:
+    """What a sampled row of each label stands for: the label's rows over its sampled rows."""
+    sampled = {label: sum(y == label for _, y in sample) for label in (0, 1)}
+    return {label: totals[label] / sampled[label] if sampled[label] else 0.0 for label in (0, 1)}
+
+
 class Logistic:
-    """Ridge logistic regression on standardised, clipped features (Newton steps)."""
+    """Ridge logistic regression on standardised, clipped features (Newton steps); a row counts ``weights`` times."""
 
-    def __init__(self, features: np.ndarray, labels: np.ndarray, ridge: float = 1.0):
+    def __init__(self, features: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None, ridge: float = 1.0):
         x, y = np.asarray(features, float), np.asarray(labels, float)
-        self.mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
-        self.scale = x.std(0) + 1e-9 if len(x) else np.ones(x.shape[1])
+        times = np.ones(len(x)) if weights is None else np.asarray(weights, float)
+        self.mean = np.average(x, 0, times) if len(x) else np.zeros(x.shape[1])
+        self.scale = np.sqrt(np.average((x - self.mean) ** 2, 0, times)) + 1e-9 if len(x) else np.ones(x.shape[1])
         # One pseudo-row of each label keeps the fit defined for a single class.
         a = np.vstack([self._design(x), self._design(np.vstack([self.mean, self.mean]))])
+        times = np.append(times, [1.0, 1.0])
         y, w = np.append(y, [0.0, 1.0]), np.zeros(x.shape[1] + 1)
         penalty = np.diag([1e-3] + [ridge] * x.shape[1])
         for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            step = np.linalg.solve(a.T @ (a * (p * (1 - p) + 1e-9)[:, None]) + penalty, a.T @ (y - p) - penalty @ w)
+            step = np.linalg.solve(a.T @ (a * (times * (p * (1 - p) + 1e-9))[:, None]) + penalty, a.T @ (times * (y - p)) - penalty @ w)
             w = w + step
             if np.abs(step).max() < 1e-8:
                 break

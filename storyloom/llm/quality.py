@@ -6,12 +6,12 @@ blocks of ``BLOCK`` bytes, all of them are packed with either dictionary and wit
 none, and the size difference over the plain size is the main feature; the sizes
 over the length and the packed size of the whole text (repetition inside it)
 complete it. A logistic fit on labelled texts that the dictionaries did not see
-calibrates the score.
+calibrates the score; a sampled text counts as often as its label has rows for it.
 
 Fitting takes a bounded sample of labelled rows (``max_rows``, ``max_bytes`` per
 label); scoring takes every whole text. Null and empty texts score as a text of
 no bytes. Repeated rows and ids are scored row by row; without rows of both
-labels every score is the share of good labels seen.
+labels every score is the share of good labels.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import Logistic, bounded_sample, fold, one_label
+from storyloom.llm.common import Logistic, bounded_sample, fold, label_rows, one_label, row_weights
 
 BLOCK, LEVEL, DICTIONARY_BYTES = 2048, 3, 1 << 16
 MAX_ROWS, MAX_BYTES = 6000, 48_000_000
@@ -86,14 +86,17 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
     """``labels`` (doc_id, label): every second sampled text trains the dictionaries, the others calibrate."""
     rows = bounded_sample(docs, labels, max_rows, max_bytes)
-    prior = sum(y for _, y in rows) / len(rows) if rows else 0.5
+    totals = label_rows(docs, labels)
+    prior = totals[1] / sum(totals.values()) if any(totals.values()) else 0.5
     halves = {label: [t for t, y in rows if y == label] for label in (0, 1)}
     if min(map(len, halves.values())) < 2:
         return Model(b"", b"", None, prior)
     good, bad = (_dictionary([b for t in halves[label][::2] for b in _blocks(t.encode())]) for label in (1, 0))
     features = Features(good, bad)
     held = [(features(t), y) for y, texts in halves.items() for t in texts[1::2]]
-    return Model(good, bad, Logistic(np.array([x for x, _ in held]), np.array([y for _, y in held])), prior)
+    weights = row_weights(rows, totals)
+    fitted = Logistic(np.array([x for x, _ in held]), np.array([y for _, y in held]), np.array([weights[y] for _, y in held]))
+    return Model(good, bad, fitted, prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import Logistic, bounded_sample, fold, one_label
+from storyloom.llm.common import Logistic, bounded_sample, fold, label_rows, one_label, row_weights
 
 MAX_ROWS, MAX_BYTES, THRESHOLD = 4000, 32_000_000, 0.7
 #: A beginning is learned when it is this long, in this many toxic texts of the
@@ -151,14 +151,17 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
-    """``labels`` (doc_id, label). Every second sampled text teaches the vocabulary, the others the weights."""
+    """``labels`` (doc_id, label). Every second sampled text teaches the vocabulary, the others the weights; there
+    a text counts as often as its label has rows for it."""
     rows = bounded_sample(docs, labels, max_rows, max_bytes)
-    prior = sum(y for _, y in rows) / len(rows) if rows else 0.0
+    totals = label_rows(docs, labels)
+    prior = totals[1] / sum(totals.values()) if any(totals.values()) else 0.0
     if len({y for _, y in rows}) < 2:
         return Model(Grammar({}), None, min(prior, 0.5))
     grammar = Grammar(learn_prefixes(rows[::2]))
     held = rows[1::2]
-    fitted = Logistic(np.array([grammar.features(t) for t, _ in held]), np.array([y for _, y in held]))
+    weights = row_weights(rows, totals)
+    fitted = Logistic(np.array([grammar.features(t) for t, _ in held]), np.array([y for _, y in held]), np.array([weights[y] for _, y in held]))
     return Model(grammar, fitted, prior)
 
 

@@ -7,10 +7,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from storyloom.llm import decontamination, fingerprints, packing, quality, toxicity
+from storyloom.llm.common import bounded_sample
 from storyloom.llm.plans import QUERIES
 from storyloom.llm.tokens import Tokens
 from tests.llm.conftest import prose
@@ -43,6 +45,24 @@ def test_scores_without_labels_and_texts(docs, no_docs, spark):
     assert quality.keep_good(docs, none).columns == docs.columns
 
 
+def test_scores_keep_the_label_shares_above_the_sample_bound(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, prose(rng, 30)) for i in range(400)], "doc_id long, text string")
+    for module, share in ((quality, 0.9), (toxicity, 0.1)):
+        labels = spark.createDataFrame([(i, int(i % 10 < share * 10)) for i in range(400)], "doc_id long, label int")
+        for bound in (400, 40):
+            scores = module.fit(docs, labels, max_rows=bound).score([r.text for r in docs.collect()])
+            assert abs(scores.mean() - share) < 0.07
+
+
+def test_a_too_long_text_is_passed_over_alone(spark):
+    docs = spark.createDataFrame([(i, "x" * (5000 if i == 0 else 10)) for i in range(40)], "doc_id long, text string")
+    for first in range(0, 40, 8):
+        moved = docs.withColumn("doc_id", (F.col("doc_id") + first) % 40)
+        labels = docs.selectExpr("doc_id", "1 AS label")
+        assert len(bounded_sample(moved, labels, 40, 1000)) == 39
+
+
 def test_clauses():
     grammar = toxicity.Grammar({"moro": 4.0})
     kinds = lambda text: [name for name, _ in grammar.clauses(text)]
