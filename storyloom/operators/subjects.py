@@ -1,11 +1,10 @@
 """Grouping recent stories by subject, for a person to name.
 
 The pass takes stories newest first; each joins the group whose running mean it
-is nearest to, or opens one. The outcome depends on the order, so a pass belongs
-in one task, and a task takes a bounded chunk. Up to ``CHUNK`` stories this is
-the pass itself. More are split into chunks of near vectors, and the groups of
-all chunks are then passed over as weighted stories, until they fit one chunk or
-no longer get fewer.
+is nearest to, or opens one. The outcome depends on the order, so the whole pass
+is one task at every size, over the stories of a few days. They come to it as a
+sorted stream; it holds the groups' sums and means only. Its time grows with
+stories times groups, and more machines do not shorten it.
 """
 
 from __future__ import annotations
@@ -16,72 +15,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.functions import vectors as V
-from storyloom.operators import similarity
 from storyloom.operators.topics import GROUP_SIMILARITY
 from storyloom.session import cut_lineage
 
-CHUNK, MIN_SIZE, DAYS, SHRINK = 2048, 3, 7, 0.95
-_FIELDS = "member long, leader long"
-
-
-def _pass(floor: float):
-    schema = pa.schema([("member", pa.int64()), ("leader", pa.int64())])
-
-    def run(chunk: pa.Table) -> pa.Table:
-        order = np.lexsort((chunk.column("member").to_numpy(), -chunk.column("newest").to_numpy()))
-        ids = chunk.column("member").to_numpy()[order]
-        sums = V.as_matrix(chunk.column("total"))[order]
-        heads, running, leaders, taken = np.zeros_like(sums), np.zeros_like(sums), [], np.zeros(len(ids), dtype=np.int64)
-        for i, total in enumerate(sums):
-            length = np.linalg.norm(total)
-            scores = heads[:len(leaders)] @ (total / (length or 1.0))
-            fit = np.flatnonzero(scores >= floor)
-            if len(fit):
-                # Among equals the group opened last.
-                g = fit[len(fit) - 1 - int(np.argmax(scores[fit][::-1]))]
-            else:
-                g = len(leaders)
-                leaders.append(ids[i])
-            running[g] += total
-            heads[g] = running[g] / (np.linalg.norm(running[g]) or 1.0)
-            taken[i] = leaders[g]
-        return pa.table({"member": ids, "leader": taken}, schema=schema)
+CHUNK, MIN_SIZE, DAYS = 2048, 3, 7
+
+
+def _pass(floor: float, chunk: int):
+    schema = pa.schema([("story_id", pa.int64()), ("leader", pa.int64())])
+
+    def run(batches):
+        heads = running = None
+        leaders: list[int] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, taken = batch.column("story_id").to_pylist(), []
+            for member, total in zip(ids, V.as_matrix(batch.column("centroid"))):
+                if heads is None:
+                    heads, running = np.zeros((chunk, len(total))), np.zeros((chunk, len(total)))
+                scores = heads[:len(leaders)] @ (total / (np.linalg.norm(total) or 1.0))
+                fit = np.flatnonzero(scores >= floor)
+                if len(fit):
+                    # Among equals the group opened last.
+                    g = fit[len(fit) - 1 - int(np.argmax(scores[fit][::-1]))]
+                else:
+                    g = len(leaders)
+                    leaders.append(member)
+                    if g == len(heads):
+                        more = np.zeros((max(chunk, g // 2), len(total)))
+                        heads, running = np.vstack([heads, more]), np.vstack([running, more])
+                running[g] += total
+                heads[g] = running[g] / (np.linalg.norm(running[g]) or 1.0)
+                taken.append(leaders[g])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(taken, pa.int64())], schema=schema)
 
     return run
 
 
-def _chunked(rows: DataFrame, count: int, chunk: int) -> DataFrame:
-    """Rows with a chunk key of bounded size; near vectors share a chunk."""
-    if count <= chunk:
-        return rows.withColumn("cell", F.lit(0)).withColumn("part", F.lit(0).cast("long"))
-    named = rows.withColumnRenamed("member", "item_id").withColumn("embedding", V.unit(F.col("total")))
-    # As many centres as full chunks, so that chunks are well filled.
-    centres = similarity._centres(named, min(similarity.MAX_CENTRES, -(-count // chunk)))
-    placed = similarity._cells(named, centres).drop("angles", "embedding").withColumnRenamed("item_id", "member")
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") * 1.2 / chunk).alias("parts"))
-    return placed.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts"))).drop("parts")
-
-
 def groups(stories: DataFrame, floor: float = GROUP_SIMILARITY, chunk: int = CHUNK) -> DataFrame:
-    """(story_id, leader) for stories of (story_id, newest, centroid)."""
-    rows = cut_lineage(stories.select(F.col("story_id").alias("member"), "newest", F.col("centroid").alias("total")))
-    home = rows.select(F.col("member").alias("story_id"), F.col("member").alias("leader"))
-    count = rows.count()
-    while True:
-        single = count <= chunk
-        led = cut_lineage(_chunked(rows, count, chunk).groupBy("cell", "part").applyInArrow(_pass(floor), _FIELDS))
-        home = cut_lineage(home.join(led.withColumnRenamed("leader", "next"), home["leader"] == led["member"]).select("story_id", F.col("next").alias("leader")))
-        if single:
-            return home
-        joined = rows.join(led, "member")
-        # Sums of a group add up; kept as plain sums so that weights carry over.
-        each = joined.select("leader", "newest", F.posexplode("total").alias("place", "x")).groupBy("leader", "place").agg(F.sum("x").alias("x"), F.max("newest").alias("newest"))
-        rows = cut_lineage(each.groupBy("leader").agg(
-            F.max("newest").alias("newest"), F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda p: p["x"]).alias("total"),
-        ).withColumnRenamed("leader", "member"))
-        before, count = count, rows.count()
-        if count > before * SHRINK:
-            return home
+    """(story_id, leader) for stories of (story_id, newest, centroid); room for groups grows by ``chunk``."""
+    rows = stories.select(F.col("story_id").cast("long").alias("story_id"), "newest", "centroid")
+    line = rows.repartition(1).sortWithinPartitions(F.desc("newest"), "story_id").select("story_id", "centroid")
+    return cut_lineage(line.mapInArrow(_pass(floor, chunk), "story_id long, leader long"))
 
 
 def candidates(home: DataFrame, story_topics: DataFrame, spine: DataFrame, min_size: int = MIN_SIZE) -> DataFrame:

@@ -158,3 +158,15 @@ def test_subject_groups_equal_the_leader_pass(spark):
     # In chunks every story still has one group, and far fewer groups than stories are left.
     split = {r["story_id"]: r["leader"] for r in subjects.groups(rows, 0.8, chunk=30).collect()}
     assert set(split) == set(range(120)) and len(set(split.values())) <= 2 * len(set(want.values()))
+
+
+def test_subject_groups_are_the_leader_pass_at_any_size(spark):
+    rng = np.random.default_rng(4)
+    n = 2200
+    v = rng.normal(size=(60, 24))[rng.integers(0, 60, n)] + rng.normal(size=(n, 24)) * 0.4
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    at = rng.integers(0, 500, n)
+    rows = spark.createDataFrame([(i, int(at[i]), v[i].tolist()) for i in range(n)], "story_id long, newest long, centroid array<double>")
+    want = leader_pass(v, sorted(range(n), key=lambda i: (-at[i], i)), 0.8)
+    for chunk in (subjects.CHUNK, 30):
+        assert {r["story_id"]: r["leader"] for r in subjects.groups(rows, 0.8, chunk).collect()} == want
