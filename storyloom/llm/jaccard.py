@@ -116,7 +116,7 @@ def _signed(tokens: np.ndarray) -> list:
 
 
 def described(docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
-    """(doc_id, set_key, n, marks, prefix) per row; the key is null and the prefix empty without words."""
+    """(doc_id, text_key, set_key, n, marks, prefix) per row; the key is null and the prefix empty without words."""
     def read(batches):
         table = np.frombuffer(levels.value, np.uint8)
         for batch in batches:
@@ -128,12 +128,13 @@ def described(docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
                 marks.append(_marks(tokens, bounds))
                 prefixes += [_signed(_prefix(tokens[a:b], ranks[a:b], percent)) if a < b else [] for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()),
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()),
                  *(pa.array(np.concatenate(marks)[:, k]) for k in range(4)), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "set_key", "n", *MARKS, "prefix"],
+                ["doc_id", "text_key", "set_key", "n", *MARKS, "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, "doc_id long, set_key long, n long, m0 long, m1 long, m2 long, m3 long, prefix array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(read, "doc_id long, text_key long, set_key long, n long, m0 long, m1 long, m2 long, m3 long, prefix array<long>")
 
 
 def _live_bits(live: DataFrame) -> bytes:
@@ -288,8 +289,8 @@ def similar_pairs(docs: DataFrame, rows: DataFrame, levels, words: int, percent:
     return links.union(stored(_linked(pairs, sets, percent), "jaccard-links"))
 
 
-def grouped(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of ``docs``."""
+def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id) per row of ``docs``."""
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(rarity_levels(docs, words))
     rows = stored(described(docs, levels, words, percent), "jaccard-rows")
@@ -297,12 +298,23 @@ def grouped(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     named = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node")).join(label, "node", "left")
     # Written, so that the join below can split a set that very many rows have.
     named = stored(named.select("set_key", F.coalesce("component", "node").alias("component_id")), "jaccard-named")
-    return rows.select("doc_id", "set_key", "n").join(named, "set_key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+    return rows.select("doc_id", "text_key", "set_key", "n").join(named, "set_key", "left").select(
+        "doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
     )
 
 
+def grouped(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of ``docs``."""
+    return _grouped(docs, words, percent).drop("text_key")
+
+
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The document of the smallest id of each group, columns as they came; rows with a null id stay."""
-    lower = stored(grouped(docs, words, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct(), "jaccard-gone")
-    return docs.join(lower, F.col("doc_id").cast("long") == F.col("_id"), "left_anti").select(*docs.columns)
+    """The document of the smallest id of each group, columns as they came; rows with a null id stay.
+
+    An id with two texts is judged text by text. Rows that repeat id and text stay together or go together.
+    """
+    lower = _grouped(docs, words, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    lower = stored(lower, "jaccard-gone")
+    return docs.withColumn("_text", F.xxhash64("text")).join(
+        lower, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_text") == F.col("_key")), "left_anti",
+    ).select(*docs.columns)

@@ -62,6 +62,12 @@ def test_jaccard_groups(docs, no_docs):
     assert {0, 1, 100, 101, 102, None} <= ids and not {2, 8, 104, 108} & ids
 
 
+def test_of_one_id_only_the_similar_text_goes(spark):
+    alone, twin = "this text stands alone and nothing is like it", "that other text has a twin of a smaller number"
+    rows = spark.createDataFrame([(2, twin), (5, alone), (5, twin), (7, twin)], "doc_id long, text string")
+    assert ordered(jaccard.keep_one(rows).collect()) == [(2, twin), (5, alone)]
+
+
 def test_line_removal(docs, no_docs):
     seen, want = [], set()
     for d, t in sorted({p for p in pairs(docs) if p[1] is not None}, key=lambda p: (p[0] is not None, p[0])):
