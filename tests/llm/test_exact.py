@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -113,6 +114,38 @@ def test_secrets(spark, docs, no_docs):
     assert secrets.report(no_docs).count() == 0
 
 
+def match_of(rng, nodes):
+    """A random text that the parsed expression matches."""
+    out = ""
+    for kind, at in nodes:
+        kind = str(kind)
+        if kind == "LITERAL":
+            out += chr(at)
+        elif kind == "IN":
+            member, value = rng.choice(at)
+            out += chr(value if str(member) == "LITERAL" else rng.randint(*value))
+        elif kind == "SUBPATTERN":
+            own = match_of(rng, at[-1])
+            out += "".join(rng.choice((c, c.upper())) for c in own) if at[1] & re.IGNORECASE else own
+        elif kind == "BRANCH":
+            out += match_of(rng, rng.choice(at[1]))
+        elif kind == "MAX_REPEAT":
+            low, high, inner = at
+            out += "".join(match_of(rng, inner) for _ in range(rng.randint(low, min(int(high), low + 20))))
+        else:
+            raise AssertionError(kind)
+    return out
+
+
+def test_literals_occur_in_every_match():
+    rng = random.Random(2)
+    for rule in secrets.RULES:
+        for _ in range(500):
+            text = match_of(rng, re._parser.parse(rule.pattern))
+            assert re.fullmatch(rule.pattern, text)
+            assert not rule.literals or any(all(word in text.lower() for word in words) for words in rule.literals), (rule.kind, text)
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a.b/x", "<p>é"), (2, None, None), (3, "bad url", ""), (None, "http://a.b/x", "<p>é"), (1, "http://a.b/x", "<p>é"), (7, "http://a.b/x", "<p>é"), (8, "http://a.b/y", "x" * 300_000)]
     rows += [(100 + i, "http://h.co/z", f"p{i}") for i in range(1200)]
