@@ -98,6 +98,27 @@ def op1_suffix_dedup(spark, sf_dir):
     return suffixes.report(table(spark, sf_dir, "documents"))
 
 
+@query("op11_maxent")
+def op11_maxent(spark, sf_dir):
+    from storyloom.llm import maxent
+
+    return maxent.report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_centroids")
+def op12_centroids(spark, sf_dir):
+    from storyloom.llm import centroids
+
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_codes")
+def op13_codes(spark, sf_dir):
+    from storyloom.llm import codes
+
+    return codes.report(table(spark, sf_dir, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline
