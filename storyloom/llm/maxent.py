@@ -9,7 +9,7 @@ count over the outcome's. So
 
 and the shares of an outcome, with one unseen token, add up to one. Either softmax
 adds up rows of a weight table that hashed features choose: the token before, the
-two before together, the one two places before (skip) and, for members, the class.
+two before together, the one two places before (skip); for members with the class.
 
 Counts cover all training texts. Training goes through all of them once, in
 ``ROUNDS`` parts: each task takes the weights, improves them over its own texts in
@@ -49,9 +49,9 @@ SHARED = OUTCOMES // 4
 HEAD, HEAD_BYTES = 1 << 18, 32
 #: Rows of the weight tables, weights a row: 1 and 2 MB.
 CLASS_ROWS, MEMBER_ROWS = 1 << 13, 1 << 14
-ROUNDS, RATE, START = 2, 0.15, 0.1
+ROUNDS, RATE, START = 2, 1.5, 1.0
 #: Bytes of a text taken at a time, positions of a training batch, and distinct tokens a task counts before it writes them.
-BLOCK, BATCH, DISTINCT = 1 << 20, 1 << 14, 400_000
+BLOCK, BATCH, DISTINCT = 1 << 20, 1 << 13, 400_000
 END = b""
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -196,7 +196,7 @@ class Model:
         group = outcome // MEMBERS
         none = np.zeros(len(outcome), np.uint16)
         classes = [none, _row(one, 0, 1, CLASS_ROWS, 1), _row(one, two, 2, CLASS_ROWS, 1), _row(two, 0, 3, CLASS_ROWS, 1)]
-        members = [group.astype(np.uint16), _row(one, group, 4, MEMBER_ROWS, CLASSES), _row(two, group, 5, MEMBER_ROWS, CLASSES)]
+        members = [group.astype(np.uint16), _row(one, group, 4, MEMBER_ROWS, CLASSES)]
         return classes, members
 
     @staticmethod
@@ -217,7 +217,7 @@ class Model:
         return total
 
     def learn(self, outcome: np.ndarray, one: np.ndarray, two: np.ndarray, seen: tuple[np.ndarray, np.ndarray]) -> None:
-        """One gradient step on a batch; ``seen`` are the sums of squares that slow rows down."""
+        """One gradient step on a batch; ``seen`` are the sums of squares, by row, that slow rows down."""
         at = np.arange(len(outcome))
         for table, rows, target, squares in zip((self.classes, self.members), self.rows(outcome, one, two), (outcome // MEMBERS, outcome % MEMBERS), seen):
             error = self._shares(table, rows)
@@ -228,9 +228,10 @@ class Model:
                 starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
                 step = np.add.reduceat(error[order], starts, axis=0)
                 used = ranked[starts]
-                slowed = squares[used] + step * step
+                slowed = squares[used] + np.einsum("ij,ij->i", step, step)
                 squares[used] = slowed
-                table[used] -= RATE * step / np.sqrt(slowed)
+                step *= (RATE / np.sqrt(slowed))[:, None]
+                table[used] -= step
 
 
 class Reader:
@@ -277,7 +278,7 @@ def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> Model:
         def improve(batches):
             first, reader = held.value, Reader(dictionary.value)
             own = first.copy()
-            seen = tuple(np.full_like(t, START) for t in (own.classes, own.members))
+            seen = tuple(np.full(len(t), START, np.float32) for t in (own.classes, own.members))
             ready, size, tokens = [], 0, 0
 
             def step():

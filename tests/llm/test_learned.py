@@ -202,7 +202,7 @@ def test_probabilities_add_up_to_one(spark, docs):
 def test_context_is_learned(spark):
     """Alternating words: after either one the other is all but certain, which counts alone cannot know."""
     rng = random.Random(2)
-    rows = [(i, " ".join(["ping", "pong"] * 50) + " " + prose(rng, 5)) for i in range(200)]
+    rows = [(i, " ".join(["ping", "pong"] * 50) + " " + prose(rng, 5)) for i in range(1500)]
     got = maxent.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     held = [r for r in got if r.held_out]
     assert held and sum(r.score for r in held) > 0.5 * sum(r.base_score for r in held)
