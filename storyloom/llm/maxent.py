@@ -49,7 +49,7 @@ SHARED = OUTCOMES // 4
 HEAD, HEAD_BYTES = 1 << 18, 32
 #: Rows of the weight tables, weights a row: 1 and 2 MB.
 CLASS_ROWS, MEMBER_ROWS = 1 << 13, 1 << 14
-ROUNDS, RATE, START = 2, 1.5, 1.0
+ROUNDS, RATE, START = 2, 1.0, 16.0
 #: Bytes of a text taken at a time, positions of a training batch, and distinct tokens a task counts before it writes them.
 BLOCK, BATCH, DISTINCT = 1 << 20, 1 << 13, 400_000
 END = b""
