@@ -210,7 +210,7 @@ def test_context_is_learned(spark):
 
 def test_held_out_texts_are_likelier_than_by_counts(spark):
     held = [r for r in QUERIES["op11_maxent"](spark, SF).collect() if r.held_out]
-    assert len(held) > 100 and sum(r.score for r in held) > 0.98 * sum(r.base_score for r in held)
+    assert len(held) > 100 and sum(r.score for r in held) > 0.99 * sum(r.base_score for r in held)
 
 
 def test_long_texts_are_read_in_stretches(monkeypatch):
