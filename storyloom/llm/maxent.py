@@ -15,7 +15,7 @@ Counts cover all training texts. Training goes through all of them once, in
 ``ROUNDS`` parts: each task takes the weights, improves them over its own texts in
 batches (AdaGrad) and returns its update; the updates' mean by tokens is added.
 Scoring reads every whole text. Only data of fixed size are broadcast: the weights,
-and the ``HEAD`` most frequent tokens (of at most ``HEAD_BYTES`` bytes) with their
+and at most ``HEAD`` most frequent tokens (of at most ``HEAD_BYTES`` bytes) with their
 counts. The counts of all other tokens reach the documents by a join.
 
 Null and empty texts have one token, the end. A null ``doc_id`` is in no fold: it
@@ -145,10 +145,28 @@ class Vocabulary:
         return out
 
 
+def _head(counted: DataFrame) -> DataFrame:
+    """The most frequent short tokens, ``HEAD`` at most: all whose count is in a class whose and whose higher classes' tokens fit.
+
+    Counts up to 1,024 are classes of their own, larger ones are 64 to a doubling, so the driver sees a few thousand
+    numbers, and then only the head, whatever the number of tasks.
+    """
+    short = counted.where(F.octet_length("token") <= HEAD_BYTES)
+    count = F.when(F.col("n") <= 1024, F.col("n")).otherwise(1024 + F.floor((F.log2("n") - 10) * 64)).cast("int")
+    left, least = HEAD, 1 << 30
+    for r in sorted(short.groupBy(count.alias("class")).agg(F.count("*").alias("kinds")).collect(), reverse=True):
+        left -= r.kinds
+        if left < 0:
+            break
+        least = r["class"]
+    return short.where(count >= least)
+
+
 def vocabulary(counted: DataFrame) -> Vocabulary:
     """From (token, n). What comes to the driver has a fixed size: the head, the shared outcomes, two totals."""
-    short = counted.where(F.octet_length("token") <= HEAD_BYTES).orderBy(F.desc("n"), "token").limit(HEAD).collect()
-    tokens, times = [bytes(r.token) for r in short], np.array([r.n for r in short], np.int64)
+    head = _head(counted).select("token", "n").toArrow()
+    found = sorted(zip(head.column("n").to_pylist(), head.column("token").to_pylist()), key=lambda x: (-x[0], x[1]))
+    tokens, times = [token for _, token in found], np.array([n for n, _ in found], np.int64)
     totals = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("kinds")).first()
     bucket = (F.crc32("token") % SHARED).cast("int")
     shared_tokens, shared_distinct = np.zeros(SHARED, np.int64), np.zeros(SHARED, np.int64)
