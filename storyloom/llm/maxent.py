@@ -218,11 +218,16 @@ class Model:
         return classes, members
 
     @staticmethod
-    def _shares(table: np.ndarray, rows: list) -> np.ndarray:
+    def _scores(table: np.ndarray, rows: list) -> np.ndarray:
         x = table[rows[0]]
         for r in rows[1:]:
             x += table[r]
         x -= x.max(1, keepdims=True)
+        return x
+
+    @classmethod
+    def _shares(cls, table: np.ndarray, rows: list) -> np.ndarray:
+        x = cls._scores(table, rows)
         np.exp(x, out=x)
         x /= x.sum(1, keepdims=True)
         return x
@@ -231,8 +236,10 @@ class Model:
         """log10 probability of each outcome after the two before it."""
         total, at = np.zeros(len(outcome)), np.arange(len(outcome))
         for table, rows, target in zip((self.classes, self.members), self.rows(outcome, one, two), (outcome // MEMBERS, outcome % MEMBERS)):
-            total += np.log10(np.maximum(self._shares(table, rows)[at, target], 1e-30))
-        return total
+            x = self._scores(table, rows)
+            total += x[at, target]
+            total -= np.log(np.exp(x, out=x).sum(1))
+        return total / np.log(10)
 
     def learn(self, outcome: np.ndarray, one: np.ndarray, two: np.ndarray, seen: tuple[np.ndarray, np.ndarray]) -> None:
         """One gradient step on a batch; ``seen`` are the sums of squares, by row, that slow rows down."""
@@ -357,7 +364,7 @@ def read_texts(docs: DataFrame, known: Vocabulary, model: Model) -> DataFrame:
     def rate(batches):
         known, model, reader = dictionary.value, held.value, Reader(dictionary.value)
         for batch in batches:
-            m, keys, rest = batch.num_rows, batch.column("row").to_pylist(), []
+            m, keys, rest = batch.num_rows, batch.column("row").to_pylist(), ([], [], [])
             n, seen, base, score, ready = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m), np.zeros(m), []
 
             def judge():
@@ -367,10 +374,11 @@ def read_texts(docs: DataFrame, known: Vocabulary, model: Model) -> DataFrame:
                     ready.clear()
 
             def others():
-                values = [pa.array([x[k] for x in rest], f.type) for k, f in ((0, schema.field("row")), (1, schema.field("token")), (2, schema.field("times")))]
-                none = [pa.nulls(len(rest), schema.field(k).type) for k in range(1, 6)]
-                rest.clear()
-                return pa.RecordBatch.from_arrays([values[0], *none, *values[1:]], schema=schema)
+                row, token, times = (pa.array(x, schema.field(name).type) for x, name in zip(rest, ("row", "token", "times")))
+                none = [pa.nulls(len(row), schema.field(k).type) for k in range(1, 6)]
+                for x in rest:
+                    x.clear()
+                return pa.RecordBatch.from_arrays([row, *none, token, times], schema=schema)
 
             size = 0
             for k, data in enumerate(_texts(batch)):
@@ -394,11 +402,13 @@ def read_texts(docs: DataFrame, known: Vocabulary, model: Model) -> DataFrame:
                         base[k] += known.smoothed[places[inside]].sum()
                         score[k] += known.share[places[inside]].sum()
                     outside.update([words[at] for at in np.flatnonzero(~inside)])
-                rest += [(keys[k], token, times) for token, times in outside.items()]
-                if len(rest) > 50_000:
+                rest[0].extend([keys[k]] * len(outside))
+                rest[1].extend(outside)
+                rest[2].extend(outside.values())
+                if len(rest[0]) > 50_000:
                     yield others()
             judge()
-            if rest:
+            if rest[0]:
                 yield others()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), *map(pa.array, (n, seen, base, score)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())], schema=schema)
