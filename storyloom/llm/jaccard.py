@@ -138,10 +138,10 @@ def described(docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
 
 
 def _live_bits(live: DataFrame) -> bytes:
-    """A bitmap of fixed size that holds the hashes of the nodes; it may let others pass."""
-    h = F.xxhash64("node")
+    """A bitmap of fixed size that holds the hashes of the nodes' first ids; it may let others pass."""
+    h = F.xxhash64("first_id")
     word = F.shiftrightunsigned(h, 64 - LIVE_BITS + 6)
-    bit = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(xxhash64(node), {64 - LIVE_BITS}) & 63 AS INT))")
+    bit = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(xxhash64(first_id), {64 - LIVE_BITS}) & 63 AS INT))")
     rows = live.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
     bits = np.zeros(1 << (LIVE_BITS - 6), np.int64)
     for r in rows:
@@ -150,10 +150,10 @@ def _live_bits(live: DataFrame) -> bytes:
 
 
 def whole_sets(docs: DataFrame, live: DataFrame, levels, words: int, percent: int) -> DataFrame:
-    """(node, set_key, n, tokens, prefixes) of the nodes ``live`` (node, set_key). ``prefixes`` are those of the orders after the first.
+    """(node, n, tokens, prefixes) of the nodes ``live`` (node, first_id). ``prefixes`` are those of the orders after the first.
 
-    Only documents that pass the bitmap of the live ids are read into sets, so
-    copies of a node are never moved.
+    Only documents that pass the bitmap of the live nodes' first ids are read into
+    sets, so other copies of a node are never moved.
     """
     bitmap = docs.sparkSession.sparkContext.broadcast(_live_bits(live))
 
@@ -176,23 +176,23 @@ def whole_sets(docs: DataFrame, live: DataFrame, levels, words: int, percent: in
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()),
                  pa.array(sets, pa.binary()), pa.array(prefixes, pa.list_(pa.list_(pa.int64())))],
-                ["node", "set_key", "n", "tokens", "prefixes"],
+                ["first_id", "node", "n", "tokens", "prefixes"],
             )
 
     doc_id = F.col("doc_id").cast("long")
     found = docs.where(F.col("doc_id").isNotNull()).select(doc_id.alias("doc_id"), F.xxhash64(doc_id).alias("h"), "text").mapInArrow(
-        read, "node long, set_key long, n long, tokens binary, prefixes array<array<long>>")
-    return found.join(live, ["node", "set_key"], "left_semi").dropDuplicates(["node", "set_key"])
+        read, "first_id long, node long, n long, tokens binary, prefixes array<array<long>>")
+    return found.join(live, ["first_id", "node"], "left_semi").drop("first_id").dropDuplicates(["node"])
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """``prefixes`` (node, set_key, n, prefix) -> (token, node, n, most): tokens that several prefixes hold, with
+    """``prefixes`` (node, n, prefix) -> (token, node, n, most): tokens that several prefixes hold, with
     the overlap that the node can still have with a set that meets it there."""
-    tokens = prefixes.select("node", "set_key", "n", F.posexplode("prefix").alias("place", "token"))
+    tokens = prefixes.select("node", "n", F.posexplode("prefix").alias("place", "token"))
     several = stored(tokens.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token"), "jaccard-shared")
     kept = tokens.join(several, "token")
     # Tokens passed over on the way are in no other prefix, so not in a set that meets this one here.
-    met = F.row_number().over(Window.partitionBy("node", "set_key").orderBy("place")) - 1
+    met = F.row_number().over(Window.partitionBy("node").orderBy("place")) - 1
     return stored(kept.select("token", "node", "n", (F.col("n") - F.col("place") + met).alias("most")), "jaccard-tokens")
 
 
@@ -261,15 +261,15 @@ def _across(tokens: DataFrame, label: DataFrame, percent: int) -> DataFrame:
 def similar_pairs(docs: DataFrame, rows: DataFrame, levels, words: int, percent: int) -> DataFrame:
     """(a, b): links between nodes that, with the nodes themselves, give the components."""
     nodes = stored(
-        rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n", *MARKS, "prefix")))
-        .where("node IS NOT NULL"), "jaccard-nodes",
+        rows.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("node")).agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("n", *MARKS, "prefix")))
+        .where("first_id IS NOT NULL"), "jaccard-nodes",
     )
     first = _shared(nodes)
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         """The sets of the nodes that some pair names, and of no others."""
         named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
-        live = stored(named.join(nodes.select("node", "set_key"), "node"), "jaccard-live")
+        live = stored(named.join(nodes.select("node", "first_id"), "node"), "jaccard-live")
         return stored(whole_sets(docs, live, levels, words, percent), "jaccard-sets")
 
     # Round one: each token leads its sets to the one that can overlap others most.
@@ -284,7 +284,7 @@ def similar_pairs(docs: DataFrame, rows: DataFrame, levels, words: int, percent:
     pairs = stored(_differ_little(_across(first, label, percent).join(near, ["a", "b"], "left_anti"), nodes, percent), "jaccard-pairs")
     sets = sets_of(pairs)
     for order in range(1, ORDERS):
-        own = _shared(sets.select("node", "set_key", "n", F.get("prefixes", order - 1).alias("prefix")))
+        own = _shared(sets.select("node", "n", F.get("prefixes", order - 1).alias("prefix")))
         pairs = stored(pairs.join(_across(own, label, percent), ["a", "b"], "left_semi"), "jaccard-pairs")
     return links.union(stored(_linked(pairs, sets, percent), "jaccard-links"))
 
@@ -295,9 +295,13 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     levels = spark.sparkContext.broadcast(rarity_levels(docs, words))
     rows = stored(described(docs, levels, words, percent), "jaccard-rows")
     label = components(similar_pairs(docs, rows, levels, words, percent))
-    named = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node")).join(label, "node", "left")
+    # A set is a node by its own name, for an id may have several sets; ids come in at the end.
+    named = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first_id")).join(
+        label, F.col("set_key") == F.col("node"), "left").select("set_key", "first_id", F.coalesce("component", "set_key").alias("component"))
+    named = stored(named, "jaccard-sets-of-components")
+    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     # Written, so that the join below can split a set that very many rows have.
-    named = stored(named.select("set_key", F.coalesce("component", "node").alias("component_id")), "jaccard-named")
+    named = stored(named.join(least, "component").select("set_key", "component_id"), "jaccard-named")
     return rows.select("doc_id", "text_key", "set_key", "n").join(named, "set_key", "left").select(
         "doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
     )
@@ -315,6 +319,4 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """
     lower = _grouped(docs, words, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     lower = stored(lower, "jaccard-gone")
-    return docs.withColumn("_text", F.xxhash64("text")).join(
-        lower, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_text") == F.col("_key")), "left_anti",
-    ).select(*docs.columns)
+    return docs.join(lower, (docs["doc_id"].cast("long") == lower["_id"]) & (F.xxhash64(docs["text"]) == lower["_key"]), "left_anti")

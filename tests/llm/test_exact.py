@@ -67,6 +67,17 @@ def test_of_one_id_only_the_similar_text_goes(spark):
     alone, twin = "this text stands alone and nothing is like it", "that other text has a twin of a smaller number"
     rows = spark.createDataFrame([(2, twin), (5, alone), (5, twin), (7, twin)], "doc_id long, text string")
     assert ordered(jaccard.keep_one(rows).collect()) == [(2, twin), (5, alone)]
+    # The id's other text is a smaller set of a group whose least id is another's.
+    long = " ".join(f"word{k}" for k in range(60))
+    near = long + " more"
+    rows = spark.createDataFrame([(3, near), (5, long), (5, alone)], "doc_id long, text string")
+    assert ordered(jaccard.keep_one(rows).collect()) == [(3, near), (5, alone)]
+    assert ordered((r.doc_id, r.component_id) for r in jaccard.grouped(rows).collect()) == [(3, 3), (5, 3), (5, 5)]
+
+
+def test_kept_columns_may_have_any_name(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", 7, 8, 9), (2, "a b c d e f", 1, 2, 3)], "doc_id long, text string, _text int, _id int, _key int")
+    assert ordered(jaccard.keep_one(rows).collect()) == [(1, "a b c d e f", 7, 8, 9)]
 
 
 def test_line_removal(docs, no_docs):
