@@ -7,6 +7,7 @@ import os
 import sys
 import time
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # solver threads beside the JVM wait for each other
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (

@@ -1,6 +1,9 @@
 import os
 import sys
 
+# Before numpy is loaded: solver threads beside the JVM wait for each other for minutes.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 import pytest
 from pyspark.sql import SparkSession
 

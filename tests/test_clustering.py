@@ -170,3 +170,57 @@ def test_subject_groups_are_the_leader_pass_at_any_size(spark):
     want = leader_pass(v, sorted(range(n), key=lambda i: (-at[i], i)), 0.8)
     for chunk in (subjects.CHUNK, 30):
         assert {r["story_id"]: r["leader"] for r in subjects.groups(rows, 0.8, chunk).collect()} == want
+
+
+def grouped_vectors(rng, groups, each, dim=64, spread=0.03):
+    centres = similarity.unit_rows(rng.normal(size=(groups, dim)))
+    return similarity.unit_rows(np.repeat(centres, each, 0) + rng.normal(scale=spread, size=(groups * each, dim)))
+
+
+def test_leading_coordinates_skip_most_pairs_and_lose_none():
+    rng = np.random.default_rng(8)
+    v = grouped_vectors(rng, 40, 30)
+    axes = similarity.leading_axes(v)
+    rows, _ = similarity.surviving(v, v, axes, 0.86)
+    assert len(rows) < 0.5 * len(v) ** 2
+    exact = v @ v.T
+    got = similarity.candidate_pairs(v, v, axes, 0.86)
+    assert set(zip(got[0].tolist(), got[1].tolist())) == set(zip(*(x.tolist() for x in np.nonzero(exact >= 0.86))))
+    assert np.allclose(got[2], exact[got[0], got[1]])
+
+
+def test_centres_leave_small_radii_or_one_for_each_block():
+    v = grouped_vectors(np.random.default_rng(9), 30, 40)
+    centres = similarity.farthest_first(v, 1000, 0.9)
+    assert 30 <= len(centres) < 60 and np.arccos(np.clip(v @ centres.T, -1, 1)).min(1).max() <= 0.9
+    assert len(similarity.farthest_first(v, 7, 0.0)) == 7
+    assert len(similarity.farthest_first(np.repeat(v[:1], 9, 0), 5, 0.01)) == 1
+
+
+def test_many_cells_and_copies_equal_brute_force(spark):
+    """Groups, copies at the same and at other times, stored and new items, at several cells a bucket."""
+    rng = np.random.default_rng(10)
+    v = grouped_vectors(rng, 12, 25, dim=16, spread=0.1).astype(np.float32)
+    v[100:220] = v[100]
+    at = rng.integers(0, 40 * DAY, len(v))
+    at[100:160] = rng.integers(10, 13, 60) * DAY
+    batch = (rng.random(len(v)) > 0.3).astype(int)
+    members = frame(spark, v, at, batch)
+    new = members.where("batch = 1")
+    got = {r["item_id"]: (r["match"], round(r["score"], 6)) for r in similarity.best_earlier(new, members, 7 * DAY, 0.7, 20).collect()}
+    w, want = v.astype(np.float64), {}
+    for i in np.flatnonzero(batch == 1).tolist():
+        earlier = [j for j in range(len(v)) if (batch[j], at[j], j) < (batch[i], at[i], i) and abs(at[i] - at[j]) <= 7 * DAY]
+        best = min(earlier, key=lambda j: (-round(float(w[i] @ w[j]), 9), batch[j], at[j], j), default=None)
+        if best is not None and w[i] @ w[best] >= 0.7:
+            want[i] = (best, round(float(w[i] @ w[best]), 6))
+    assert got == want
+
+
+def test_a_vector_is_compared_once_however_often_it_occurs():
+    """Copies are members of one candidate; the one that counts is found by its time."""
+    at = np.array([0, 5, 9, 2, 7])
+    members = {"group": np.array([0, 0, 0, 1, 1]), "batch": np.array([1, 1, 1, 0, 1]), "at": at, "item_id": np.array([10, 11, 12, 20, 21])}
+    find = lambda group, when, batch, who: similarity.earliest_members(*(np.array([x]) for x in (group, when, batch, who)), members, 4)[0]
+    assert find(0, 9, 1, 50) == 1 and find(0, 4, 1, 50) == 0 and find(0, 5, 1, 11) == -1 and find(0, 5, 1, 12) == 1 and find(0, 0, 1, 9) == -1
+    assert find(1, 0, 1, 1) == 3 and find(1, 8, 1, 50) == 4 and find(1, 7, 1, 21) == -1 and find(1, 0, 0, 1) == -1
