@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storyloom.functions import items as I
 from storyloom.functions import vectors as V
-from storyloom.operators import tree as tree_ops
+from storyloom.operators import search
+from storyloom.operators.scoring import with_best
 
 FLOOR, FALLBACK_FLOOR, PARK_MARGIN, GROUP_SIMILARITY = 0.55, 0.50, 0.02, 0.78
 
@@ -45,41 +44,43 @@ def claimed(title: Column, kind: Column, claims: list[tuple[str, str]]) -> Colum
     return claim(F.when(kind != "paper", title))
 
 
-def assign(centroid_rows: DataFrame, headline_rows: DataFrame | None, leaves: tuple[list, np.ndarray], tops: tuple[list, np.ndarray],
-           parent_of: dict, claims: list[tuple[str, str]], floor: float = FLOOR, fallback: float = FALLBACK_FLOOR,
+def assign(centroid_rows: DataFrame, headline_rows: DataFrame | None, leaves: DataFrame, tops: DataFrame | None,
+           spine: DataFrame, claims: list[tuple[str, str]], floor: float = FLOOR, fallback: float = FALLBACK_FLOOR,
            margin: float = PARK_MARGIN) -> DataFrame:
-    """(story_id, home, how): claimed, leaf, parked, category or unmatched."""
-    leaf_keys, leaf_matrix = leaves
-    rows = centroid_rows.select("story_id", V.ranked(V.scores(F.col("centroid"), leaf_matrix), leaf_keys).alias("leaf"),
-                                *([V.ranked(V.scores(F.col("centroid"), tops[1]), tops[0]).alias("top")] if tops[0] else []))
+    """(story_id, home, how, claim): claimed, leaf, parked, category or unmatched.
+
+    ``leaves`` and ``tops`` are (key, vector), ``spine`` (slug, parent): any number of topics.
+    """
+    rows = with_best(centroid_rows.select("story_id", "centroid"), "story_id", "centroid", leaves, 2, "leaf")
     if claims and headline_rows is not None:
         rows = rows.join(headline_rows.select("story_id", claimed(F.col("title"), F.col("kind"), claims).alias("claim")), "story_id", "left")
     else:
         rows = rows.withColumn("claim", F.lit(None).cast("string"))
-    parents = F.array(*[F.lit(parent_of.get(k)).cast("string") for k in leaf_keys])
     first, second = F.get("leaf", F.lit(0)), F.get("leaf", F.lit(1))
-    shelf, other = F.get(parents, first["position"]), F.get(parents, second["position"])
-    fits = first["score"] >= floor
-    parks = fits & shelf.isNotNull() & (shelf == other) & (first["score"] - second["score"] < margin)
-    if tops[0]:
+    rows = rows.select("*", first["key"].alias("first_key"), first["score"].alias("first"), second["key"].alias("second_key"), second["score"].alias("second"))
+    for place, shelf in (("first_key", "shelf"), ("second_key", "other")):
+        rows = rows.join(spine.select(F.col("slug").alias(place), F.col("parent").alias(shelf)), place, "left")
+    fits = F.col("first") >= floor
+    parks = fits & (F.col("shelf") == F.col("other")) & (F.col("first") - F.col("second") < margin)
+    if tops is not None:
+        rows = with_best(rows, "story_id", "centroid", tops, 1, "top")
+        above = tops.select(F.col("key").alias("shelf"), F.col("vector").alias("shelf_vector"))
+        rows = rows.join(above, "shelf", "left").withColumn("above", V.dot(F.col("centroid"), F.col("shelf_vector")))
         best_top = F.get("top", F.lit(0))
-        above = F.get(F.filter("top", lambda t: t["key"] == shelf), F.lit(0))
-        contested = fits & (above["score"] > first["score"])
-        falls = best_top["score"] >= fallback
-        top_key, above_key = best_top["key"], above["key"]
+        contested, falls, top_key = fits & (F.col("above") > F.col("first")), best_top["score"] >= fallback, best_top["key"]
     else:
         contested = falls = F.lit(False)
-        top_key = above_key = F.lit(None).cast("string")
+        top_key = F.lit(None).cast("string")
     choice = lambda how, home: F.struct(F.lit(how).alias("how"), home.alias("home"))
     decided = (
         F.when(F.col("claim").isNotNull(), choice("claimed", F.col("claim")))
-        .when(parks, choice("parked", shelf))
-        .when(contested, choice("category", above_key))
-        .when(fits, choice("leaf", first["key"]))
+        .when(parks, choice("parked", F.col("shelf")))
+        .when(contested, choice("category", F.col("shelf")))
+        .when(fits, choice("leaf", F.col("first_key")))
         .when(falls, choice("category", top_key))
         .otherwise(choice("unmatched", F.lit(None).cast("string")))
     )
-    return rows.select("story_id", decided.alias("d"), "leaf", "claim").select("story_id", "d.home", "d.how", "leaf", "claim")
+    return rows.select("story_id", decided.alias("d"), "claim").select("story_id", "d.home", "d.how", "claim")
 
 
 def run_totals(assigned: DataFrame) -> DataFrame:
@@ -87,9 +88,13 @@ def run_totals(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("how", "home").agg(F.count("*").alias("n"))
 
 
-def explain(assigned: DataFrame, stored: DataFrame) -> DataFrame:
-    """Per story every leaf's score, the lead over the next, and both homes."""
-    base = assigned.join(stored.select("story_id", F.col("slug").alias("stored")), "story_id", "left")
+def explain(assigned: DataFrame, ranked: DataFrame, stored: DataFrame) -> DataFrame:
+    """Per story every leaf's score, the lead over the next, and both homes.
+
+    ``ranked`` holds (story_id, leaf), all leaves of a story as (key, score), best first.
+    """
+    base = assigned.select("story_id", "home").join(ranked.select("story_id", "leaf"), "story_id")
+    base = base.join(stored.select("story_id", F.col("slug").alias("stored")), "story_id", "left")
     gap = F.get("leaf", F.lit(0))["score"] - F.get("leaf", F.lit(1))["score"]
     each = base.select("story_id", "home", "stored", gap.alias("margin"), F.posexplode("leaf").alias("place", "l"))
     return each.select("story_id", "home", "stored", "margin", (F.col("place") + 1).alias("place"),
@@ -97,19 +102,11 @@ def explain(assigned: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def find_story(keys: DataFrame, stories: DataFrame, story_items: DataFrame, items: DataFrame) -> DataFrame:
-    """(key, story_id): a story by number, or the newest with a title holding the text.
-
-    The text keys are a short list of searches; each title is tested against
-    the list and only matches go on.
-    """
-    by_id = keys.where(F.col("key").rlike("^[0-9]+$")).join(
-        stories.select("story_id"), F.col("key").try_cast("long") == F.col("story_id")
-    ).select("key", "story_id")
-    wanted = [r[0] for r in keys.where(~F.col("key").rlike("^[0-9]+$")).limit(1001).collect()]
-    if len(wanted) > 1000:
-        raise ValueError("more than 1000 text searches at once")
-    hits = F.filter(F.array(*[F.lit(w) for w in wanted]), lambda k: F.expr("true") & F.ilike(F.col("title"), F.concat(F.lit("%"), k, F.lit("%"))))
-    matched = items.select("item_id", "at", F.explode(hits).alias("key")).join(story_items, "item_id")
+    """(key, story_id): a story by number, or the newest with a title holding the text, whatever the number of keys."""
+    numeric = F.col("key").rlike("^[0-9]+$")
+    by_id = keys.where(numeric).join(stories.select("story_id"), F.col("key").try_cast("long") == F.col("story_id")).select("key", "story_id")
+    hits = search.matches(keys.where(~numeric), items.select(F.col("item_id").alias("id"), F.col("title").alias("text")))
+    matched = hits.withColumnRenamed("id", "item_id").join(items.select("item_id", "at"), "item_id").join(story_items.select("item_id", "story_id"), "item_id")
     newest = matched.groupBy("key").agg(F.max_by("story_id", F.struct("at", "item_id")).alias("story_id"))
     return by_id.unionByName(newest)
 

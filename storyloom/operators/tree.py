@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.session import cut_lineage
+
 
 def closure(spine: DataFrame) -> DataFrame:
     """(slug, ancestor, distance) with every topic its own ancestor at 0.
 
-    Stops at a topic already on the way, so a cycle in the input ends.
+    Ways are doubled: with all up to length n known, those of length n are carried
+    on by all others, so a chain takes as many rounds as its length has bits. Each
+    round is written. A topic has one parent, so what a cycle meets again is met at
+    a greater distance: the smallest counts, and no way is longer than the topics are many.
     """
-    return spine.sparkSession.sql(
-        """
-        WITH RECURSIVE up AS (
-            SELECT slug, slug AS ancestor, 0 AS distance, parent AS following, array(slug) AS passed FROM {spine}
-            UNION ALL
-            SELECT u.slug, s.slug, u.distance + 1, s.parent, array_append(u.passed, s.slug)
-              FROM up u JOIN {spine} s ON s.slug = u.following
-             WHERE NOT array_contains(u.passed, s.slug)
-        )
-        SELECT slug, ancestor, distance FROM up
-        """,
-        spine=spine.select("slug", "parent"),
-    )
+    rows = cut_lineage(spine.select("slug", "parent"))
+    own = rows.select("slug", F.col("slug").alias("ancestor"), F.lit(0).alias("distance"))
+    up = rows.where("parent IS NOT NULL").join(rows.select(F.col("slug").alias("parent")), "parent")
+    ways = cut_lineage(own.unionByName(up.select("slug", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))))
+    length, topics = 1, rows.count()
+    while length < topics:
+        longest = ways.where(F.col("distance") == length).select("slug", F.col("ancestor").alias("middle"))
+        if longest.isEmpty():
+            break
+        onward = ways.where("distance > 0").select(F.col("slug").alias("middle"), "ancestor", (F.col("distance") + length).cast("int").alias("distance"))
+        further = longest.join(onward, "middle").select("slug", "ancestor", "distance")
+        ways, length = cut_lineage(ways.unionByName(further).groupBy("slug", "ancestor").agg(F.min("distance").alias("distance"))), 2 * length
+    return ways
 
 
 def paths(tree: DataFrame) -> DataFrame:

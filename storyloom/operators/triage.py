@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.functions import vectors as V
+from storyloom.operators.scoring import with_best
 
-THRESHOLD = 0.62
+THRESHOLD, EXPLAINED = 0.62, 5
 
 
 def first_keyword(title: Column, keywords: list[str]) -> Column:
@@ -31,18 +30,16 @@ def decision(title: Column, score: Column, exclude: Column, threshold: float, ke
     )
 
 
-def score(vectors: DataFrame, interests: tuple[list, np.ndarray], excludes: tuple[list, np.ndarray]) -> DataFrame:
-    """Best interest and best exclude per vector.
+def score(vectors: DataFrame, interests: DataFrame, excludes: DataFrame, explained: int = EXPLAINED) -> DataFrame:
+    """Best interest, best exclude and the ``explained`` best interests per vector; references are (key, vector).
 
     Without excludes the exclude score is 0, which still outvotes a negative one.
     """
-    keys, matrix = interests
-    ranked = vectors.select("item_id", V.ranked(V.scores(F.col("embedding"), matrix), keys).alias("interests"),
-                            *([V.scores(F.col("embedding"), excludes[1]).alias("against")] if len(excludes[0]) else []))
-    against = F.array_max("against") if len(excludes[0]) else F.lit(0.0)
+    rows = with_best(vectors.select("item_id", "embedding"), "item_id", "embedding", interests, explained, "interests")
+    rows = with_best(rows, "item_id", "embedding", excludes, 1, "against")
     best = F.get("interests", F.lit(0))
-    return ranked.select("item_id", best["score"].alias("score"), best["key"].alias("best"),
-                         against.alias("exclude_score"), "interests")
+    return rows.select("item_id", best["score"].alias("score"), best["key"].alias("best"),
+                       F.coalesce(F.get("against", F.lit(0))["score"], F.lit(0.0)).alias("exclude_score"), "interests")
 
 
 def totals(items: DataFrame, decided: DataFrame) -> DataFrame:
@@ -79,7 +76,7 @@ def margin_sample(items: DataFrame, limit: int = 20) -> DataFrame:
     return weakest.unionByName(strongest)
 
 
-def best_of(scores: DataFrame, n: int = 5) -> DataFrame:
+def best_of(scores: DataFrame, n: int = EXPLAINED) -> DataFrame:
     """The n best-matching interests of every item, one row each."""
     each = scores.select("item_id", F.posexplode(F.slice("interests", 1, n)).alias("place", "hit"))
     return each.select("item_id", (F.col("place") + 1).alias("place"), F.col("hit.key").alias("interest"),

@@ -11,6 +11,7 @@ from storyloom.operators import labels as L
 from storyloom.operators import subjects as S
 from storyloom.operators import topics as P
 from storyloom.operators import tree as R
+from storyloom.operators.scoring import with_best
 from storyloom.plans.registry import query
 from storyloom.plans.similarity import means_sql, reference_vectors
 
@@ -50,25 +51,28 @@ def story_centroids(spark, sf):
 
 
 def _leaves(spark, sf):
-    keys, matrix = reference_vectors(spark, sf, "label")
-    return [f"leaf-{k}" for k in keys], matrix
+    return reference_vectors(spark, sf, "'leaf-' || label")
 
 
 def _tops(spark, sf):
-    keys, matrix = reference_vectors(spark, sf, "label % 5")
-    return [f"region-{k}" for k in keys], matrix
+    return reference_vectors(spark, sf, "'region-' || label % 5")
 
 
-def _parents(spark, sf):
-    return {r[0]: r[1] for r in relation(spark, sf, "spine").where("slug LIKE 'leaf-%'").select("slug", "parent").collect()}
+def _spine(spark, sf):
+    return relation(spark, sf, "spine").select("slug", "parent")
 
 
 def filed(spark, sf, claims=True):
     heads = P.headlines(relation(spark, sf, "story_items"), relation(spark, sf, "items")) if claims else None
-    return P.assign(story_centroids(spark, sf), heads, _leaves(spark, sf), _tops(spark, sf), _parents(spark, sf), CLAIMS if claims else [],
+    return P.assign(story_centroids(spark, sf), heads, _leaves(spark, sf), _tops(spark, sf), _spine(spark, sf), CLAIMS if claims else [],
                     FLOOR, FALLBACK, MARGIN)
 
 
+def ranked_leaves(spark, sf, n=None):
+    """(story_id, centroid, leaf): the ``n`` best leaves of every story, all of them for None."""
+    return with_best(story_centroids(spark, sf), "story_id", "centroid", _leaves(spark, sf), n, "leaf")
+
+
 def tree(spark, sf):
     return R.closure(relation(spark, sf, "spine"))
 
@@ -81,9 +85,7 @@ def centroids(spark, sf):
 
 @query("f02_leaf_scores", "SELECT story_id, 'leaf-' || leaf AS leaf, round(s, 6) AS score FROM leaf_scores", FILING)
 def leaf_scores(spark, sf):
-    keys, matrix = _leaves(spark, sf)
-    ranked = V.ranked(V.scores(F.col("centroid"), matrix), keys)
-    each = story_centroids(spark, sf).select("story_id", F.explode(ranked).alias("l"))
+    each = ranked_leaves(spark, sf).select("story_id", F.explode("leaf").alias("l"))
     return each.select("story_id", F.col("l.key").alias("leaf"), F.round("l.score", 6).alias("score"))
 
 
@@ -103,17 +105,15 @@ SELECT a.story_id, CASE WHEN a.s < {FLOOR} THEN NULL WHEN pa.parent = pb.parent
    CASE WHEN a.s < {FLOOR} THEN 'unmatched' WHEN pa.parent = pb.parent AND a.s - b.s < {MARGIN} THEN 'parked' ELSE 'leaf' END AS how
 FROM leaf_scores a JOIN leaf_scores b ON b.story_id = a.story_id AND b.place = 2 JOIN spine pa ON pa.slug = 'leaf-' || a.leaf JOIN spine pb ON pb.slug = 'leaf-' || b.leaf WHERE a.place = 1""", FILING)
 def best_fit(spark, sf):
-    rows = P.assign(story_centroids(spark, sf), None, _leaves(spark, sf), ([], None), _parents(spark, sf), [], FLOOR, FALLBACK, MARGIN)
+    rows = P.assign(story_centroids(spark, sf), None, _leaves(spark, sf), None, _spine(spark, sf), [], FLOOR, FALLBACK, MARGIN)
     return rows.select("story_id", "home", "how")
 
 
 @query("f06_category_fallback", f"SELECT story_id, 'region-' || top AS category, round(s, 6) AS score FROM top_scores WHERE place = 1 AND s >= {FALLBACK} AND story_id IN (SELECT story_id FROM leaf_scores WHERE place = 1 AND s < {FLOOR})", FILING)
 def fallback(spark, sf):
-    tops, leaves = _tops(spark, sf), _leaves(spark, sf)
-    rows = story_centroids(spark, sf).select("story_id", F.array_max(V.scores(F.col("centroid"), leaves[1])).alias("leaf"),
-                                             V.ranked(V.scores(F.col("centroid"), tops[1]), tops[0]).alias("top"))
+    rows = with_best(ranked_leaves(spark, sf, 1), "story_id", "centroid", _tops(spark, sf), 1, "top")
     best = F.get("top", F.lit(0))
-    rows = rows.where((F.col("leaf") < FLOOR) & (best["score"] >= FALLBACK))
+    rows = rows.where((F.get("leaf", F.lit(0))["score"] < FLOOR) & (best["score"] >= FALLBACK))
     return rows.select("story_id", best["key"].alias("category"), F.round(best["score"], 6).alias("score"))
 
 
@@ -121,13 +121,10 @@ def fallback(spark, sf):
 SELECT a.story_id, pa.parent AS category, u.s > a.s AS wins FROM leaf_scores a JOIN spine pa ON pa.slug = 'leaf-' || a.leaf
 JOIN top_scores u ON u.story_id = a.story_id AND 'region-' || u.top = pa.parent WHERE a.place = 1 AND a.s >= {FLOOR}""", FILING)
 def contest(spark, sf):
-    tops, leaves, parents = _tops(spark, sf), _leaves(spark, sf), _parents(spark, sf)
-    rows = story_centroids(spark, sf).select("story_id", V.ranked(V.scores(F.col("centroid"), leaves[1]), leaves[0]).alias("leaf"),
-                                             V.ranked(V.scores(F.col("centroid"), tops[1]), tops[0]).alias("top"))
     best = F.get("leaf", F.lit(0))
-    shelf = F.get(F.array(*[F.lit(parents[k]) for k in leaves[0]]), best["position"])
-    rows = rows.select("story_id", best["score"].alias("s"), shelf.alias("category"), F.get(F.filter("top", lambda t: t["key"] == shelf), F.lit(0)).alias("above"))
-    return rows.where((F.col("s") >= FLOOR) & F.col("above").isNotNull()).select("story_id", "category", (F.col("above.score") > F.col("s")).alias("wins"))
+    rows = ranked_leaves(spark, sf, 1).select("story_id", "centroid", best["key"].alias("slug"), best["score"].alias("s")).where(F.col("s") >= FLOOR)
+    rows = rows.join(_spine(spark, sf), "slug").join(_tops(spark, sf).withColumnRenamed("key", "parent"), "parent")
+    return rows.select("story_id", F.col("parent").alias("category"), (V.dot(F.col("centroid"), F.col("vector")) > F.col("s")).alias("wins"))
 
 
 @query("f08_topic_assignment", "SELECT story_id, nullif(split_part(d, '|', 2), '') AS home, split_part(d, '|', 1) AS how FROM filed", FILING)
@@ -193,7 +190,7 @@ def topics_by_source(spark, sf):
 SELECT f.story_id, nullif(split_part(f.d, '|', 2), '') AS home, t.slug AS stored, round(f.margin, 6) AS margin, CAST(l.place AS INTEGER) AS place, 'leaf-' || l.leaf AS leaf, round(l.s, 6) AS score
 FROM filed f JOIN leaf_scores l ON l.story_id = f.story_id LEFT JOIN story_topics t ON t.story_id = f.story_id""", FILING)
 def topic_explain(spark, sf):
-    rows = P.explain(filed(spark, sf), relation(spark, sf, "story_topics"))
+    rows = P.explain(filed(spark, sf), ranked_leaves(spark, sf), relation(spark, sf, "story_topics"))
     return rows.withColumn("margin", F.round("margin", 6)).withColumn("score", F.round("score", 6))
 
 

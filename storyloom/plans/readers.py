@@ -15,7 +15,7 @@ from storyloom.operators import tree as R
 from storyloom.plans.feed import CARDS, rel
 from storyloom.plans.labels import CENTROIDS, TEXTS, TREE, story_centroids, texts, tree
 from storyloom.plans.registry import query
-from storyloom.plans.similarity import means_sql, reference_vectors
+from storyloom.plans.similarity import means_sql
 
 FIT, EVENT = 0.30, 0.45
 WORDS = f"list_distinct(list_filter(string_split_regex(lower(name), '[^\\pL\\pN]+'), lambda w: length(w) >= 2 AND w NOT IN ({', '.join(repr(w) for w in X.SMALL_WORDS)})))"

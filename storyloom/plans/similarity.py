@@ -22,12 +22,9 @@ TRIAGE_AT = 0.2
 
 
 def reference_vectors(spark, sf, key, condition="true"):
-    """Mean directions of the vectors by a key of their label: stand-ins for embedded prose."""
+    """(key, vector): mean directions of the vectors by a key of their label, stand-ins for embedded prose."""
     rows = table(spark, sf, "embeddings").where(condition).withColumn("key", F.expr(key))
-    found = V.collect_matrix(V.mean_direction(rows, ["key"]), "key", "centroid")
-    if found is None:
-        raise ValueError("more reference vectors than a configuration holds")
-    return found
+    return V.mean_direction(rows, ["key"], out="vector")
 
 
 def means_sql(key: str, condition: str = "true", source: str = "@embeddings") -> str:

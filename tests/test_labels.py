@@ -9,10 +9,14 @@ from storyloom.operators import tree as R
 AXES = np.eye(4)
 
 
-def filed(spark, vectors, claims=(), heads=None, tops=(["top"], AXES[3:4])):
+def references(spark, keys, matrix):
+    return spark.createDataFrame([(k, list(map(float, v))) for k, v in zip(keys, matrix)], "key string, vector array<double>")
+
+
+def filed(spark, vectors, claims=(), heads=None):
     rows = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(vectors)], "story_id long, centroid array<double>")
-    parents = {"a": "top", "b": "top", "c": "other"}
-    got = topics.assign(rows, heads, (["a", "b", "c"], AXES[:3]), tops, parents, list(claims), 0.55, 0.5, 0.02)
+    spine = spark.createDataFrame([("a", "top"), ("b", "top"), ("c", "other"), ("top", None)], "slug string, parent string")
+    got = topics.assign(rows, heads, references(spark, "abc", AXES[:3]), references(spark, ["top"], AXES[3:4]), spine, list(claims), 0.55, 0.5, 0.02)
     return {r["story_id"]: (r["home"], r["how"]) for r in got.collect()}
 
 
@@ -44,6 +48,24 @@ def test_tree_closure_ends_on_a_cycle_and_inherits(spark):
     assert {r["slug"]: list(r["path"]) for r in R.paths(tree).collect()}["c"] == ["a", "b"]
 
 
+def test_closure_of_a_long_chain_and_of_many_cycles(spark):
+    chain = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(1200)]
+    rings = [(f"r{k}-{i}", f"r{k}-{(i + 1) % (k + 1)}") for k in range(40) for i in range(k + 1)]
+    tails = [(f"t{k}", f"r{k}-0") for k in range(40)] + [("lost", "nowhere")]
+    spine = spark.createDataFrame(chain + rings + tails, "slug string, parent string")
+    tree = R.closure(spine).cache()
+    assert tree.where("slug LIKE 'n%'").count() == 1200 * 1201 // 2
+    assert tree.where("slug = 'n1199'").agg(F.max("distance")).first()[0] == 1199
+    parent, want = dict(chain + rings + tails), set()
+    for slug, _ in rings + tails:
+        at, passed = slug, []
+        while at in parent and at not in passed:
+            want.add((slug, at, len(passed)))
+            passed.append(at)
+            at = parent[at]
+    assert {tuple(r) for r in tree.where("slug NOT LIKE 'n%'").collect()} == want
+
+
 def test_newest_per_topic_keeps_uncapped_topics_whole(spark):
     rows = spark.createDataFrame([(i, "hot", i, 2) for i in range(50)] + [(100 + i, "all", i, 0) for i in range(40)] + [(200, None, 1, None)],
                                  "story_id long, slug string, newest long, keep_most int")
