@@ -81,6 +81,43 @@ def feed_entries(spark, sf):
     return normalise("rss", rss_payloads(spark, sf))
 
 
+BROKEN = "SELECT i.item_id, i.url, i.source, i.published_s, i.item_id % 5 AS shape FROM items i"
+
+
+def broken_payloads(spark, sf):
+    """Feeds that are no XML as a whole: bare ampersands, open markup, a tag that breaks off, an end that is missing."""
+    e = wide(spark, sf, BROKEN, "item_id")
+    number = F.col("item_id").cast("string")
+    at = lambda text: F.concat(F.lit(text), number)
+    eastern = F.concat(F.date_format(F.timestamp_seconds(F.col("published_s") - 5 * 3600), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" EST"))
+    part = (
+        F.when(F.col("shape") == 0, F.concat(F.lit('<item rdf:about="urn:'), number, F.lit('">'), tag("title", F.concat(at("Q&A "), F.lit(" at AT&T"))), tag("link", F.col("url")),
+                                             tag("dc:creator", F.col("source")), tag("dc:date", I.iso(F.col("published_s"))),
+                                             F.lit("<content:encoded><![CDATA[<p>whole &amp; long</p>]]></content:encoded></item>")))
+        .when(F.col("shape") == 1, F.concat(F.lit("<item>"), tag("title", at("open ")), tag("link", F.col("url")), F.lit("<description>one <b>two</description></item>")))
+        .when(F.col("shape") == 2, F.concat(F.lit("<item>"), tag("title", at("no link ")), F.lit("</item>")))
+        .when(F.col("shape") == 3, F.concat(F.lit("<item <title>"), number, F.lit("</title></item>")))
+        .otherwise(F.concat(F.lit("<item>"), tag("title", at("zone ")), tag("link", F.col("url")), F.lit('<guid isPermaLink="false">g'), number, F.lit("</guid>"), tag("pubDate", eastern), F.lit("</item>")))
+    )
+    body = payloads(e.select("item_id", part.alias("part")), "item_id", "part", "<rdf:RDF><channel><title>R&D</title></channel>", "<item><title>cut o")
+    return body.select(F.lit("https://feed.example.org/rdf").alias("feed"), "body")
+
+
+@query("a01_broken_feeds", """
+SELECT CASE shape WHEN 0 THEN 'urn:' || item_id WHEN 1 THEN url ELSE 'g' || item_id END AS external_id, url,
+  CASE shape WHEN 0 THEN 'Q&A ' || item_id || ' at AT&T' WHEN 1 THEN 'open ' || item_id ELSE 'zone ' || item_id END AS title, CASE shape WHEN 0 THEN source END AS author,
+  CASE WHEN shape <> 1 THEN published_s END AS published_s, CASE shape WHEN 0 THEN 'whole & long' WHEN 1 THEN 'one two' END AS summary FROM broken WHERE shape IN (0, 1, 4)""", {"broken": BROKEN})
+def broken_feeds(spark, sf):
+    return normalise("rss", broken_payloads(spark, sf)).select("external_id", "url", "title", "author", "published_s", "summary")
+
+
+@query("a01_quarantined_entries", """
+SELECT CASE shape WHEN 2 THEN 'no link' ELSE 'no XML' END AS reason, CASE shape WHEN 2 THEN '<item><title>no link ' || item_id || '</title>' ELSE '<item <title>' || item_id || '</title>' END AS piece
+  FROM broken WHERE shape IN (2, 3) UNION ALL SELECT 'no link', '<item><title>cut o' FROM (SELECT DISTINCT floor(item_id / 20) AS block FROM broken) b""", {"broken": BROKEN})
+def quarantined_entries(spark, sf):
+    return feeds.quarantined(broken_payloads(spark, sf)).select("reason", "piece")
+
+
 HIT = """SELECT CAST(i.item_id AS STRING) AS objectID, i.item_id, i.source, CASE WHEN i.item_id % 10 = 7 THEN NULL ELSE i.title END AS title, i.url, i.author, i.at AS created_at_i,
   CASE WHEN i.item_id % 12 = 5 THEN NULL ELSE i.n_chars % 200 END AS points, i.n_chars % 40 AS num_comments FROM items i"""
 

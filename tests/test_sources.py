@@ -61,3 +61,52 @@ def test_random_pairs_are_as_many_as_asked(spark):
     rows = calibrate.random_pairs(kept, 4000).collect()
     assert 3700 < len(rows) <= 4000 and all(r.a < r.b for r in rows) and len({(r.a, r.b) for r in rows}) == len(rows)
     assert calibrate.random_pairs(kept.limit(0), 10).count() == 0
+
+
+def items_of(spark, body):
+    rows = spark.createDataFrame([("http://f", body)], "feed string, body string")
+    return [r.asDict() for r in feeds.normalise(rows).collect()], {r.place: r.reason for r in feeds.quarantined(rows).collect()}
+
+
+def test_a_feed_with_bare_ampersands_keeps_its_entries(spark):
+    body = "<rss><channel><title>R&D</title><item><title>Q&A at AT&T</title><link>http://x/?a=1&b=2</link></item><item><title>second</title><link>http://x/2</link><guid isPermaLink='false'>g2</guid></item></channel></rss>"
+    got, failed = items_of(spark, body)
+    assert [(r["title"], r["url"], r["external_id"]) for r in got] == [("Q&A at AT&T", "http://x/?a=1&b=2", "http://x/?a=1&b=2"), ("second", "http://x/2", "g2")] and not failed
+
+
+def test_a_cut_off_feed_keeps_what_arrived(spark):
+    body = "<rss><channel><item><title>one</title><link>http://x/1</link></item><item><title>two</title><link>http://x/2</link><descr"
+    got, failed = items_of(spark, body)
+    assert [r["url"] for r in got] == ["http://x/1", "http://x/2"] and not failed
+    got, failed = items_of(spark, body[:body.index("<link>http://x/2") + 9])
+    assert [r["url"] for r in got] == ["http://x/1"] and failed == {2: "no link"}
+
+
+def test_an_entry_of_no_xml_costs_only_itself(spark):
+    body = ("<rss><channel><item><title>a</title><link>http://x/a</link><description>one <b>two</description></item>"
+            "<item><title>b</title><link>http://x/b</item><item <title>c</title></item><item><title>d</title><link>http://x/d</link></item></channel></rss>")
+    got, failed = items_of(spark, body)
+    assert [(r["title"], r["summary"]) for r in got] == [("a", "one two"), ("d", None)]
+    assert failed[2] == "no link" and set(failed) == {2, 3}
+
+
+def test_rss_one_and_its_modules(spark):
+    body = ('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><channel rdf:about="http://c"><title>t</title></channel>'
+            '<item rdf:about="http://x/id"><title>First</title><link>http://x/1</link><dc:creator>Ann</dc:creator><dc:date>2026-01-02T03:04:05Z</dc:date>'
+            '<content:encoded><![CDATA[<p>Whole &amp; long</p>]]></content:encoded></item></rdf:RDF>')
+    got, failed = items_of(spark, body)
+    assert not failed and [(r["external_id"], r["url"], r["author"], r["published_s"], r["summary"]) for r in got] == [("http://x/id", "http://x/1", "Ann", 1767323045, "Whole & long")]
+
+
+def test_atom_entries_with_content_and_pictures(spark):
+    body = ('<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>i</id><title type="html">A &lt;b&gt;b&lt;/b&gt;</title><link rel="self" href="http://x/self"/><link href="http://x/1"/>'
+            '<link rel="enclosure" type="image/png" href="http://x/p.png"/><author><name>Bo</name></author><content type="html">&lt;p&gt;text&lt;/p&gt;</content><updated>2026-01-02T00:00:00Z</updated></entry></feed>')
+    got, _ = items_of(spark, body)
+    assert [(r["external_id"], r["title"], r["url"], r["author"], r["summary"], r["media_url"], r["published_s"]) for r in got] == [("i", "A b", "http://x/1", "Bo", "text", "http://x/p.png", 1767312000)]
+
+
+def test_feed_times(spark):
+    when = {"Fri, 02 Jan 2026 03:04:05 GMT": 1767323045, "2 Jan 2026 03:04:05 +0000": 1767323045, "Thu, 01 Jan 2026 22:04:05 EST": 1767323045, "Thu, 01 Jan 2026 19:04 PST": 1767323040,
+            "Thursday, 01 Jan 26 20:04:05 MST": 1767323045, "2026-01-02T03:04:05Z": 1767323045, "nonsense": None, "Fri, 02 Jan 2026 03:04:05 XYZ": None}
+    rows = spark.createDataFrame([(t,) for t in when], "v string").select("v", feeds.feed_time(F.col("v")).alias("s"))
+    assert {r.v: r.s for r in rows.collect()} == when
