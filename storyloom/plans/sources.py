@@ -342,7 +342,10 @@ def head_metadata(spark, sf):
     return headed(spark, sf).select("page_id", F.explode("meta").alias("key", "value"))
 
 
-@query("a14_page_title", f"SELECT h.page_id, coalesce(f.plain, {FLAT.format(chr(114) + chr(101) + 'gexp_extract(h.html, ' + chr(39) + '(?is)<title[^>]*>(.*?)</title' + chr(92) + 's*>' + chr(39) + ', 1)')}) AS title FROM headed h LEFT JOIN flat f ON f.page_id = h.page_id AND f.key = 'og:title'", META)
+TITLE_TAG = r"regexp_extract(h.html, '(?is)<title[^>]*>(.*?)</title\s*>', 1)"
+
+
+@query("a14_page_title", f"SELECT h.page_id, coalesce(f.plain, {FLAT.format(TITLE_TAG)}) AS title FROM headed h LEFT JOIN flat f ON f.page_id = h.page_id AND f.key = 'og:title'", META)
 def page_title(spark, sf):
     return headed(spark, sf).select("page_id", P.title(F.col("html"), F.col("meta")).alias("title"))
 

@@ -83,8 +83,8 @@ def scan(payloads: DataFrame) -> DataFrame:
     parsed = rows.withColumn("e", F.from_xml(whole, ENTRY))
     good = lambda e: e["_corrupt_record"].isNull()
     parsed = parsed.withColumn("e", F.when(good(F.col("e")), F.col("e")).otherwise(F.from_xml(_escaped(whole), ENTRY)))
-    parsed = parsed.withColumn("e", F.when(good(F.col("e")), F.col("e")).otherwise(
-        F.from_xml(_whole_children(_escaped(F.col("piece")), opening, F.col("closing")), ENTRY)))
+    parsed = parsed.withColumn("e", F.when(good(F.col("e")), F.col("e")).when(
+        opening != "", F.from_xml(_whole_children(_escaped(F.col("piece")), opening, F.col("closing")), ENTRY)))
     return parsed.select("feed", "place", F.when(good(F.col("e")), F.col("e")).alias("e"), "piece")
 
 
