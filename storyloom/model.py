@@ -146,6 +146,16 @@ SELECT c_custkey AS reader, 'topic-' || CAST(c_custkey AS STRING) || '-' || CAST
   FROM @customer
 """
 
+# The stories a topic was taught by, and the words its reader does not want: as many as there are.
+RELATIONS["topic_examples"] = """
+SELECT topic_key, example FROM reader_topics WHERE example IS NOT NULL
+UNION ALL SELECT topic_key, example + 12 FROM reader_topics WHERE example IS NOT NULL AND reader % 4 = 0
+"""
+RELATIONS["topic_muted"] = """
+SELECT topic_key, muted AS word FROM reader_topics WHERE muted IS NOT NULL
+UNION ALL SELECT topic_key, 'Of' FROM reader_topics WHERE reader % 5 = 1
+"""
+
 # The four sources each reader topic takes.
 RELATIONS["reader_topic_sources"] = """
 SELECT x.topic_key, s.name AS source FROM (

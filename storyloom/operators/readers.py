@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from storyloom.functions import text as X
 from storyloom.functions import vectors as V
+from storyloom.operators import search
+from storyloom.session import cut_lineage
 
 FIT_FLOOR, EVENT_FLOOR, NEW_HOURS, BUSY_WEEK = 0.62, 0.82, 48, 300
 SUGGESTED_SOURCES, RELATED_PLACES, LATEST_TITLES = 8, 4, 3
@@ -78,10 +80,16 @@ def example_vectors(examples: DataFrame, centroids: DataFrame, key: str) -> Data
     return V.mean_direction(rows, [key], "centroid", "vector")
 
 
-def story_words(member_texts: DataFrame, asked: DataFrame) -> DataFrame:
+def story_texts(cards: DataFrame, story_items: DataFrame, items: DataFrame) -> DataFrame:
+    """(story_id, text): what a name is looked for in, a row for the card's title and summary and one for each item's title."""
+    shown = cards.select("story_id", F.concat_ws(" ", "title", "summary").alias("text"))
+    return shown.unionByName(story_items.join(items.select("item_id", F.col("title").alias("text")), "item_id").select("story_id", "text"))
+
+
+def story_words(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """(story_id, word): asked words that occur whole or as a plural in a story."""
     tokens = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    seen = member_texts.select("story_id", F.explode(tokens).alias("token"))
+    seen = texts.select("story_id", F.explode(tokens).alias("token"))
     singular = F.explode(F.array_compact(F.array(
         F.col("token"),
         F.when(F.endswith("token", F.lit("s")), F.col("token").substr(F.lit(1), F.length("token") - 1)),
@@ -90,53 +98,100 @@ def story_words(member_texts: DataFrame, asked: DataFrame) -> DataFrame:
     return seen.select("story_id", singular.alias("word")).join(asked, "word", "left_semi").distinct()
 
 
-def named_in(names: DataFrame, member_texts: DataFrame) -> DataFrame:
+#: Stories of a word that one key of a join holds; a more frequent word is dealt to several.
+POSTINGS = 50_000
+
+
+def named_in(names: DataFrame, texts: DataFrame, postings: int = POSTINGS) -> DataFrame:
     """(name, story_id): every word of the name occurs somewhere in the story.
 
-    An inverted index instead of a pattern per pair: distinct names ask for
-    words, stories offer the words they hold, and a pair counts when all match.
+    Words have lists of the stories that hold them. A name starts from the list of
+    its rarest word; the stories found there are then looked up, word and story
+    together, in the lists of its other words. So no list longer than the rarest is
+    read for a name, and a list that is long all the same is dealt by story.
     """
     split = names.select("name").distinct().select("name", F.array_distinct(X.words(F.col("name"))).alias("w"))
     asked = split.select("name", F.size("w").alias("needed"), F.explode("w").alias("word"))
-    offered = story_words(member_texts, asked.select("word").distinct())
-    met = asked.join(offered, "word").groupBy("name", "story_id", "needed").agg(F.count("*").alias("met"))
-    return met.where("met = needed").select("name", "story_id")
-
-
-def fits(topics: DataFrame, story_places: DataFrame, member_texts: DataFrame, centroids: DataFrame, event_floor: float = EVENT_FLOOR, fit_floor: float = FIT_FLOOR) -> DataFrame:
-    """(topic_key, story_id) of every story that fits a topic.
-
-    A topic is tested in one way: by its examples, else by its place, else by
-    its words and then its vector. Each way starts from an equality join, so
-    no topic meets a story it has nothing in common with.
+    lists = cut_lineage(story_words(texts, asked.select("word").distinct()))
+    length = lists.groupBy("word").agg(F.count("*").alias("stories")).select("word", "stories", F.ceil(F.col("stories") / postings).alias("parts"))
+    known = asked.join(length, "word").groupBy("name", "needed").agg(
+        F.min_by(F.struct("word", "parts"), F.struct("stories", "word")).alias("rarest"), F.collect_list("word").alias("w"))
+    known = known.where(F.size("w") == F.col("needed"))
+    start = known.select("name", "rarest.word", F.array_remove("w", F.col("rarest.word")).alias("others"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.col("rarest.parts") - 1)).alias("part"))
+    dealt = lists.join(length.select("word", "parts"), "word").select("word", "story_id", F.pmod(F.xxhash64("story_id"), F.col("parts")).alias("part"))
+    first = start.join(dealt, ["word", "part"]).select("name", "story_id", "others")
+    single = first.where(F.size("others") == 0).select("name", "story_id")
+    looked = first.where(F.size("others") > 0).select("name", "story_id", F.size("others").alias("left"), F.explode("others").alias("word"))
+    met = looked.join(lists, ["word", "story_id"]).groupBy("name", "story_id", "left").agg(F.count("*").alias("met"))
+    return single.unionByName(met.where(F.col("met") == F.col("left")).select("name", "story_id"))
+
+
+def defined(topics: DataFrame, examples: DataFrame) -> DataFrame:
+    """``topics`` with ``definition``: what decides which stories fit, shared by the topics that say the same.
+
+    A topic is defined in one way: by its examples (``taught``, the sorted ones), else by its place, else by its name.
     """
-    by_example = topics.where("example IS NOT NULL")
-    wanted = by_example.select(F.col("example").alias("story_id")).distinct()
-    around = _close(
-        centroids.join(wanted, "story_id", "left_semi").select(F.col("story_id").alias("key"), F.col("centroid").alias("vector")),
-        centroids, event_floor,
-    ).select(F.col("key").alias("example"), "story_id")
-    around = around.unionByName(wanted.select(F.col("story_id").alias("example"), "story_id")).distinct()
-    near_example = by_example.select("topic_key", "example").join(around, "example").select("topic_key", "story_id")
-    by_place = topics.where("example IS NULL AND spine IS NOT NULL").select("topic_key", F.col("spine").alias("place"))
-    in_place = by_place.join(story_places, "place").select("topic_key", "story_id")
-    by_name = topics.where("example IS NULL AND spine IS NULL").select("topic_key", "name")
-    in_words = by_name.join(named_in(by_name, member_texts), "name").select("topic_key", "story_id")
-    found = near_example.unionByName(in_place).unionByName(in_words)
+    taught = examples.groupBy("topic_key").agg(F.array_sort(F.collect_set("example")).alias("taught"))
+    rows = topics.join(taught, "topic_key", "left")
+    return rows.withColumn("definition", F.when(F.col("taught").isNotNull(), F.concat(F.lit("e:"), F.array_join("taught", ",")))
+                           .when(F.col("spine").isNotNull(), F.concat(F.lit("s:"), "spine")).otherwise(F.concat(F.lit("n:"), "name")))
+
+
+def like_examples(definitions: DataFrame, centroids: DataFrame, floor: float = EVENT_FLOOR) -> DataFrame:
+    """(definition, story_id): the examples (``definitions``: definition, example), and what comes close to their mean direction."""
+    vectors = example_vectors(definitions, centroids, "definition")
+    near = _close(vectors.select(F.col("definition").alias("key"), "vector"), centroids, floor)
+    return near.select(F.col("key").alias("definition"), "story_id").unionByName(
+        definitions.select("definition", F.col("example").alias("story_id"))).distinct()
+
+
+def fits_definitions(rows: DataFrame, story_places: DataFrame, texts: DataFrame, centroids: DataFrame, event_floor: float = EVENT_FLOOR) -> DataFrame:
+    """(definition, story_id) of every story that fits a definition of ``defined`` topics; each is tested once, however many topics share it."""
+    taught = rows.where("taught IS NOT NULL").select("definition", F.explode("taught").alias("example")).distinct()
+    placed = rows.where("taught IS NULL AND spine IS NOT NULL").select("definition", F.col("spine").alias("place")).distinct()
+    named = rows.where("taught IS NULL AND spine IS NULL").select("definition", "name").distinct()
+    return like_examples(taught, centroids, event_floor).unionByName(placed.join(story_places, "place").select("definition", "story_id")).unionByName(
+        named.join(named_in(named, texts), "name").select("definition", "story_id"))
+
+
+def fits(topics: DataFrame, examples: DataFrame, story_places: DataFrame, texts: DataFrame, centroids: DataFrame,
+         event_floor: float = EVENT_FLOOR, fit_floor: float = FIT_FLOOR) -> DataFrame:
+    """(topic_key, story_id) of every story that fits a topic; a named topic with a vector also takes what is near that."""
+    rows = defined(topics, examples)
+    found = rows.select("topic_key", "definition").join(fits_definitions(rows, story_places, texts, centroids, event_floor), "definition").select("topic_key", "story_id")
     if "vector" in topics.columns:
-        pointed = topics.where("example IS NULL AND spine IS NULL AND vector IS NOT NULL")
+        pointed = rows.where("taught IS NULL AND spine IS NULL AND vector IS NOT NULL")
         near = _close(pointed.select(F.col("topic_key").alias("key"), "vector"), centroids, fit_floor)
         found = found.unionByName(near.select(F.col("key").alias("topic_key"), "story_id"))
     return found.distinct()
 
 
-def in_topic(fitting: DataFrame, topics: DataFrame, topic_sources: DataFrame, story_sources: DataFrame, cards: DataFrame) -> DataFrame:
-    """Fitting stories from a source the topic takes, without its muted word."""
-    shares = fitting.join(topic_sources, "topic_key").join(story_sources, ["story_id", "source"], "left_semi").select("topic_key", "story_id").distinct()
-    text = F.lower(F.concat_ws(" ", "title", F.coalesce("summary", F.lit(""))))
-    rows = shares.join(topics.select("topic_key", "reader", "muted"), "topic_key").join(cards.select("story_id", text.alias("text")), "story_id")
-    muted = F.coalesce(F.contains("text", F.lower("muted")), F.lit(False))
-    return rows.where(~muted).select("reader", "topic_key", "story_id")
+def muted_in(pairs: DataFrame, muted: DataFrame, cards: DataFrame) -> DataFrame:
+    """Of ``pairs`` (topic_key, story_id) those whose card mentions a word (``muted``: topic_key, word) that the topic mutes.
+
+    Each distinct word is looked for once, all of them in one pass over the cards;
+    a pair then asks for its topic's words, so no topic meets a story it does not hold.
+    """
+    literal = F.regexp_replace(F.col("word"), r"([\\%_])", r"\\$1")
+    words = muted.where("word <> ''").select("topic_key", literal.alias("key")).distinct()
+    hits = search.matches(words, cards.select(F.col("story_id").alias("id"), F.concat_ws(" ", "title", F.coalesce("summary", F.lit(""))).alias("text")))
+    asked = pairs.select("topic_key", "story_id").join(words, "topic_key")
+    return asked.join(hits.withColumnRenamed("id", "story_id"), ["story_id", "key"]).select("topic_key", "story_id").distinct()
+
+
+def in_topic(topics: DataFrame, examples: DataFrame, story_places: DataFrame, texts: DataFrame, centroids: DataFrame, topic_sources: DataFrame,
+             story_sources: DataFrame, cards: DataFrame, muted: DataFrame, event_floor: float = EVENT_FLOOR) -> DataFrame:
+    """(reader, topic_key, story_id): fitting stories from a source the topic takes, without its muted words.
+
+    Definitions meet stories and their sources first; topics, and so readers, come
+    in last, by definition and source.
+    """
+    rows = defined(topics, examples)
+    offered = fits_definitions(rows, story_places, texts, centroids, event_floor).join(story_sources, "story_id")
+    taken = rows.select("reader", "topic_key", "definition").join(topic_sources, "topic_key")
+    shares = taken.join(offered, ["definition", "source"]).select("reader", "topic_key", "story_id").distinct()
+    return shares.join(muted_in(shares, muted, cards), ["topic_key", "story_id"], "left_anti").select("reader", "topic_key", "story_id")
 
 
 def is_new(rows: DataFrame, published: DataFrame, seen: DataFrame, now: int) -> DataFrame:

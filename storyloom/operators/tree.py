@@ -16,19 +16,19 @@ def closure(spine: DataFrame) -> DataFrame:
     round is written. A topic has one parent, so what a cycle meets again is met at
     a greater distance: the smallest counts, and no way is longer than the topics are many.
     """
-    rows = cut_lineage(spine.select("slug", "parent"))
+    rows = spine.select("slug", "parent")
     own = rows.select("slug", F.col("slug").alias("ancestor"), F.lit(0).alias("distance"))
     up = rows.where("parent IS NOT NULL").join(rows.select(F.col("slug").alias("parent")), "parent")
     ways = cut_lineage(own.unionByName(up.select("slug", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))))
-    length, topics = 1, rows.count()
-    while length < topics:
+    length = 1
+    while True:
+        size = ways.agg(F.count_if(F.col("distance") == 0).alias("topics"), F.count_if(F.col("distance") == length).alias("longest")).first()
+        if length >= size.topics or not size.longest:
+            return ways
         longest = ways.where(F.col("distance") == length).select("slug", F.col("ancestor").alias("middle"))
-        if longest.isEmpty():
-            break
         onward = ways.where("distance > 0").select(F.col("slug").alias("middle"), "ancestor", (F.col("distance") + length).cast("int").alias("distance"))
         further = longest.join(onward, "middle").select("slug", "ancestor", "distance")
         ways, length = cut_lineage(ways.unionByName(further).groupBy("slug", "ancestor").agg(F.min("distance").alias("distance"))), 2 * length
-    return ways
 
 
 def paths(tree: DataFrame) -> DataFrame:

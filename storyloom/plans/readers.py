@@ -13,32 +13,35 @@ from storyloom.operators import graph as N
 from storyloom.operators import readers as H
 from storyloom.operators import tree as R
 from storyloom.plans.feed import CARDS, rel
-from storyloom.plans.labels import CENTROIDS, TEXTS, TREE, story_centroids, texts, tree
+from storyloom.plans.labels import CENTROIDS, TREE, story_centroids, tree
 from storyloom.plans.registry import query
 from storyloom.plans.similarity import means_sql
+from storyloom.session import cut_lineage
 
 FIT, EVENT = 0.30, 0.45
 WORDS = f"list_distinct(list_filter(string_split_regex(lower(name), '[^\\pL\\pN]+'), lambda w: length(w) >= 2 AND w NOT IN ({', '.join(repr(w) for w in X.SMALL_WORDS)})))"
 NAMED = {
-    **TEXTS,
+    **CARDS,
+    "asked_texts": "SELECT story_id, title || ' ' || coalesce(summary, '') AS text FROM card UNION ALL SELECT s.story_id, i.title FROM story_items s JOIN items i ON i.item_id = s.item_id",
     "name_words": f"SELECT name, len({WORDS}) AS needed, unnest({WORDS}) AS word FROM (SELECT DISTINCT name FROM reader_topics WHERE spine IS NULL AND example IS NULL) n",
-    "word_hits": r"SELECT DISTINCT w.name, w.needed, w.word, t.story_id FROM name_words w JOIN texts t ON regexp_matches(lower(t.text), '(^|[^\pL\pN])' || w.word || '(s|es)?($|[^\pL\pN])')",
+    "word_hits": r"SELECT DISTINCT w.name, w.needed, w.word, t.story_id FROM name_words w JOIN asked_texts t ON regexp_matches(lower(t.text), '(^|[^\pL\pN])' || w.word || '(s|es)?($|[^\pL\pN])')",
     "named": "SELECT name, story_id FROM word_hits GROUP BY name, story_id, needed HAVING count(*) = needed",
 }
 PLACES = {**TREE, "places": "SELECT DISTINCT t.story_id, c.ancestor AS place FROM story_topics t JOIN tree c ON c.slug = t.slug"}
 FITTING = {
     **NAMED, **PLACES, **CENTROIDS,
-    "near": f"SELECT a.key AS story_id, b.key AS other, list_dot_product(a.vec, b.vec) AS s FROM centroids a JOIN centroids b ON a.key IN (SELECT example FROM reader_topics) WHERE list_dot_product(a.vec, b.vec) >= {EVENT}",
+    "taught": "SELECT e.topic_key, e.example FROM topic_examples e JOIN stories s ON s.story_id = e.example",
+    "event_vec": means_sql("topic_key", source="(SELECT e.topic_key, c.vec AS embedding FROM taught e JOIN centroids c ON c.key = e.example)"),
+    "near": f"SELECT v.key AS topic_key, c.key AS story_id FROM event_vec v JOIN centroids c ON list_dot_product(v.vec, c.vec) >= {EVENT} UNION SELECT topic_key, example FROM taught",
     "fitting": """SELECT DISTINCT topic_key, story_id FROM (
-        SELECT t.topic_key, n.other AS story_id FROM reader_topics t JOIN near n ON n.story_id = t.example
-        UNION ALL SELECT topic_key, example FROM reader_topics WHERE example IS NOT NULL
-        UNION ALL SELECT t.topic_key, p.story_id FROM reader_topics t JOIN places p ON p.place = t.spine WHERE t.example IS NULL
-        UNION ALL SELECT t.topic_key, n.story_id FROM reader_topics t JOIN named n ON n.name = t.name WHERE t.example IS NULL AND t.spine IS NULL) x""",
+        SELECT topic_key, story_id FROM near
+        UNION ALL SELECT t.topic_key, p.story_id FROM reader_topics t JOIN places p ON p.place = t.spine WHERE t.topic_key NOT IN (SELECT topic_key FROM taught)
+        UNION ALL SELECT t.topic_key, n.story_id FROM reader_topics t JOIN named n ON n.name = t.name WHERE t.spine IS NULL AND t.topic_key NOT IN (SELECT topic_key FROM taught)) x""",
     "story_sources": "SELECT DISTINCT s.story_id, i.source FROM story_items s JOIN items i ON i.item_id = s.item_id",
     **CARDS,
     "in_topic": """SELECT t.reader, t.topic_key, f.story_id FROM fitting f JOIN reader_topics t ON t.topic_key = f.topic_key JOIN card c ON c.story_id = f.story_id
        WHERE EXISTS (SELECT 1 FROM reader_topic_sources r JOIN story_sources s ON s.source = r.source WHERE r.topic_key = f.topic_key AND s.story_id = f.story_id)
-         AND NOT coalesce(contains(lower(concat_ws(' ', c.title, coalesce(c.summary, ''))), lower(t.muted)), false)""",
+         AND NOT EXISTS (SELECT 1 FROM topic_muted m WHERE m.topic_key = f.topic_key AND contains(lower(concat_ws(' ', c.title, coalesce(c.summary, ''))), lower(m.word)))""",
 }
 READ_SQL = "EXISTS (SELECT 1 FROM interactions x WHERE x.reader = t.reader AND x.story_id = t.story_id AND x.action = 'seen')"
 
@@ -52,8 +55,14 @@ def story_places(spark, sf):
     return H.places(relation(spark, sf, "story_topics"), tree(spark, sf))
 
 
-def fitting(spark, sf):
-    return H.fits(relation(spark, sf, "reader_topics"), story_places(spark, sf), texts(spark, sf), story_centroids(spark, sf), EVENT, FIT)
+def examples(spark, sf):
+    """The examples that are stories."""
+    stories = relation(spark, sf, "stories").select(F.col("story_id").alias("example"))
+    return relation(spark, sf, "topic_examples").join(stories, "example", "left_semi")
+
+
+def asked_texts(spark, sf, cards=None):
+    return H.story_texts(all_cards(spark, sf) if cards is None else cards, *rel(spark, sf, "story_items", "items"))
 
 
 def all_cards(spark, sf):
@@ -62,8 +71,11 @@ def all_cards(spark, sf):
 
 
 def membership(spark, sf):
-    topics, sources = rel(spark, sf, "reader_topics", "reader_topic_sources")
-    return H.in_topic(fitting(spark, sf), topics, sources, story_sources(spark, sf), all_cards(spark, sf))
+    topics, sources, muted = rel(spark, sf, "reader_topics", "reader_topic_sources", "topic_muted")
+    # Both are read several times, and the plans that make them are long.
+    cards, centroids = cut_lineage(all_cards(spark, sf).select("story_id", "title", "summary")), cut_lineage(story_centroids(spark, sf))
+    return H.in_topic(topics, examples(spark, sf), story_places(spark, sf), asked_texts(spark, sf, cards), centroids, sources,
+                      story_sources(spark, sf), cards, muted, EVENT)
 
 
 def seen_by(spark, sf):
@@ -77,7 +89,7 @@ def topic_membership(spark, sf):
 
 VECTOR_TOPICS = {**FITTING, "leaf_vec": means_sql("label"),
                  "pointed": f"""SELECT t.topic_key, c.key AS story_id FROM reader_topics t JOIN leaf_vec l ON l.key = t.reader % 10 JOIN centroids c ON list_dot_product(c.vec, l.vec) >= {FIT}
-                    WHERE t.reader % 3 = 2 AND t.example IS NULL AND t.spine IS NULL"""}
+                    WHERE t.reader % 3 = 2 AND t.spine IS NULL AND t.topic_key NOT IN (SELECT topic_key FROM taught)"""}
 
 
 @query("h02_fits", "SELECT topic_key, story_id FROM fitting UNION SELECT topic_key, story_id FROM pointed", VECTOR_TOPICS)
@@ -87,20 +99,20 @@ def fits(spark, sf):
     topics = relation(spark, sf, "reader_topics")
     slot = F.when(F.col("reader") % 3 == 2, (F.col("reader") % 10).cast("int"))
     topics = topics.withColumn("slot", slot).join(pointers, "slot", "left")
-    return H.fits(topics, story_places(spark, sf), texts(spark, sf), story_centroids(spark, sf), EVENT, FIT)
+    return H.fits(topics, examples(spark, sf), story_places(spark, sf), asked_texts(spark, sf), story_centroids(spark, sf), EVENT, FIT)
 
 
 @query("h03_name_match", "SELECT name, story_id FROM named", NAMED)
 def name_match(spark, sf):
     names = relation(spark, sf, "reader_topics").where("spine IS NULL AND example IS NULL")
-    return H.named_in(names, texts(spark, sf))
+    return H.named_in(names, asked_texts(spark, sf))
 
 
-@query("h04_event_topics", "SELECT t.topic_key, n.other AS story_id FROM reader_topics t JOIN near n ON n.story_id = t.example UNION SELECT topic_key, example FROM reader_topics WHERE example IS NOT NULL", FITTING)
+@query("h04_event_topics", "SELECT topic_key, story_id FROM near", FITTING)
 def event_topics(spark, sf):
-    topics = relation(spark, sf, "reader_topics").where("example IS NOT NULL")
-    near = H.nearby(topics.select(F.col("example").alias("story_id")).distinct(), story_centroids(spark, sf), EVENT)
-    return topics.select("topic_key", F.col("example").alias("e")).join(near.select(F.col("story_id").alias("e"), F.col("near").alias("story_id")), "e").select("topic_key", "story_id")
+    rows = H.defined(relation(spark, sf, "reader_topics"), examples(spark, sf)).where("taught IS NOT NULL")
+    found = H.like_examples(rows.select("definition", F.explode("taught").alias("example")).distinct(), story_centroids(spark, sf), EVENT)
+    return rows.select("topic_key", "definition").join(found, "definition").select("topic_key", "story_id")
 
 
 @query("h05_nearby_stories", f"""

@@ -224,3 +224,36 @@ def test_a_vector_is_compared_once_however_often_it_occurs():
     find = lambda group, when, batch, who: similarity.earliest_members(*(np.array([x]) for x in (group, when, batch, who)), members, 4)[0]
     assert find(0, 9, 1, 50) == 1 and find(0, 4, 1, 50) == 0 and find(0, 5, 1, 11) == -1 and find(0, 5, 1, 12) == 1 and find(0, 0, 1, 9) == -1
     assert find(1, 0, 1, 1) == 3 and find(1, 8, 1, 50) == 4 and find(1, 7, 1, 21) == -1 and find(1, 0, 0, 1) == -1
+
+
+def test_names_are_found_by_their_rarest_word(spark):
+    """Names of one to three words over few words, some of them in most stories and dealt to several keys."""
+    rng = np.random.default_rng(12)
+    words = np.array(["alpha", "betas", "gamma", "delta", "box", "boxes", "zeta"])
+    texts = [(int(s), " ".join(rng.choice(words, rng.integers(1, 5)))) for s in rng.integers(0, 60, 150)]
+    names = [" ".join(rng.choice(["alpha", "beta", "gamma", "box", "zeta", "the", "nowhere"], rng.integers(1, 4))) for _ in range(40)] + ["the", ""]
+    small = ("the",)
+    held = {}
+    for s, t in texts:
+        held.setdefault(s, set()).update(t.split())
+    has = lambda story, w: any(form in held[story] for form in (w, w + "s", w + "es"))
+    want = {(n, s) for n in names for s in held if (asked := set(n.split()) - set(small)) and all(has(s, w) for w in asked)}
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    for postings in (50_000, 4):
+        got = readers.named_in(rows, spark.createDataFrame(texts, "story_id long, text string"), postings).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_topics_of_several_examples_and_muted_words(spark):
+    centroids = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.7, 0.7]), (4, [-1.0, 0.0])], "story_id long, centroid array<double>")
+    topics = spark.createDataFrame([("a", "t1", None, "x"), ("b", "t2", None, "x"), ("c", "t3", "here", "x"), ("d", "t4", None, "red box")], "reader string, topic_key string, spine string, name string")
+    examples = spark.createDataFrame([("t1", 1), ("t1", 2), ("t2", 2), ("t2", 1)], "topic_key string, example long")
+    places = spark.createDataFrame([(4, "here")], "story_id long, place string")
+    cards = spark.createDataFrame([(1, "100% sure", "s"), (2, "1000 sure", None), (3, "Boxes", "of red"), (4, "under_score", None)], "story_id long, title string, summary string")
+    texts = cards.selectExpr("story_id", "concat_ws(' ', title, summary) AS text")
+    sources = spark.createDataFrame([(t, "s") for t in ("t1", "t2", "t3", "t4")], "topic_key string, source string")
+    offered = spark.createDataFrame([(i, "s") for i in (1, 2, 3, 4)], "story_id long, source string")
+    muted = spark.createDataFrame([("t1", "0%"), ("t1", "zzz"), ("t2", "BOX"), ("t3", "r_s"), ("t4", "")], "topic_key string, word string")
+    got = readers.in_topic(topics, examples, places, texts, centroids, sources, offered, cards, muted, 0.9).collect()
+    # The mean of 1 and 2 is 3's direction; either example belongs in any case.
+    assert {(r.reader, r.story_id) for r in got} == {("a", 2), ("a", 3), ("b", 1), ("b", 2), ("d", 3)}
