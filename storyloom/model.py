@@ -146,6 +146,11 @@ SELECT c_custkey AS reader, 'topic-' || CAST(c_custkey AS STRING) || '-' || CAST
   FROM @customer
 """
 
+# Profiles of many topics each, for the topic graph: twenty readers who share out the topics above.
+RELATIONS["graph_topics"] = """
+SELECT reader % 20 AS reader, topic_key, spine, name, reader AS taken_from FROM reader_topics
+"""
+
 # The stories a topic was taught by, and the words its reader does not want: as many as there are.
 RELATIONS["topic_examples"] = """
 SELECT topic_key, example FROM reader_topics WHERE example IS NOT NULL

@@ -15,7 +15,7 @@ from storyloom.operators import tree as R
 from storyloom.plans.feed import CARDS, rel
 from storyloom.plans.labels import CENTROIDS, TREE, story_centroids, tree
 from storyloom.plans.registry import query
-from storyloom.plans.similarity import means_sql
+from storyloom.plans.similarity import means_sql, reference_vectors
 from storyloom.session import cut_lineage
 
 FIT, EVENT = 0.30, 0.45
@@ -51,8 +51,8 @@ def story_sources(spark, sf):
     return members.join(items.select("item_id", "source"), "item_id").select("story_id", "source").distinct()
 
 
-def story_places(spark, sf):
-    return H.places(relation(spark, sf, "story_topics"), tree(spark, sf))
+def story_places(spark, sf, closure=None):
+    return H.places(relation(spark, sf, "story_topics"), tree(spark, sf) if closure is None else closure)
 
 
 def examples(spark, sf):
@@ -251,62 +251,139 @@ def read_marks(spark, sf):
     return H.read_marks(impressions(table(spark, sf, "events")))
 
 
-NODE_SQL = {
+PACKED = "list_transform({0}, lambda x: greatest(-127, least(127, round_even(x * 127, 0))))"
+TREE_NODES = {
     **PLACES, **CENTROIDS,
-    "packed_rows": "SELECT p.place, list_transform(c.vec, lambda x: greatest(-127, least(127, round_even(x * 127, 0)))) AS embedding FROM places p JOIN centroids c ON c.key = p.story_id",
+    "packed_rows": f"SELECT p.place, {PACKED.format('c.vec')} AS embedding FROM places p JOIN centroids c ON c.key = p.story_id",
     "node_vec": means_sql("place", source="packed_rows"),
     "nodes": """SELECT s.slug AS key, (SELECT max(distance) + 1 FROM tree t WHERE t.slug = s.slug) AS depth, s.parent, v.vec,
        EXISTS (SELECT 1 FROM spine k WHERE k.parent = s.slug) AS branch FROM spine s JOIN node_vec v ON v.key = s.slug""",
-    "compared": "SELECT a.key, b.key AS other, list_dot_product(a.vec, b.vec) AS s, a.depth, a.branch AND b.branch AS branches FROM nodes a JOIN nodes b ON a.key <> b.key AND a.depth = b.depth AND (a.depth = 1 OR a.parent <> b.parent)",
-    "lifted": "SELECT key, other, s AS score, (s - avg(s) OVER w) / nullif(stddev_pop(s) OVER w, 0) AS lift, count(*) OVER w AS n, stddev_pop(s) OVER w AS sd, depth FROM compared WINDOW w AS (PARTITION BY key)",
-    "closest": "SELECT key, other, score, lift, depth, row_number() OVER (PARTITION BY key ORDER BY score DESC, other) AS rn FROM lifted WHERE n >= 2 AND sd >= 1e-6 AND lift >= 1 - 1e-9",
-    "top_lifted": "SELECT key, other, s AS score, (s - avg(s) OVER w) / nullif(stddev_pop(s) OVER w, 0) AS lift, count(*) OVER w AS n, stddev_pop(s) OVER w AS sd FROM compared WHERE depth = 1 AND branches WINDOW w AS (PARTITION BY key)",
-    "top_closest": "SELECT key, other, lift, row_number() OVER (PARTITION BY key ORDER BY score DESC, other) AS rn FROM top_lifted WHERE n >= 2 AND sd >= 1e-6 AND lift >= 1 - 1e-9",
-    "overview": "SELECT least(key, other) AS a, greatest(key, other) AS b, arg_min(lift, key) AS strength FROM top_closest WHERE rn = 1 GROUP BY 1, 2",
+}
+TREE_PAIRS = "SELECT a.key, b.key AS other, list_dot_product(a.vec, b.vec) AS s, a.depth = 1 AND a.branch AND b.branch AS tops FROM nodes a JOIN nodes b ON a.key <> b.key AND a.depth = b.depth AND (a.depth = 1 OR a.parent <> b.parent)"
+LEAF_VECTORS = {"leaf_vec": means_sql("label")}
+# Own topics lie where the stories that fit them lie, else at their own vector.
+NODE_SQL = {
+    **TREE_NODES, **FITTING, **LEAF_VECTORS,
+    "told": "SELECT t.topic_key, coalesce('e' || (SELECT list_sort(list(e.example))::VARCHAR FROM taught e WHERE e.topic_key = t.topic_key), 'n' || t.name) AS said FROM reader_topics t WHERE t.spine IS NULL",
+    "speaker": "SELECT said, min(topic_key) AS topic_key FROM told GROUP BY said",
+    "own_rows": f"SELECT s.said, {PACKED.format('c.vec')} AS embedding FROM speaker s JOIN fitting f ON f.topic_key = s.topic_key JOIN centroids c ON c.key = f.story_id",
+    "own_mean": means_sql("said", source="own_rows"),
+    "leaf_rows": f"SELECT key AS leaf, {PACKED.format('vec')} AS embedding FROM leaf_vec",
+    "leaf_mean": means_sql("leaf", source="leaf_rows"),
+    "own": """SELECT g.reader, 'own:' || g.topic_key AS key, coalesce(m.vec, l.vec) AS vec FROM graph_topics g JOIN told t ON t.topic_key = g.topic_key
+       LEFT JOIN own_mean m ON m.key = t.said LEFT JOIN leaf_mean l ON g.taken_from % 3 = 2 AND l.key = g.taken_from % 10 WHERE coalesce(m.vec, l.vec) IS NOT NULL""",
+    "tree_pairs": TREE_PAIRS,
+    "met": "SELECT o.reader, o.key, n.key AS other, list_dot_product(o.vec, n.vec) AS s, n.depth = 1 AND n.branch AS tops FROM own o CROSS JOIN nodes n",
+    "compared": """SELECT CAST(NULL AS BIGINT) AS reader, * FROM tree_pairs
+       UNION ALL SELECT r.reader, p.* FROM (SELECT DISTINCT reader FROM own) r CROSS JOIN tree_pairs p
+       UNION ALL SELECT reader, key, other, s, tops FROM met UNION ALL SELECT reader, other, key, s, tops FROM met
+       UNION ALL SELECT a.reader, a.key, b.key, list_dot_product(a.vec, b.vec), true FROM own a JOIN own b ON a.reader = b.reader AND a.key <> b.key""",
 }
 
 
-def node_rows(spark, sf):
-    vectors = N.topic_vectors(story_places(spark, sf), story_centroids(spark, sf))
-    return N.nodes(relation(spark, sf, "spine"), tree(spark, sf), vectors)
+def lifted_sql(source: str, n: int) -> str:
+    """(reader, key, other, score, lift): the ``n`` closest of ``source`` that stand out."""
+    return f"""SELECT reader, key, other, score, lift FROM (SELECT *, row_number() OVER (PARTITION BY reader, key ORDER BY score DESC, other) AS rn FROM (
+        SELECT reader, key, other, s AS score, (s - avg(s) OVER w) / nullif(stddev_pop(s) OVER w, 0) AS lift, count(*) OVER w AS n, stddev_pop(s) OVER w AS sd
+        FROM {source} WINDOW w AS (PARTITION BY reader, key)) x WHERE n >= 2 AND sd >= 1e-6 AND lift >= 1 - 1e-9) y WHERE rn <= {n}"""
+
+
+def links_sql(source: str) -> str:
+    return f"SELECT reader, least(key, other) AS a, greatest(key, other) AS b, arg_min(lift, key) AS strength FROM ({lifted_sql(source, 1)}) z GROUP BY 1, 2, 3"
+
+
+def node_rows(spark, sf, closure=None, centroids=None):
+    closure = tree(spark, sf) if closure is None else closure
+    vectors = N.topic_vectors(story_places(spark, sf, closure), story_centroids(spark, sf) if centroids is None else centroids)
+    return N.nodes(relation(spark, sf, "spine"), closure, vectors)
+
+
+def own_nodes(spark, sf, closure, centroids):
+    topics = relation(spark, sf, "graph_topics").where("spine IS NULL")
+    rows = cut_lineage(H.defined(topics, examples(spark, sf)))
+    fitting = H.fits_definitions(rows, story_places(spark, sf, closure), asked_texts(spark, sf), centroids, EVENT)
+    leaves = reference_vectors(spark, sf, "label").withColumnRenamed("key", "slot")
+    slot = F.when(F.col("taken_from") % 3 == 2, (F.col("taken_from") % 10).cast("int"))
+    return N.own_nodes(rows.withColumn("slot", slot).join(leaves, "slot", "left"), fitting, centroids)
+
 
+def pictured(spark, sf):
+    """The closure of the tree, its nodes and the nodes of own topics; what both kinds of nodes need is made once."""
+    closure, centroids = tree(spark, sf), cut_lineage(story_centroids(spark, sf))
+    return closure, node_rows(spark, sf, closure, centroids), own_nodes(spark, sf, closure, centroids)
 
-@query("h19_topic_vectors", "SELECT key AS place, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS pos, round(unnest(vec), 6) AS value FROM node_vec", NODE_SQL)
+
+@query("h19_topic_vectors", "SELECT key AS place, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS pos, round(unnest(vec), 6) AS value FROM node_vec", TREE_NODES)
 def topic_vectors(spark, sf):
     vectors = N.topic_vectors(story_places(spark, sf), story_centroids(spark, sf))
     return vectors.select("place", F.posexplode("vector").alias("pos", "value")).withColumn("value", F.round("value", 6))
 
 
-@query("h20_related_topics", "SELECT key, other, round(score, 6) AS score, round(lift, 5) AS lift FROM closest WHERE rn <= 3", NODE_SQL)
+@query("h20_own_nodes", "SELECT reader, key, array_to_string(list_transform(vec, lambda x: CAST(greatest(-127, least(127, round_even(x * 127, 0))) AS INTEGER)), ',') AS packed FROM own", NODE_SQL)
+def graph_own_nodes(spark, sf):
+    return pictured(spark, sf)[2].select("reader", "key", F.array_join(V.packed("vector"), ",").alias("packed"))
+
+
+def rounded(found):
+    return found.withColumn("score", F.round("score", 6)).withColumn("lift", F.round("lift", 5))
+
+
+@query("h20_related_topics", f"SELECT key, other, round(score, 6) AS score, round(lift, 5) AS lift FROM ({lifted_sql('tree_alone', 3)}) c", {
+    **TREE_NODES, "tree_alone": f"SELECT NULL AS reader, * FROM ({TREE_PAIRS}) t"})
 def related_topics(spark, sf):
-    return N.closest(node_rows(spark, sf), 3).withColumn("score", F.round("score", 6)).withColumn("lift", F.round("lift", 5))
+    return rounded(N.closest(node_rows(spark, sf), 3)).drop("reader")
+
 
+@query("h20_related_with_own", f"SELECT reader, key, other, round(score, 6) AS score, round(lift, 5) AS lift FROM ({lifted_sql('compared', 3)}) c", NODE_SQL)
+def related_with_own(spark, sf):
+    _, nodes, own = pictured(spark, sf)
+    return rounded(N.closest_with_own(nodes, own, 3))
 
-@query("h21_overview_edges", "SELECT a, b, round(strength, 5) AS strength FROM overview", NODE_SQL)
+
+OVERVIEW_SQL = {**NODE_SQL, "top_pairs": "SELECT * FROM compared WHERE tops", "overview": links_sql("top_pairs")}
+
+
+@query("h21_overview_edges", "SELECT a, b, round(strength, 5) AS strength FROM tree_links", {
+    **TREE_NODES, "tree_tops": f"SELECT NULL AS reader, * FROM ({TREE_PAIRS}) t WHERE tops", "tree_links": links_sql("tree_tops")})
 def overview_edges(spark, sf):
-    return N.overview_edges(node_rows(spark, sf)).withColumn("strength", F.round("strength", 5))
+    return N.overview_edges(node_rows(spark, sf)).withColumn("strength", F.round("strength", 5)).drop("reader")
+
+
+@query("h21_overview_with_own", "SELECT reader, a, b, round(strength, 5) AS strength FROM overview", OVERVIEW_SQL)
+def overview_with_own(spark, sf):
+    _, nodes, own = pictured(spark, sf)
+    return N.overview_edges(nodes, own).withColumn("strength", F.round("strength", 5))
 
 
-GRAPH_SQL = {**NODE_SQL, "visible": """SELECT DISTINCT t.reader, c.ancestor AS slug FROM reader_topics t JOIN tree c ON c.slug = t.spine
-    UNION SELECT DISTINCT t.reader, c.slug FROM reader_topics t JOIN tree c ON c.ancestor = t.spine""",
-    "src": "SELECT t.reader, coalesce(t.spine, 'own:' || t.topic_key) AS a, 'src:' || r.source AS b FROM (SELECT *, row_number() OVER (PARTITION BY topic_key ORDER BY source) AS n FROM reader_topic_sources) r JOIN reader_topics t ON t.topic_key = r.topic_key WHERE r.n <= 4"}
+GRAPH_SQL = {**OVERVIEW_SQL, "visible": """SELECT DISTINCT t.reader, c.ancestor AS slug FROM graph_topics t JOIN tree c ON c.slug = t.spine
+    UNION SELECT DISTINCT t.reader, c.slug FROM graph_topics t JOIN tree c ON c.ancestor = t.spine""",
+    "in_picture": "SELECT reader, slug AS key FROM visible UNION ALL SELECT reader, key FROM own",
+    # The overview of a picture compares only what the picture shows.
+    "shown_pairs": """SELECT p.reader, c.key, c.other, c.s FROM (SELECT key, other, s FROM tree_pairs WHERE tops) c JOIN in_picture p ON p.key = c.key JOIN in_picture q ON q.key = c.other AND q.reader = p.reader
+       UNION ALL SELECT c.reader, c.key, c.other, c.s FROM compared c JOIN in_picture p ON p.reader = c.reader AND p.key = c.key JOIN in_picture q ON q.reader = c.reader AND q.key = c.other
+       WHERE c.tops AND (c.key LIKE 'own:%' OR c.other LIKE 'own:%')""",
+    "picture_links": links_sql("shown_pairs"),
+    "src": "SELECT t.reader, coalesce(t.spine, 'own:' || t.topic_key) AS a, 'src:' || r.source AS b FROM (SELECT *, row_number() OVER (PARTITION BY topic_key ORDER BY source) AS n FROM reader_topic_sources) r JOIN graph_topics t ON t.topic_key = r.topic_key WHERE r.n <= 4"}
 
 
 @query("h22_topic_graph", """
 SELECT v.reader, coalesce(s.parent, 'area') AS a, v.slug AS b, 'tree' AS kind FROM visible v JOIN spine s ON s.slug = v.slug
 UNION ALL SELECT reader, a, b, 'src' FROM src
-UNION ALL SELECT x.reader, o.a, o.b, 'rel' FROM overview o JOIN visible x ON x.slug = o.a JOIN visible y ON y.slug = o.b AND y.reader = x.reader""", GRAPH_SQL)
+UNION ALL SELECT reader, a, b, 'rel' FROM picture_links""", GRAPH_SQL)
 def topic_graph(spark, sf):
-    topics, sources, spine = rel(spark, sf, "reader_topics", "reader_topic_sources", "spine")
-    return N.edges(topics, sources, spine, tree(spark, sf), N.overview_edges(node_rows(spark, sf)))
+    topics, sources, spine = rel(spark, sf, "graph_topics", "reader_topic_sources", "spine")
+    closure, nodes, own = pictured(spark, sf)
+    related = N.overview_edges(cut_lineage(N.pictures(topics, closure, nodes, own)))
+    return N.edges(topics, sources, spine, closure, related)
 
 
 @query("h22_whole_graph", """
 SELECT CAST(NULL AS BIGINT) AS reader, coalesce(parent, 'area') AS a, slug AS b, 'tree' AS kind FROM spine
-UNION ALL SELECT reader, a, b, 'src' FROM src UNION ALL SELECT NULL, a, b, 'rel' FROM overview""", GRAPH_SQL)
+UNION ALL SELECT reader, a, b, 'src' FROM src UNION ALL SELECT reader, a, b, 'rel' FROM overview""", GRAPH_SQL)
 def whole_graph(spark, sf):
-    topics, sources, spine = rel(spark, sf, "reader_topics", "reader_topic_sources", "spine")
-    return N.edges(topics, sources, spine, tree(spark, sf), N.overview_edges(node_rows(spark, sf)), "all")
+    topics, sources, spine = rel(spark, sf, "graph_topics", "reader_topic_sources", "spine")
+    closure, nodes, own = pictured(spark, sf)
+    return N.edges(topics, sources, spine, closure, N.overview_edges(nodes, own), "all")
 
 
 @query("h23_categories", "SELECT s.slug, s.name, (SELECT string_agg(c.slug, ',' ORDER BY c.ord) FROM spine c WHERE c.parent = s.slug) AS children FROM spine s WHERE s.parent IS NULL")

@@ -111,6 +111,84 @@ def test_related_topics_compare_own_topics_with_anything(spark):
         assert r["lift"] >= 1 - 1e-9
 
 
+def _stands_out(rows, n):
+    """By brute force over one picture: key -> [(other, score, lift)]."""
+    out = {}
+    for a in rows:
+        near = [(b["key"], float(np.dot(a["vector"], b["vector"]))) for b in rows if a["key"] != b["key"] and (
+            "own" in (a["kind"], b["kind"]) or (a["depth"] == b["depth"] and (a["depth"] == 1 or a["parent"] != b["parent"])))]
+        scores = np.array([s for _, s in near])
+        if len(near) < 2 or scores.std() < 1e-6:
+            continue
+        best = sorted(near, key=lambda x: (-x[1], x[0]))[:n]
+        out[a["key"]] = [(k, s, (s - scores.mean()) / scores.std()) for k, s in best if (s - scores.mean()) / scores.std() >= 1 - 1e-9]
+    return {k: v for k, v in out.items() if v}
+
+
+def _by_key(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: (-r["score"], r["other"])):
+        out.setdefault(r["key"], []).append((r["other"], r["score"], r["lift"]))
+    return out
+
+
+def _same(got, want):
+    assert got.keys() == want.keys()
+    for k in got:
+        assert [x[0] for x in got[k]] == [x[0] for x in want[k]]
+        assert np.allclose([x[1:] for x in got[k]], [x[1:] for x in want[k]], rtol=0, atol=1e-9)
+
+
+NODE_FIELDS = "key string, kind string, depth int, parent string, vector array<double>"
+
+
+def test_related_topics_of_thousands_of_nodes(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(6000, 16)) + 2
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    rows = [(f"n{i}", "own" if i % 3 == 0 else "leaf", 1 + i % 2, f"p{i % 7}", [float(x) for x in v]) for i, v in enumerate(vectors)]
+    got = _by_key(graph.closest(spark.createDataFrame(rows, NODE_FIELDS), 3).collect())
+    # The same numbers from whole matrices; scores are compared to 1e-9.
+    scores, number = vectors @ vectors.T, np.arange(6000)
+    own, depth, parent = number % 3 == 0, number % 2, number % 7
+    allowed = own[:, None] | own[None, :] | ((depth[:, None] == depth[None, :]) & ((depth[:, None] == 0) | (parent[:, None] != parent[None, :])))
+    allowed &= ~np.eye(6000, dtype=bool)
+    assert len(got) == 6000
+    for i in range(6000):
+        s = scores[i, allowed[i]]
+        lifts = (np.sort(s)[::-1][:3] - s.mean()) / s.std()
+        assert np.allclose([x[2] for x in got[f"n{i}"]], lifts[lifts >= 1], rtol=0, atol=1e-9)
+        assert all(abs(scores[i, int(k[1:])] - v) < 1e-12 and allowed[i, int(k[1:])] for k, v, _ in got[f"n{i}"])
+
+
+def test_own_topics_join_the_tree_in_their_readers_picture(spark):
+    """Two readers, one of them with most of the topics and split over blocks; equal vectors go to the first key."""
+    rng = np.random.default_rng(6)
+    vec = lambda: [float(x) for x in rng.normal(size=6)]
+    tree = [{"key": f"n{i}", "kind": "branch" if i < 4 else "leaf", "depth": 1 if i < 5 else 2, "parent": None if i < 5 else f"n{i % 2}", "vector": vec()} for i in range(12)]
+    told = [vec() for _ in range(9)]
+    own = [{"reader": 1 if i < 40 else 2, "key": f"own:{i}", "kind": "own", "depth": 1, "parent": None, "vector": told[i % 9]} for i in range(47)]
+    frame = lambda rows, more="": spark.createDataFrame([tuple(r[c.split()[0]] for c in (more + NODE_FIELDS).split(", ")) for r in rows], more + NODE_FIELDS)
+    got = graph.closest_with_own(frame(tree), frame(own, "reader long, "), 3, block_rows=8).collect()
+    assert {r["reader"] for r in got} == {None, 1, 2}
+    for reader in (None, 1, 2):
+        mine = [r for r in got if r["reader"] == reader]
+        _same(_by_key(mine), _stands_out(tree + [o for o in own if o["reader"] == reader], 3))
+    # Without own topics only the tree's picture is left; an empty tree leaves the own topics.
+    none = frame(own, "reader long, ").limit(0)
+    _same(_by_key(graph.closest_with_own(frame(tree), none, 3, block_rows=8).collect()), _stands_out(tree, 3))
+    lone = graph.closest_with_own(frame(tree).limit(0), frame(own, "reader long, ").where("reader = 2"), 3, block_rows=8).collect()
+    _same(_by_key(lone), _stands_out([o for o in own if o["reader"] == 2], 3))
+
+
+def test_own_topics_without_stories_lie_at_their_own_vector(spark):
+    topics = spark.createDataFrame([(1, "a", "n:a", None), (1, "b", "n:b", [0.0, 2.0]), (2, "c", "n:c", None)], "reader long, topic_key string, definition string, vector array<double>")
+    fitting = spark.createDataFrame([("n:a", 7), ("n:b", 8)], "definition string, story_id long")
+    centroids = spark.createDataFrame([(7, [1.0, 0.0])], "story_id long, centroid array<double>")
+    got = {r["key"]: r["vector"] for r in graph.own_nodes(topics, fitting, centroids).collect()}
+    assert got == {"own:a": [1.0, 0.0], "own:b": [0.0, 1.0]}
+
+
 def test_ingest_outcomes(spark):
     now = 100 * 86400
     item = "source string, external_id string, kind string, url string, title string, author string, published_s long, summary string, body string, media_url string, metadata string, seq int"
