@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import stored
+from storyloom.llm.common import stored, unused
 
 WINDOW, LEAST_RUN, LEAST_SHARE = 8, 13, 0.8
 BITMAP_WORDS = 1 << 16  # 64 bits each
@@ -344,8 +344,6 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents no item contaminates, columns as they came."""
-    columns = docs.columns
-    found = stored(matches(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "contaminated")
-    return docs.withColumn("_text", F.xxhash64("text")).join(
-        found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left_anti",
-    ).select(*columns)
+    one, key = unused(docs.columns, "found_id"), unused(docs.columns, "found_key")
+    found = stored(matches(docs, benchmark).select(F.col("doc_id").alias(one), F.col("text_key").alias(key)).distinct(), "contaminated")
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(one)) & (F.xxhash64("text") == F.col(key)), "left_anti")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import stored
+from storyloom.llm.common import stored, unused
 from storyloom.llm.rolling import U, mix, shingle_groups
 from storyloom.operators.cluster import roots
 
@@ -317,6 +317,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     An id with two texts is judged text by text. Rows that repeat id and text stay together or go together.
     """
-    lower = _grouped(docs, words, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    one, key = unused(docs.columns, "gone_id"), unused(docs.columns, "gone_key")
+    lower = _grouped(docs, words, percent).where("component_id < doc_id").select(F.col("doc_id").alias(one), F.col("text_key").alias(key)).distinct()
     lower = stored(lower, "jaccard-gone")
-    return docs.join(lower, (docs["doc_id"].cast("long") == lower["_id"]) & (F.xxhash64(docs["text"]) == lower["_key"]), "left_anti")
+    return docs.join(lower, (F.col("doc_id").cast("long") == F.col(one)) & (F.xxhash64("text") == F.col(key)), "left_anti")

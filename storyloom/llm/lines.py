@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import SPACE, stored
+from storyloom.llm.common import SPACE, stored, unused
 
 WORDS, THRESHOLD = 5, 0.8
 #: Shingles are counted in 2**BUCKET_BITS buckets; frequent is a bucket of so many times the mean, and at most so many are.
@@ -157,13 +157,14 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the removed lines, columns as they came; ``n_chars`` follows the text."""
-    gone = later_matches(docs, threshold).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("_gone"))
-    gone = gone.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    rows = docs.withColumn("_own", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left")
+    one, key, numbers = (unused(docs.columns, name) for name in ("gone_id", "gone_key", "gone_lines"))
+    gone = later_matches(docs, threshold).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias(numbers))
+    gone = gone.withColumnsRenamed({"doc_id": one, "text_key": key})
+    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(one)) & (F.xxhash64("text") == F.col(key)), "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    emptied = F.col("_gone").isNotNull() & ~text.rlike(f"[^{SPACE}]")
+    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(numbers, i)), "\n")
+    text = F.when(F.col(numbers).isNull(), F.col("text")).otherwise(kept)
+    emptied = F.col(numbers).isNotNull() & ~text.rlike(f"[^{SPACE}]")
     columns = {"text": text} | ({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return rows.where(~emptied).select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
 

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import Logistic, bounded_sample, fold, label_rows, one_label, row_weights
+from storyloom.llm.common import Logistic, bounded_sample, fold, label_rows, one_label, row_weights, unused
 
 BLOCK, LEVEL, DICTIONARY_BYTES = 2048, 3, 1 << 16
 MAX_ROWS, MAX_BYTES = 6000, 48_000_000
@@ -99,15 +99,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes:
     return Model(good, bad, fitted, prior)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score``, the probability of label 1; all columns stay, one named score is replaced."""
+def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """``docs`` with ``out``, the probability of label 1; all columns stay, one of that name is replaced."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def rate(texts: pd.Series) -> pd.Series:
         return pd.Series(held.value.score(texts))
 
-    return docs.withColumn("score", rate(F.col("text")))
+    return docs.withColumn(out, rate(F.col("text")))
 
 
 def learning_labels(labels: DataFrame) -> DataFrame:
@@ -125,6 +125,7 @@ def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents scored ``THRESHOLD`` or more, columns as they came."""
+    """The documents scored ``THRESHOLD`` or more, columns and their values as they came."""
     columns = docs.columns
-    return score(docs, fit(docs, learning_labels(labels))).where(F.col("score") >= THRESHOLD).select(*columns)
+    out = unused(columns, "quality")
+    return score(docs, fit(docs, learning_labels(labels)), out).where(F.col(out) >= THRESHOLD).select(*columns)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from storyloom.llm import decontamination, fingerprints, packing, quality, toxicity
-from storyloom.llm.common import bounded_sample
+from storyloom.llm import decontamination, fingerprints, jaccard, lines, packing, quality, toxicity
+from storyloom.llm.common import bounded_sample, unused
 from storyloom.llm.plans import QUERIES
 from storyloom.llm.tokens import Tokens
 from tests.llm.conftest import prose
@@ -169,6 +169,30 @@ def test_planted_passages_are_found(spark):
     assert kept.columns == docs.columns and kept.count() == docs.count() - len(planted)
 
 
+CLASHING = ["score", "quality", "quality_", "_text", "_own", "_id", "_key", "_gone", "gone_id", "GONE_KEY", "gone_lines", "found_id", "found_key_", "key_id"]
+
+
+def test_names_no_column_has():
+    assert unused(["A", "a_"], "a") == "a__" and unused([], "a") == "a"
+
+
+def test_filters_leave_the_values_of_clashing_columns(spark):
+    """Every filter returns the rows it keeps as they came, whatever their other columns are called."""
+    rng = random.Random(4)
+    near = prose(rng, 40)
+    item = prose(rng, 20)
+    texts = [near, near + " end", prose(rng, 40), f"{prose(rng, 9)} {item} {prose(rng, 9)}", None, "", prose(rng, 12)]
+    rows = [(i, t, *(f"{c}-{i}" for c in CLASHING)) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(7)], "doc_id long, quality int, toxic int")
+    without = lambda gone: [r for r in rows if r[0] not in gone]
+    for kept, want in ((jaccard.keep_one(frame), without({1})), (decontamination.clean(frame, items), without({3})),
+                       (lines.dedup(frame), without({1})), (quality.keep_good(frame, labels), rows)):
+        assert kept.columns == frame.columns
+        assert sorted(tuple(r) for r in kept.collect()) == want
+
+
 def test_fingerprints(spark, docs, no_docs):
     rows = fingerprints.report(docs).collect()
     keyed = sorted({(r.doc_id is not None, r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()})
