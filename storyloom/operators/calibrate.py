@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,20 +33,20 @@ def positives(identifiers: DataFrame, kept: DataFrame) -> DataFrame:
     return left.join(right, ["type", "value"]).where("a < b").select("a", "b", "type", "value")
 
 
-def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """(key, place): places from 0 in the order of ``key``.
+def numbered(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, place): places from 0 in the order of ``keys``.
 
     A place is one inside a range-sorted partition plus the rows of the partitions
     before; only one count per partition is collected.
     """
-    sorted_ = rows.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("at", F.monotonically_increasing_id())
-    sorted_ = cut_lineage(sorted_.select(key, F.shiftrightunsigned("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("inside")))
+    sorted_ = rows.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
+    sorted_ = cut_lineage(sorted_.select(*keys, F.shiftrightunsigned("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("inside")))
     before, starts = 0, []
     for r in sorted(sorted_.groupBy("part").count().collect()):
         starts.append((r["part"], before))
         before += r["count"]
     offsets = rows.sparkSession.createDataFrame(starts, "part long, before long")
-    return sorted_.join(F.broadcast(offsets), "part").select(key, (F.col("before") + F.col("inside")).alias("place"))
+    return sorted_.join(F.broadcast(offsets), "part").select(*keys, (F.col("before") + F.col("inside")).alias("place"))
 
 
 def random_pairs(kept: DataFrame, count: int, seed: int = 7) -> DataFrame:
@@ -128,12 +130,21 @@ def close_pair_bins(items: DataFrame, window_days: int = HARD_WINDOW_DAYS, block
     return counted.groupBy("bin").agg(F.sum("pairs").alias("pairs"))
 
 
-def summary(scores: DataFrame) -> DataFrame:
-    """n, extremes and linearly interpolated quantiles of a score column."""
-    q = F.percentile("score", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return scores.agg(F.count("*").alias("n"), F.min("score").alias("min"), q.alias("q"), F.max("score").alias("max")).select(
-        "n", "min", F.get("q", F.lit(0)).alias("p5"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("p95"), "max"
-    )
+def summary(scores: DataFrame, shares: tuple[float, ...] = (0.05, 0.5, 0.95), names: tuple[str, ...] = ("p5", "median", "p95")) -> DataFrame:
+    """n, extremes and linearly interpolated quantiles of a score column; rows without a score do not count.
+
+    Scores get their rank by range, equal ones split by a hash of their row, so that
+    a score many rows have is not one partition; of all rows only the two next to
+    each wanted rank meet. Without scores the row has n 0 and nulls.
+    """
+    rows = scores.where("score IS NOT NULL").select("score", F.xxhash64(*scores.columns).alias("deal"))
+    placed = numbered(rows, "score", "deal")
+    n = placed.agg(F.coalesce(F.max("place") + 1, F.lit(0)).alias("n")).first()["n"]
+    at = [share * (n - 1) for share in shares]
+    ends = sorted({0, n - 1} | {f(x) for x in at for f in (math.floor, math.ceil)})
+    of = lambda place: F.max(F.when(F.col("place") == place, F.col("score")))
+    between = [(of(math.floor(x)) + (of(math.ceil(x)) - of(math.floor(x))) * (x - math.floor(x))).alias(name) for x, name in zip(at, names)]
+    return placed.where(F.col("place").isin(*ends)).agg(of(0).alias("min"), *between, of(n - 1).alias("max")).select(F.lit(n).cast("long").alias("n"), "min", *names, "max")
 
 
 def trade_off(positive: DataFrame, hard_bins: DataFrame, thresholds: list[float]) -> DataFrame:

@@ -67,12 +67,26 @@ def chronological(spark, sf):
     return G.recent(story_rows(spark, sf), NOW).select("story_id", "newest", F.round("score", 6).alias("score"))
 
 
-@query("g05_diversified_feed")
+# One pick after the other: what is left, each worth less for every pick of its source and of its kind.
+DIVERSE = {
+    **WINDOWED, **CARDS,
+    "pool": f"SELECT s.story_id, s.score, c.source, c.kind FROM (SELECT story_id, score FROM shown ORDER BY score DESC, story_id LIMIT {G.pool_size(LIMIT)}) s JOIN card c ON c.story_id = s.story_id",
+    "picked": f"""SELECT 0 AS place, []::BIGINT[] AS taken, []::VARCHAR[] AS sources, []::VARCHAR[] AS kinds,
+         NULL::STRUCT(story_id BIGINT, source VARCHAR, kind VARCHAR, score DOUBLE, damped DOUBLE) AS best
+       UNION ALL SELECT place + 1, list_append(taken, best.story_id), list_append(sources, best.source), list_append(kinds, best.kind), best FROM (
+         SELECT place, taken, sources, kinds, arg_max(struct_pack(story_id := CAST(story_id AS BIGINT), source := source, kind := kind, score := score, damped := v), (v, score, -story_id)) AS best FROM (
+           SELECT p.place, p.taken, p.sources, p.kinds, c.story_id, c.source, c.kind, c.score,
+             c.score * (pow({G.SOURCE_DECAY}, len(list_filter(p.sources, lambda x: x = c.source))) * pow({G.KIND_DECAY}, len(list_filter(p.kinds, lambda x: x = c.kind)))) AS v
+           FROM picked p JOIN pool c ON p.place < {LIMIT} AND NOT list_contains(p.taken, c.story_id)) q GROUP BY place, taken, sources, kinds) b""",
+}
+
+
+@query("g05_diversified_feed", "SELECT 'all' AS feed, CAST(place AS INTEGER) AS place, best.story_id, best.source, best.kind, round(best.score, 6) AS score, round(best.damped, 6) AS damped FROM picked WHERE place > 0", DIVERSE)
 def diversified(spark, sf):
     stories, members, items, seen = rel(spark, sf, "stories", "story_items", "items", "interactions")
     pool = G.ranked(story_rows(spark, sf), NOW, G.pool_size(LIMIT)).select("story_id", "score")
     card_rows = G.cards(pool, stories, members, items, seen).select("story_id", "source", "kind")
-    return G.diversify(pool.join(card_rows, "story_id"), LIMIT)
+    return G.diversify(pool.join(card_rows, "story_id"), LIMIT).withColumn("score", F.round("score", 6)).withColumn("damped", F.round("damped", 6))
 
 
 @query("g06_lead_items", f"SELECT s.story_id, arg_min(i.item_id, ({RANK})) AS lead FROM story_items s JOIN items i ON i.item_id = s.item_id GROUP BY s.story_id")

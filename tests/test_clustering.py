@@ -257,3 +257,19 @@ def test_topics_of_several_examples_and_muted_words(spark):
     got = readers.in_topic(topics, examples, places, texts, centroids, sources, offered, cards, muted, 0.9).collect()
     # The mean of 1 and 2 is 3's direction; either example belongs in any case.
     assert {(r.reader, r.story_id) for r in got} == {("a", 2), ("a", 3), ("b", 1), ("b", 2), ("d", 3)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 4000])
+def test_quantiles_by_rank(spark, n):
+    """Interpolated as over the whole sorted list, a third of the scores being equal; nulls do not count."""
+    rng = np.random.default_rng(n)
+    scores = rng.normal(size=n)
+    scores[: n // 3] = 0.25
+    rows = [(i, float(x)) for i, x in enumerate(scores)] + [(n, None)]
+    got = calibrate.summary(spark.createDataFrame(rows, "a long, score double")).first()
+    assert got["n"] == n and got["min"] == scores.min() and got["max"] == scores.max()
+    assert np.allclose([got["p5"], got["median"], got["p95"]], np.quantile(scores, [0.05, 0.5, 0.95]), rtol=0, atol=1e-12)
+
+
+def test_quantiles_of_nothing(spark):
+    assert tuple(calibrate.summary(spark.createDataFrame([], "a long, score double")).first()) == (0, None, None, None, None, None)
