@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,32 +85,44 @@ def papers(identifiers: DataFrame, kept: DataFrame) -> DataFrame:
 _BIN = T.StructType([T.StructField("bin", T.IntegerType()), T.StructField("pairs", T.LongType())])
 
 
+def _close(tile: pa.Table, window: int) -> tuple[pa.Table, pa.Table, np.ndarray, np.ndarray]:
+    """Both sides of a tile, their scores, and which of these are of a pair within the window."""
+    earlier = tile.column("earlier")
+    left, right = tile.filter(earlier), tile.filter(pc.invert(earlier))
+    if not left.num_rows or not right.num_rows:
+        return left, right, np.zeros((left.num_rows, right.num_rows)), np.zeros((left.num_rows, right.num_rows), bool)
+    col = lambda t, n: t.column(n).to_numpy()
+    gap = col(right, "at")[None, :] - col(left, "at")[:, None]
+    later = (gap > 0) | ((gap == 0) & (col(right, "item_id")[None, :] > col(left, "item_id")[:, None]))
+    scores = V.as_matrix(left.column("embedding")) @ V.as_matrix(right.column("embedding")).T
+    return left, right, scores, later & (gap <= window)
+
+
 def _tile_bins(window: int):
     schema = pa.schema([("bin", pa.int32()), ("pairs", pa.int64())])
 
     def bins(tile: pa.Table) -> pa.Table:
-        earlier = tile.column("earlier")
-        left, right = tile.filter(earlier), tile.filter(pc.invert(earlier))
-        if not left.num_rows or not right.num_rows:
-            return pa.Table.from_pylist([], schema=schema)
-        col = lambda t, n: t.column(n).to_numpy()
-        a, b = V.as_matrix(left.column("embedding")), V.as_matrix(right.column("embedding"))
-        gap = col(right, "at")[None, :] - col(left, "at")[:, None]
-        later = (gap > 0) | ((gap == 0) & (col(right, "item_id")[None, :] > col(left, "item_id")[:, None]))
-        chosen = (a @ b.T)[later & (gap <= window)]
-        place, n = np.unique(np.floor(np.round(chosen * BINS, 6)).astype(np.int32), return_counts=True)
+        _, _, scores, close = _close(tile, window)
+        place, n = np.unique(np.floor(np.round(scores[close] * BINS, 6)).astype(np.int32), return_counts=True)
         return pa.table({"bin": place, "pairs": n.astype(np.int64)}, schema=schema)
 
     return bins
 
 
-def close_pair_bins(items: DataFrame, window_days: int = HARD_WINDOW_DAYS, block_rows: int = 2048) -> DataFrame:
-    """(bin, pairs): how many pairs of items within the window score in each bin.
+def _tile_pairs(window: int, floor: float):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64())])
 
-    All pairs of a busy week are compared but never written: a task compares
-    two bounded blocks and returns counts by score bin.
-    """
-    window = window_days * 86400
+    def pairs(tile: pa.Table) -> pa.Table:
+        left, right, scores, close = _close(tile, window)
+        x, y = np.nonzero(close & (scores >= floor))
+        one, other = left.column("item_id").to_numpy()[x], right.column("item_id").to_numpy()[y]
+        return pa.table({"a": np.minimum(one, other), "b": np.maximum(one, other), "score": scores[x, y]}, schema=schema)
+
+    return pairs
+
+
+def _tiles(items: DataFrame, window: int, block_rows: int) -> GroupedData:
+    """Items grouped so that each pair within the window meets in one tile of two bounded blocks."""
     rows = items.where("embedding IS NOT NULL").withColumn("bucket", F.floor(F.col("at") / window))
     sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
     placed = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("item_id"), F.col("blocks")))
@@ -126,10 +138,30 @@ def close_pair_bins(items: DataFrame, window_days: int = HARD_WINDOW_DAYS, block
     both = left.select(*tile, *own, F.lit(True).alias("earlier")).unionByName(
         right.select(*tile, *own, F.lit(False).alias("earlier"))
     )
-    counted = both.groupBy(*tile).applyInArrow(_tile_bins(window), _BIN)
+    return both.groupBy(*tile)
+
+
+def close_pair_bins(items: DataFrame, window_days: int = HARD_WINDOW_DAYS, block_rows: int = 2048) -> DataFrame:
+    """(bin, pairs): how many pairs of items within the window score in each bin.
+
+    All pairs of a busy week are compared but never written: a task compares
+    two bounded blocks and returns counts by score bin.
+    """
+    window = window_days * 86400
+    counted = _tiles(items, window, block_rows).applyInArrow(_tile_bins(window), _BIN)
     return counted.groupBy("bin").agg(F.sum("pairs").alias("pairs"))
 
 
+def close_pairs(items: DataFrame, floor: float, window_days: int = HARD_WINDOW_DAYS, block_rows: int = 2048) -> DataFrame:
+    """(a, b, score): the pairs of items within the window that score ``floor`` or more.
+
+    The floor has no default: without one these are all pairs of a week, of which
+    ``close_pair_bins`` gives the counts.
+    """
+    window = window_days * 86400
+    return _tiles(items, window, block_rows).applyInArrow(_tile_pairs(window, floor), "a long, b long, score double")
+
+
 def summary(scores: DataFrame, shares: tuple[float, ...] = (0.05, 0.5, 0.95), names: tuple[str, ...] = ("p5", "median", "p95")) -> DataFrame:
     """n, extremes and linearly interpolated quantiles of a score column; rows without a score do not count.
 

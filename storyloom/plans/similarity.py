@@ -242,7 +242,7 @@ POSITIVE = {
       WHERE (x.type, x.value) IN (SELECT (type, value) FROM held GROUP BY type, value HAVING count(*) BETWEEN 2 AND 8)""",
     "paper_items": """SELECT arg_min(i.item_id, (i.at, i.item_id)) AS item_id, min(i.at) AS t FROM identifiers d JOIN items i ON i.item_id = d.item_id
       WHERE d.type = 'arxiv' AND i.triage_state = 'kept' AND i.kind = 'paper' GROUP BY d.value""",
-    "hard": """SELECT list_dot_product(va.embedding::DOUBLE[], vb.embedding::DOUBLE[]) AS score FROM paper_items a JOIN paper_items b ON a.item_id < b.item_id AND abs(a.t - b.t) <= 604800
+    "hard": """SELECT least(a.item_id, b.item_id) AS a, greatest(a.item_id, b.item_id) AS b, list_dot_product(va.embedding::DOUBLE[], vb.embedding::DOUBLE[]) AS score FROM paper_items a JOIN paper_items b ON a.item_id < b.item_id AND abs(a.t - b.t) <= 604800
       JOIN vectors va ON va.item_id = a.item_id JOIN vectors vb ON vb.item_id = b.item_id""",
     "positive_scores": """SELECT p.*, list_dot_product(va.embedding::DOUBLE[], vb.embedding::DOUBLE[]) AS score FROM positive p JOIN vectors va ON va.item_id = p.a JOIN vectors vb ON vb.item_id = p.b""",
 }
@@ -253,9 +253,13 @@ def _positive_scores(spark, sf, keys=None):
     return K.pair_scores(pairs, relation(spark, sf, "vectors"))
 
 
-def _hard_bins(spark, sf, keys=None):
+def _hard_items(spark, sf, keys=None):
     found = K.papers(keys or stored_identifiers(spark, sf), _kept(spark, sf))
-    return K.close_pair_bins(found.join(relation(spark, sf, "vectors").select("item_id", "embedding"), "item_id"))
+    return found.join(relation(spark, sf, "vectors").select("item_id", "embedding"), "item_id")
+
+
+def _hard_bins(spark, sf, keys=None):
+    return K.close_pair_bins(_hard_items(spark, sf, keys))
 
 
 @query("e19_positive_pairs", "SELECT a, b, type, value FROM positive", POSITIVE)
@@ -268,6 +272,11 @@ def hard_negatives(spark, sf):
     return _hard_bins(spark, sf)
 
 
+@query("e20_hard_pairs", f"SELECT a, b, round(score, 6) AS score FROM hard WHERE score >= {LOW}", POSITIVE)
+def hard_pairs(spark, sf):
+    return K.close_pairs(_hard_items(spark, sf), LOW).withColumn("score", F.round("score", 6))
+
+
 DRAWS = 4000
 DRAWN = "CAST('0x' || substring(md5(CAST(k AS VARCHAR) || ':7:{0}'), 1, 8) AS BIGINT) % (SELECT count(*) FROM placed)"
 RANDOM_SQL = {

@@ -273,3 +273,16 @@ def test_quantiles_by_rank(spark, n):
 
 def test_quantiles_of_nothing(spark):
     assert tuple(calibrate.summary(spark.createDataFrame([], "a long, score double")).first()) == (0, None, None, None, None, None)
+
+
+def test_close_pairs_of_a_floor(spark):
+    """Every pair within a week from the floor on, whichever blocks its items lie in, and as many as the bins count."""
+    rng = np.random.default_rng(12)
+    v, at = random_items(rng, 150, hot=True)
+    rows = frame(spark, v, at, np.zeros(150, int)).repartition(5)
+    got = {(r["a"], r["b"]): r["score"] for r in calibrate.close_pairs(rows, 0.8, 7, block_rows=16).collect()}
+    wide = v.astype(np.float64)
+    want = {(a, b): float(wide[a] @ wide[b]) for a in range(150) for b in range(a + 1, 150) if abs(int(at[a]) - int(at[b])) <= 7 * DAY and wide[a] @ wide[b] >= 0.8}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    counted = sum(r["pairs"] for r in calibrate.close_pair_bins(rows, 7, block_rows=16).collect() if r["bin"] >= 0.8 * calibrate.BINS)
+    assert counted == len(want)
