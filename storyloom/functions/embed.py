@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storyloom.functions.items import embedding_text
+
 BATCH = 64
 Embedder = Callable[[Sequence[str]], np.ndarray]
 
@@ -62,9 +64,25 @@ def single_model(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy(F.size("embedding").alias("dimension")).agg(F.count("*").alias("vectors"))
 
 
-def check_model(vectors: DataFrame) -> int | None:
-    """The one dimension in use; refuses a mix of models."""
-    found = [r["dimension"] for r in single_model(vectors).limit(2).collect()]
-    if len(found) > 1:
-        raise ValueError(f"vectors of different models are mixed: dimensions {sorted(found)}")
-    return found[0] if found else None
+def check_model(vectors: DataFrame, name: str) -> None:
+    """Refuses ``vectors`` (with ``model``, the name each was made with) of any other model than ``name``: they do not compare, whatever their dimension."""
+    other = vectors.where(~F.col("model").eqNullSafe(F.lit(name))).select("model").first()
+    if other is not None:
+        raise ValueError(f"vectors were made with {other['model']!r}, not {name!r}: embed everything again to switch")
+
+
+def pending(items: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Items without a vector, or with one of other content than theirs is now."""
+    held = vectors.select("item_id", F.col("content_hash").alias("embedded_hash"))
+    return items.join(held, "item_id", "left").where(~F.col("embedded_hash").eqNullSafe(F.col("content_hash"))).drop("embedded_hash")
+
+
+def embed_pending(items: DataFrame, vectors: DataFrame, name: str, embedder: Embedder) -> DataFrame:
+    """``vectors`` (item_id, content_hash, model, embedding) after every pending item is embedded by the model ``name``.
+
+    Vectors of items that are gone stay; vectors of another model are refused.
+    """
+    check_model(vectors, name)
+    todo = pending(items, vectors)
+    made = todo.select("item_id", "content_hash", F.lit(name).alias("model"), embedded(embedding_text(), embedder).alias("embedding"))
+    return vectors.select(*made.columns).join(todo.select("item_id"), "item_id", "left_anti").unionByName(made)

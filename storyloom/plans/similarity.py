@@ -14,6 +14,7 @@ from storyloom.operators import similarity as S
 from storyloom.operators import triage as E
 from storyloom.plans.identity import IDENTIFIERS, STRONG, stored_identifiers
 from storyloom.plans.registry import query
+from storyloom.plans.scalars import EMBED_SQL
 
 # Thresholds for the driver's vectors, which lie far apart from each other.
 MERGE, LOW, DAYS = 0.34, 0.28, 14
@@ -82,6 +83,20 @@ def embed_job(spark, sf):
     return each.select("item_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
+@query("e02_embed_pending", f"""
+SELECT item_id, external_id AS content_hash, 'hashed' AS model, dim, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY item_id, external_id)) AS FLOAT) AS DOUBLE), 6) AS value FROM (
+  SELECT item_id, external_id, CAST(('0x' || substring(md5(w), 1, 8)) AS BIGINT) % 64 AS dim, count(*) AS n FROM (
+    SELECT item_id, external_id, unnest(regexp_extract_all(lower({EMBED_SQL}), '[\\pL\\pN]+')) AS w FROM items WHERE item_id % 4 <= 1) a GROUP BY item_id, external_id, dim) b
+UNION ALL SELECT item_id, external_id, 'hashed', 0, 1.0 FROM items WHERE item_id % 4 > 1""")
+def embed_pending(spark, sf):
+    items = relation(spark, sf, "items").withColumn("content_hash", F.col("external_id"))
+    stored = items.withColumn("embedded_hash", F.expr(HASHES)).where("embedded_hash IS NOT NULL").select(
+        "item_id", F.col("embedded_hash").alias("content_hash"), F.lit("hashed").alias("model"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    rows = M.embed_pending(items, stored, "hashed", M.hashed_terms())
+    each = rows.select("item_id", "content_hash", "model", F.posexplode("embedding").alias("dim", "value")).where("value <> 0")
+    return each.withColumn("dim", F.col("dim").cast("long")).withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
 @query("e03_model_guard", "SELECT CAST(len(embedding) AS INTEGER) AS dimension, count(*) AS vectors FROM @embeddings GROUP BY 1")
 def model_guard(spark, sf):
     return M.single_model(table(spark, sf, "embeddings"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from storyloom.functions import embed
 from storyloom.operators import scoring, search, topics
 
 
@@ -83,3 +84,19 @@ def test_twenty_thousand_searches(spark):
     got = {r.key: r.story_id for r in topics.find_story(asked, stories, members, items).collect()}
     want = {k: max(i for i, t in enumerate(titles) if k in t.lower()) for k in keys if any(k in t.lower() for t in titles)}
     assert got == {**want, "17": 17}
+
+
+def test_vectors_of_another_model_are_refused(spark):
+    """Also those of the same dimension; with one model only what is missing or stale is embedded."""
+    item = "item_id long, content_hash string, kind string, title string, summary string, body string, metadata string"
+    items = spark.createDataFrame([(i, f"h{i}", "post", f"word{i}", None, None, None) for i in range(4)], item)
+    made = "item_id long, content_hash string, model string, embedding array<float>"
+    vectors = spark.createDataFrame([(0, "h0", "one", [1.0, 0.0]), (1, "old", "one", [1.0, 0.0]), (9, "h9", "one", [1.0, 0.0])], made)
+    asked = embed.hashed_terms(2)
+    got = {r["item_id"]: (r["content_hash"], r["model"], sum(r["embedding"])) for r in embed.embed_pending(items, vectors, "one", asked).collect()}
+    assert got == {0: ("h0", "one", 1.0), 9: ("h9", "one", 1.0), **{i: (f"h{i}", "one", 1.0) for i in (1, 2, 3)}}
+    for name in ("two", None):
+        mixed = vectors.unionByName(spark.createDataFrame([(5, "h5", name, [0.0, 1.0])], made))
+        with pytest.raises(ValueError, match="not 'one'"):
+            embed.embed_pending(items, mixed, "one", asked)
+    assert embed.embed_pending(items, vectors.limit(0), "one", asked).count() == 4
