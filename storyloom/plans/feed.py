@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.model import NOW, RELATIONS, relation
@@ -9,12 +12,14 @@ from storyloom.operators import bundle as B
 from storyloom.operators import feed as G
 from storyloom.operators import tree as R
 from storyloom.operators import topics as P
-from storyloom.operators import labels as L
-from storyloom.plans.labels import CENTROIDS, DEFAULTS, INHERITED, TREE, entity_matches, story_centroids, tree
+from storyloom.plans.labels import CENTROIDS, DEFAULTS, ENTITIES, ENTITY_SQL, FACETS, INHERITED, KIND_OF, TREE, entity_matches, story_centroids, tree
 from storyloom.plans.registry import query
 from storyloom.plans.scalars import COMMENTS_SQL, POINTS_SQL
+from storyloom.session import scratch
+from storyloom.sources import bundles
 
 DAYS, LIMIT = 30, 20
+DIMENSION = 64
 
 AGG = {"agg": """SELECT s.story_id, max(i.triage_score) AS relevance, count(DISTINCT i.item_id) AS item_count, count(DISTINCT i.source) AS source_count,
    count(DISTINCT s.role) AS role_count, max(i.at) AS newest, min(i.at) AS origin FROM story_items s JOIN items i ON i.item_id = s.item_id GROUP BY s.story_id"""}
@@ -201,23 +206,56 @@ def spine_listing(spark, sf):
     return R.listing(*rel(spark, sf, "spine"))
 
 
+FACET_NAMES = [(slug, slug.capitalize()) for slug, _ in FACETS]
+ISO = "strftime(make_timestamp(CAST({} AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
+BUNDLE = {
+    **KEPT, **CARDS, **CENTROIDS, **ENTITY_SQL,
+    "published": f"""SELECT story_id, slug, newest, score FROM (SELECT k.*, {score_sql('k.newest')} AS score, row_number() OVER (PARTITION BY k.slug ORDER BY k.newest DESC, k.story_id) AS rn
+       FROM kept_rows k JOIN agg a ON a.story_id = k.story_id WHERE floor(k.newest / 86400) >= {(NOW - DAYS * 86400) // 86400}) x WHERE cap = 0 OR rn <= cap""",
+    "said": f"SELECT story_id, string_agg({KIND_OF} || ':' || entity, ',' ORDER BY entity) AS entities FROM entity_hits GROUP BY story_id",
+    "loud": f"SELECT s.story_id, max({POINTS_SQL}) AS points, max({COMMENTS_SQL}) AS comments FROM story_items s JOIN items i ON i.item_id = s.item_id GROUP BY s.story_id",
+    "bytes": "SELECT key AS story_id, array_to_string(list_transform(vec, lambda x: printf('%02x', (256 + CAST(greatest(-127, least(127, round_even(x * 127, 0))) AS INTEGER)) % 256)), '') AS hex FROM centroids",
+    "shelves": "SELECT DISTINCT parent AS slug FROM spine WHERE parent IS NOT NULL",
+}
+
+
 def bundle_lines(spark, sf):
-    """(story lines, item lines) of the bundle."""
-    stories, members, items, seen, homes, spine = rel(spark, sf, "stories", "story_items", "items", "interactions", "story_topics", "spine")
-    settings = R.inherited(spine, tree(spark, sf), DEFAULTS)
+    """The lines of the whole bundle, in its order."""
+    stories, members, items, seen, homes, spine, sources = rel(spark, sf, "stories", "story_items", "items", "interactions", "story_topics", "spine", "sources")
+    closed = tree(spark, sf)
+    settings = R.inherited(spine, closed, DEFAULTS)
     rows = G.within_retention(G.scored(story_rows(spark, sf), NOW), homes, settings, NOW, DEFAULTS["keep_days"])
     chosen = G.newest_per_topic(rows, DEFAULTS["keep_most"], max(settings.agg(F.max("keep_most")).first()[0] or 0, DEFAULTS["keep_most"]))
     chosen = chosen.select("story_id", "newest", "score")
-    labels = P.labels(homes, spine, R.paths(tree(spark, sf)))
-    entities = L.per_story(entity_matches(spark, sf), "entity")
-    lines = B.stories(chosen, G.cards(chosen, stories, members, items, seen), labels, entities, story_centroids(spark, sf), G.engagement(members, items))
-    return lines, B.story_items(chosen, members, items)
-
-
-@query("a22_bundle")
+    labels = P.labels(homes, spine, R.paths(closed))
+    kinds = F.create_map(*[F.lit(x) for kind, name, _ in ENTITIES for x in (name, kind)])
+    entities = entity_matches(spark, sf).select("story_id", F.element_at(kinds, F.col("entity")).alias("kind"), F.col("entity").alias("name"))
+    parts = [
+        B.stories(chosen, G.cards(chosen, stories, members, items, seen), labels, entities, story_centroids(spark, sf), G.engagement(members, items)),
+        B.story_items(chosen, members, items), B.status(items, stories, sources), B.spine(spine),
+        B.facets(spark.createDataFrame(FACET_NAMES, "slug string, name string")), B.vectors(spark, DIMENSION),
+    ]
+    return B.newest_first(reduce(DataFrame.unionByName, parts))
+
+
+@query("a22_bundle", f"""
+SELECT 'story' AS section, p.story_id, c.kind, c.title, c.url, c.source, {ISO.format('c.published_s')} AS published_at, t.slug, t.name, t.parent, u.name AS parent_name,
+  c.summary, c.sources, {ISO.format('p.newest')} AS last_activity, round(p.score, 4) AS score, c.item_count, c.media_url, to_base64(from_hex(b.hex)) AS centroid, x.path,
+  coalesce(e.entities, '') AS entities, l.points, l.comments, NULL::VARCHAR AS description, NULL::VARCHAR AS error, NULL::BIGINT AS stories, NULL::VARCHAR AS newest_item,
+  NULL::BIGINT AS kept, NULL::BIGINT AS rejected, NULL::BIGINT AS pending, NULL::VARCHAR AS encoding, NULL::BIGINT AS dimension, NULL::BIGINT AS scale
+FROM published p JOIN card c ON c.story_id = p.story_id LEFT JOIN spine t ON t.slug = p.slug LEFT JOIN spine u ON u.slug = t.parent LEFT JOIN paths x ON x.slug = t.slug
+LEFT JOIN said e ON e.story_id = p.story_id LEFT JOIN loud l ON l.story_id = p.story_id LEFT JOIN bytes b ON b.story_id = p.story_id
+UNION ALL BY NAME SELECT 'items' AS section, p.story_id, i.kind, i.title, i.url, i.source, {ISO.format('i.published_s')} AS published_at FROM published p JOIN story_items s ON s.story_id = p.story_id JOIN items i ON i.item_id = s.item_id
+UNION ALL BY NAME SELECT 'status' AS section, (SELECT count(*) FROM stories) AS stories, {ISO.format('max(i.at)')} AS newest_item, count(*) FILTER (triage_state = 'kept') AS kept,
+  count(*) FILTER (triage_state = 'rejected') AS rejected, count(*) FILTER (triage_state = 'pending') AS pending FROM items i
+UNION ALL BY NAME SELECT 'broken' AS section, name, last_error AS error FROM sources WHERE enabled AND last_error IS NOT NULL
+UNION ALL BY NAME SELECT 'spine' AS section, s.slug, s.name, s.parent, u.name AS parent_name, CASE WHEN s.slug IN (SELECT slug FROM shelves) THEN s.description END AS description FROM spine s LEFT JOIN spine u ON u.slug = s.parent
+UNION ALL BY NAME SELECT 'facets' AS section, slug, name FROM (VALUES {', '.join(f"('{s}', '{n}')" for s, n in FACET_NAMES)}) f(slug, name)
+UNION ALL BY NAME SELECT 'vectors' AS section, 'int8' AS encoding, max(len(embedding)) AS dimension, 127 AS scale FROM vectors""", BUNDLE)
 def bundle(spark, sf):
-    stories, items = bundle_lines(spark, sf)
-    return stories.select("story_id", F.lit(-1).cast("long").alias("chunk"), "line").unionByName(items.select("story_id", "chunk", "line"))
+    folder = scratch(spark, "bundle")
+    bundles.write(bundle_lines(spark, sf), folder, generated_at="2024-03-01T00:00:00Z")
+    return B.rows(bundles.read(spark, folder))
 
 
 @query("a23_relations", " UNION ALL ".join(f"SELECT '{name}' AS relation, count(*) AS n FROM {name}" for name in RELATIONS))

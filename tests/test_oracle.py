@@ -10,7 +10,7 @@ from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
 CHOSEN = (
-    "a02_discussion_hits a09_releases a13_head_metadata a18_describe_plan b02_ingest_classification b03_upsert b09_prune c04_canonical_url c09_embedding_text "
+    "a02_discussion_hits a09_releases a13_head_metadata a22_bundle a18_describe_plan b02_ingest_classification b03_upsert b09_prune c04_canonical_url c09_embedding_text "
     "d03_cited_links e04_profile_scoring e05_triage_decision e12_best_match_in_window f05_home_by_best_fit f09_tree_paths f10_inherited_settings f18_facet_matches f21_entity_matches "
     "g01_story_aggregates g03_ranked_feed g07_story_cards g11_renewal h05_nearby_stories h09_follow_state h18_read_marks i03_late_items"
 ).split()
