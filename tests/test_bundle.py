@@ -125,4 +125,4 @@ def test_a_story_carries_its_whole_summary_all_labels_and_a_vector_that_points_t
     assert np.abs(back - 127 * vector).max() <= 0.5  # no component is off by more than rounding
     assert (got[2].topics, got[2].entities, got[2].centroid, got[2].engagement) == ([], [], None, None)
     short = bundle.fields(bundle.stories(rows, cards, labels, entities, centroids, loud, summary_limit=40)).first()
-    assert len(short.summary) <= 40
+    assert short.summary == "s" * 40 + "…"
