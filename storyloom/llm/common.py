@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,12 +26,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables of ``stored`` that nothing reads any more."""
+    """Delete tables of ``stored`` that nothing reads any more.
+
+    Files of the shuffles behind them go when the driver's collector finds that
+    nothing refers to these; a job of many rounds has it look here.
+    """
     for df in tables:
         jvm = df.sparkSession._jvm
         for file in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(file)
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def unused(columns: list[str], name: str) -> str:

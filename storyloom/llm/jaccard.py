@@ -21,7 +21,6 @@ their set, null when no row of it has an id.
 
 from __future__ import annotations
 
-
 import zlib
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import stored, unused
+from storyloom.llm.common import drop, stored, unused
 from storyloom.llm.rolling import U, mix, shingle_groups
 from storyloom.operators.cluster import roots
 
@@ -193,7 +192,9 @@ def _shared(prefixes: DataFrame) -> DataFrame:
     kept = tokens.join(several, "token")
     # Tokens passed over on the way are in no other prefix, so not in a set that meets this one here.
     met = F.row_number().over(Window.partitionBy("node").orderBy("place")) - 1
-    return stored(kept.select("token", "node", "n", (F.col("n") - F.col("place") + met).alias("most")), "jaccard-tokens")
+    shared = stored(kept.select("token", "node", "n", (F.col("n") - F.col("place") + met).alias("most")), "jaccard-tokens")
+    drop(several)
+    return shared
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -266,27 +267,36 @@ def similar_pairs(docs: DataFrame, rows: DataFrame, levels, words: int, percent:
     )
     first = _shared(nodes)
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """The sets of the nodes that some pair names, and of no others."""
+    def sets_of(pairs: DataFrame, *columns: str) -> DataFrame:
+        """``columns`` of the sets of the nodes that some pair names, and of no others."""
         named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
         live = stored(named.join(nodes.select("node", "first_id"), "node"), "jaccard-live")
-        return stored(whole_sets(docs, live, levels, words, percent), "jaccard-sets")
+        sets = stored(whole_sets(docs, live, levels, words, percent).select(*columns), "jaccard-sets")
+        drop(live)
+        return sets
 
     # Round one: each token leads its sets to the one that can overlap others most.
     lead = first.groupBy("token").agg(F.max(F.struct((F.col("most") / F.col("n")).alias("share"), (-F.col("node")).alias("_"), "node", "n", "most")).alias("l")).select("token", "l.*")
     near = first.alias("x").join(lead.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & _may_link("x", "y", percent))
     near = stored(near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "jaccard-lead-pairs")
     close = stored(_differ_little(near, nodes, percent), "jaccard-close-pairs")
-    links = stored(_linked(close, sets_of(close), percent), "jaccard-lead-links")
+    sets = sets_of(close, "node", "tokens")
+    links = stored(_linked(close, sets, percent), "jaccard-lead-links")
+    drop(sets, close)
     label = components(links)
 
     # Round two: sets of different components, meeting under every order.
     pairs = stored(_differ_little(_across(first, label, percent).join(near, ["a", "b"], "left_anti"), nodes, percent), "jaccard-pairs")
-    sets = sets_of(pairs)
+    drop(first, near)
+    sets = sets_of(pairs, "node", "n", "tokens", "prefixes")
     for order in range(1, ORDERS):
         own = _shared(sets.select("node", "n", F.get("prefixes", order - 1).alias("prefix")))
-        pairs = stored(pairs.join(_across(own, label, percent), ["a", "b"], "left_semi"), "jaccard-pairs")
-    return links.union(stored(_linked(pairs, sets, percent), "jaccard-links"))
+        met = stored(pairs.join(_across(own, label, percent), ["a", "b"], "left_semi"), "jaccard-pairs")
+        drop(own, pairs)
+        pairs = met
+    last = stored(_linked(pairs, sets, percent), "jaccard-links")
+    drop(sets, pairs, nodes, label)
+    return links.union(last)
 
 
 def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
