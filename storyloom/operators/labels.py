@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.session import cut_lineage
@@ -63,6 +63,7 @@ def entity_stats(entities: DataFrame, matches: DataFrame) -> DataFrame:
     return entities.select("kind", "name").join(named, "name", "left").select("kind", "name", F.coalesce("stories", F.lit(0)).alias("stories"))
 
 
+EXAMPLE_TITLES = 2
 # The shape of a name, the marks around a word, words that are not names.
 PROPER = r"[A-Z][A-Za-z0-9]*(?:[.\-][A-Za-z0-9]+)*"
 EDGES = "()[]{}\"'“”‘’,:;!?"
@@ -92,7 +93,7 @@ def _tokens(summary: Column) -> Column:
 
 def mine_names(story_items: DataFrame, items: DataFrame, stories: DataFrame, known: list[list[str]], since_day: int,
                min_stories: int = 3, limit: int = 15) -> DataFrame:
-    """Proper nouns recurring across recent stories that are not seeded yet.
+    """Proper nouns recurring across recent stories that are not seeded yet, each with the first titles it was met under.
 
     Words are counted by partial aggregates only; the lists that meet at the
     end have one row per distinct capitalised word.
@@ -100,8 +101,8 @@ def mine_names(story_items: DataFrame, items: DataFrame, stories: DataFrame, kno
     recent = stories.where(F.floor(F.col("last_activity") / 86400) >= since_day).select("story_id")
     rows = story_items.join(recent, "story_id", "left_semi").join(items.select("item_id", "title", "summary"), "item_id")
     full = f"^{PROPER}$"
-    words = rows.select("story_id", F.explode(_tokens(F.coalesce("summary", F.lit("")))).alias("t")).select(
-        "story_id", "t.word", "t.place", "t.previous").where("word <> ''")
+    words = rows.select("story_id", "item_id", F.explode(_tokens(F.coalesce("summary", F.lit("")))).alias("t")).select(
+        "story_id", "item_id", "t.word", "t.place", "t.previous").where("word <> ''")
     is_name = (F.col("place") > 0) & F.regexp_like("word", F.lit(full))
     lower_case = ~is_name & (F.col("word") == F.lower("word")) & (F.col("word") != F.upper("word"))
     # The words are read once for all counts: this keeps one row per distinct word,
@@ -114,8 +115,9 @@ def mine_names(story_items: DataFrame, items: DataFrame, stories: DataFrame, kno
     lower = uses.where("NOT is_name").select(F.col("word").alias("low"), F.col("n").alias("low_times"))
     prefix = uses.where("previous IS NOT NULL").groupBy("word").agg(F.max(F.struct("n", "previous")).alias("b"))
     named = words.where(is_name)
-    in_titles = rows.select("story_id", F.explode(F.regexp_extract_all("title", F.lit(f"({PROPER})"), F.lit(1))).alias("word"))
-    spread = in_titles.unionByName(named.select("story_id", "word")).distinct().groupBy("word").agg(F.count("*").alias("stories"))
+    in_titles = rows.select("story_id", "item_id", F.explode(F.regexp_extract_all("title", F.lit(f"({PROPER})"), F.lit(1))).alias("word"))
+    holders = in_titles.unionByName(named.select("story_id", "item_id", "word"))
+    spread = holders.select("story_id", "word").distinct().groupBy("word").agg(F.count("*").alias("stories"))
 
     base = F.split("word", "-")[0]
     base = F.when(F.endswith(base, F.lit("s")) & F.regexp_like(base, F.lit("^[^a-z]*[A-Z][^a-z]*s$")), base.substr(F.lit(1), F.length(base) - 1)).otherwise(base)
@@ -137,4 +139,11 @@ def mine_names(story_items: DataFrame, items: DataFrame, stories: DataFrame, kno
     for names in known:
         taken = taken | F.regexp_like("name", F.lit("(?iU)^(?:" + "|".join(re.sub(r"([^\w\s])", r"\\\1", n) for n in names) + ")$"))
     found = paired.select(name.alias("name"), "word", "stories").where(~taken | (F.col("name") == F.col("word")))
-    return found.select("name", "stories").orderBy(F.desc("stories"), "name").limit(limit)
+    best = cut_lineage(found.orderBy(F.desc("stories"), "name", "word").limit(limit))
+    # Of the few chosen words only, the titles they were met under, in reading order.
+    met = holders.join(best.select("word"), "word", "left_semi").distinct().join(items.select("item_id", "title").where("title <> ''"), "item_id")
+    titles = met.groupBy("word", "title").agg(F.min(F.struct("story_id", "item_id")).alias("first"))
+    nth = F.row_number().over(Window.partitionBy("word").orderBy("first", "title"))
+    shown = titles.withColumn("nth", nth).where(F.col("nth") <= EXAMPLE_TITLES).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("nth", "title"))).alias("shown"))
+    examples = F.coalesce(F.transform("shown", lambda t: t["title"]), F.array().cast("array<string>"))
+    return best.join(shown, "word", "left").select("name", "stories", examples.alias("examples")).orderBy(F.desc("stories"), "name")

@@ -308,16 +308,21 @@ MINING = {
       WHERE s.stories >= 3 AND length(c.word) >= 3 AND lower(c.word) NOT IN ('abstract','announce','type','tags','however','english','chinese','we','our')
         AND coalesce(l.low_times, 0) <= c.times / 4 AND lower(c.word) NOT IN ('on', 'oneat', 'le', 'la aux', 'der', 'ere.th', 'ist')
         AND NOT (regexp_matches(split_part(c.word, '-', 1), '^[A-Z]+s?$'))""",
+    "holders": rf"SELECT story_id, item_id, title, unnest(regexp_extract_all(title, '{L.PROPER}')) AS word FROM recent_members UNION ALL SELECT n.story_id, n.item_id, m.title, n.word FROM named n JOIN recent_members m ON m.item_id = n.item_id",
+    "examples": f"""SELECT word, array_to_string(list(title ORDER BY story_id, item_id, title)[1:{L.EXAMPLE_TITLES}], ' | ') AS titles FROM (
+      SELECT word, title, min((story_id, item_id))[1] AS story_id, min((story_id, item_id))[2] AS item_id FROM holders WHERE title <> '' GROUP BY word, title) x GROUP BY word""",
 }
 
 
 @query("f25_name_mining", """
 SELECT CASE WHEN o.n * 2 >= o.times AND lower(o.prefix) NOT IN ('abstract','announce','type','tags','however','english','chinese','we','our') AND coalesce(l.low_times, 0) <= o.n / 4
-  THEN o.prefix || ' ' || o.word ELSE o.word END AS name, o.stories FROM often o LEFT JOIN low l ON l.low = lower(o.prefix) ORDER BY stories DESC, name LIMIT 15""", MINING)
+  THEN o.prefix || ' ' || o.word ELSE o.word END AS name, o.stories, coalesce(x.titles, '') AS examples FROM often o LEFT JOIN low l ON l.low = lower(o.prefix) LEFT JOIN examples x ON x.word = o.word
+ORDER BY stories DESC, name, o.word LIMIT 15""", MINING)
 def name_mining(spark, sf):
     rel = lambda n: relation(spark, sf, n)
     known = [[name, *aliases] for _, name, aliases in ENTITIES]
-    return L.mine_names(rel("story_items"), spread_relation(spark, sf, "items", "item_id"), rel("stories"), known, (NOW - 30 * 86400) // 86400)
+    found = L.mine_names(rel("story_items"), spread_relation(spark, sf, "items", "item_id"), rel("stories"), known, (NOW - 30 * 86400) // 86400)
+    return found.withColumn("examples", F.array_join("examples", " | "))
 
 
 @query("f26_spine_sync", """

@@ -90,6 +90,15 @@ def test_name_mining(spark):
     assert seeded == ["Flash"] or seeded == []
 
 
+def test_mined_names_show_the_first_two_titles_they_were_met_under(spark):
+    rows = [(0, "", "saw the Astra model"), (1, "same", "saw the Astra model"), (2, "same", "saw the Astra model"), (3, None, "saw the Astra model"), (4, "of Astra", None), (5, "third", "saw the Astra model")]
+    items = spark.createDataFrame(rows, "item_id long, title string, summary string")
+    members = spark.createDataFrame([(5 - i, i, "seed") for i in range(5)] + [(9, 5, "seed")], "story_id long, item_id long, role string")
+    stories = spark.createDataFrame([(i, 100 * 86400) for i in range(10)], "story_id long, last_activity long")
+    got = {r["name"]: r["examples"] for r in labels.mine_names(members, items, stories, [["Claude"]], 0).collect()}
+    assert got == {"Astra": ["of Astra", "same"]}
+
+
 def test_triage_decisions(spark):
     rows = spark.createDataFrame([("GPT news", 0.1, 0.0), ("ad for gpt", 0.9, 0.0), ("x", 0.7, 0.8), ("x", 0.7, 0.0), ("x", 0.5, 0.0), ("x", -0.1, 0.0)], "t string, s double, e double")
     d = triage.decision(F.col("t"), F.col("s"), F.col("e"), 0.62, ["gpt"], ["ad for"])
