@@ -220,6 +220,11 @@ def catalogue(items: DataFrame, story_items: DataFrame, now: int) -> DataFrame:
     return week.join(latest, "source")
 
 
+def busy(rows: DataFrame, at_least: int = BUSY_WEEK) -> DataFrame:
+    """The sources of a catalogue that bring so many items a week that a topic should take them with care."""
+    return rows.where(F.col("week") >= at_least)
+
+
 def source_places(story_sources: DataFrame, story_places: DataFrame) -> DataFrame:
     """Stories each source put in each place."""
     return story_sources.join(story_places, "story_id").groupBy("source", "place").agg(F.count("*").alias("stories"))

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from storyloom.operators import feed, graph, ingest, labels, topics, triage
+from storyloom.operators import feed, graph, ingest, labels, readers, topics, triage
 from storyloom.operators import tree as R
 
 AXES = np.eye(4)
@@ -99,6 +99,15 @@ def test_mined_names_show_the_first_two_titles_they_were_met_under(spark):
     assert got == {"Astra": ["of Astra", "same"]}
 
 
+def test_a_busy_source_brings_three_hundred_items_a_week(spark):
+    week, rows = 7 * 86400, []
+    for source, n, age in (("busy", 300, 1), ("calm", 299, 1), ("was busy", 400, week)):
+        rows += [(len(rows) + k, source, f"t{k}", 10 * week - age) for k in range(n)]
+    items = spark.createDataFrame(rows, "item_id long, source string, title string, at long")
+    got = readers.busy(readers.catalogue(items, items.select("item_id"), 10 * week)).collect()
+    assert [(r["source"], r["week"]) for r in got] == [("busy", 300)]
+
+
 def test_triage_decisions(spark):
     rows = spark.createDataFrame([("GPT news", 0.1, 0.0), ("ad for gpt", 0.9, 0.0), ("x", 0.7, 0.8), ("x", 0.7, 0.0), ("x", 0.5, 0.0), ("x", -0.1, 0.0)], "t string, s double, e double")
     d = triage.decision(F.col("t"), F.col("s"), F.col("e"), 0.62, ["gpt"], ["ad for"])
