@@ -16,12 +16,13 @@ from storyloom.session import scratch
 
 
 def stream_of(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """A table's files as a stream; each file is delivered once."""
+    """A table's files as a stream, be it one file or a folder of them; each file is delivered once."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    # A stream takes a single file only by a pattern; this one matches the table's path alone.
+    return reader.parquet(f"{folder}/{name}.parque[t]")
 
 
 def drain(stream: DataFrame, checkpoint: str, sink: str | None = None, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> None:

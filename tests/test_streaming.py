@@ -52,6 +52,17 @@ def test_a_replayed_batch_replaces_its_first_try(spark, tmp_path):
     assert store.before().count() == 4
 
 
+def test_a_table_of_one_file_and_one_of_many_are_streamed_alike(spark, tmp_path):
+    rows = spark.range(12).repartition(3)
+    rows.write.parquet(str(tmp_path / "many.parquet"))
+    spark.range(5).toPandas().to_parquet(tmp_path / "one.parquet")
+    for name, want in (("many", 12), ("one", 5)):
+        stream = J.stream_of(spark, str(tmp_path), name, 1)
+        for _ in range(2):
+            J.drain(stream, str(tmp_path / f"cp-{name}"), str(tmp_path / f"out-{name}"))
+        assert sorted(r.id for r in spark.read.parquet(str(tmp_path / f"out-{name}")).collect()) == list(range(want))
+
+
 def test_the_checkpoint_folder_is_set(spark):
     assert checkpoint_folder(spark) and spark.sparkContext.getCheckpointDir()
 
