@@ -286,3 +286,44 @@ def test_close_pairs_of_a_floor(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
     counted = sum(r["pairs"] for r in calibrate.close_pair_bins(rows, 7, block_rows=16).collect() if r["bin"] >= 0.8 * calibrate.BINS)
     assert counted == len(want)
+
+
+def test_offers_against_every_topic_and_story(spark):
+    """Random topics, listed twice with other definitions, too; against pair by pair, in lists of a few rows."""
+    rng = np.random.default_rng(5)
+    definitions, sources = ["a", "b", "c"], ["s", "t", "u"]
+    some = lambda of, n: sorted(set(rng.choice(of, n).tolist()))
+    topics = [(int(k) % 4, f"t{k}", some(definitions, 2), some(sources, 2)) for k in range(30)]
+    stories = {i: (some(sources, 1), bool(i % 3), None if i % 7 == 0 else int(rng.integers(0, 1000))) for i in range(60)}
+    fitting = sorted({(str(rng.choice(definitions)), int(i)) for i in rng.integers(0, 60, 120)})
+    asking = spark.createDataFrame(topics, "reader long, topic_key string, says array<string>, sources array<string>")
+    fits = spark.createDataFrame([(d, i, *stories[i]) for d, i in fitting], "definition string, story_id long, by array<string>, fresh boolean, published_s long")
+    want = {(r, k, i) for r, k, says, takes in topics for d, i in fitting if d in says and set(takes) & set(stories[i][0])}
+    seen = [(int(r), int(i), "seen") for r, i in rng.integers(0, [4, 60], (150, 2))]
+    marks, read = spark.createDataFrame(seen, "reader long, story_id long, action string"), {(r, i) for r, i, _ in seen}
+    old = readers.LIST_ROWS
+    for rows in (old, 3):
+        readers.LIST_ROWS = rows
+        try:
+            takers, offered = readers.offers(asking, fits, ("sources",), ("by",), lambda s: readers._shared(s["by"], F.col("sources")))
+            each = readers.taken(takers, offered, task_rows=50)
+            got = [tuple(r) for r in each.select("reader", "topic_key", "story_id").collect()]
+            assert set(got) == want and len(got) == len(want)
+            new = {(r, k, i) for r, k, i in want if stories[i][1] and (r, i) not in read}
+            flagged = [tuple(r) for r in readers.is_new(each, marks).select("reader", "topic_key", "story_id", "is_new").collect()]
+            assert sorted(flagged) == sorted((*w, w in new) for w in want)
+            counts = {r.topic_key: (r.new, r.stories) for r in readers.new_counts(takers, offered, marks).collect()}
+            assert counts == {k: (sum(n[1] == k for n in new), sum(w[1] == k for w in want)) for k in {w[1] for w in want}}
+            feed = [tuple(r) for r in readers.read_order(takers, offered).collect()]
+            assert len(feed) == len(set(feed)) and set(feed) == {(r, i, stories[i][2]) for r, _, i in want}
+            when = [(r, p is None, -(p or 0)) for r, _, p in feed]
+            assert when == sorted(when)
+        finally:
+            readers.LIST_ROWS = old
+
+
+def test_topics_of_one_offer_meet_its_stories_once(spark):
+    """What is moved are lists: as many rows as offers have, not as topics times stories."""
+    asking = spark.createDataFrame([(k, f"t{k}", ["a"]) for k in range(300)], "reader long, topic_key string, says array<string>")
+    takers, offered = readers.offers(asking, spark.range(200).selectExpr("'a' AS definition", "id AS story_id"))
+    assert offered.count() == 1 and readers.taken(takers, offered).count() == 60_000
