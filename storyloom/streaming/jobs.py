@@ -154,18 +154,23 @@ class ReadMarks(StatefulProcessor):
             ends = batch.loc[batch["action"] == "end", "seq"]
             if len(ends):
                 latest = max(latest, int(ends.max()))
-            for story, part in batch[batch["action"] != "end"].groupby("story_id"):
-                shown_new = part.loc[part["action"] == "shown", "seq"]
-                passed_new = part.loc[part["action"] == "passed", "seq"]
-                shown, passed, done = self.stories.getValue((int(story),)) if self.stories.containsKey((int(story),)) else (None, None, False)
-                if len(shown_new):
-                    shown = int(shown_new.min()) if shown is None else min(shown, int(shown_new.min()))
-                if len(passed_new):
-                    passed = int(passed_new.max()) if passed is None else max(passed, int(passed_new.max()))
+            # One pass over the batch; the state is asked only where the reader has some, and told only what changed.
+            first, last = (batch[batch["action"] == action].dropna(subset=["story_id", "seq"]).groupby("story_id")["seq"] for action in ("shown", "passed"))
+            firsts, lasts = first.min().to_dict(), last.max().to_dict()
+            some = self.stories.exists()
+            for story in firsts.keys() | lasts.keys():
+                at = (int(story),)
+                held = self.stories.getValue(at) if some and self.stories.containsKey(at) else (None, None, False)
+                shown, passed, done = held
+                if story in firsts:
+                    shown = int(firsts[story]) if shown is None else min(shown, int(firsts[story]))
+                if story in lasts:
+                    passed = int(lasts[story]) if passed is None else max(passed, int(lasts[story]))
                 now_read = shown is not None and max(passed if passed is not None else -1, latest) > shown
                 if now_read and not done:
                     read.append(int(story))
-                self.stories.updateValue((int(story),), (shown, passed, done or now_read))
+                if (shown, passed, done or now_read) != tuple(held):
+                    self.stories.updateValue(at, (shown, passed, done or now_read))
         if latest > end:
             self.end.update((latest,))
             for (story,), (shown, passed, done) in list(self.stories.iterator()):
