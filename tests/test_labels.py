@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from storyloom.functions import vectors
 from storyloom.operators import feed, graph, ingest, labels, readers, topics, triage
 from storyloom.operators import tree as R
 
@@ -199,6 +200,34 @@ def test_own_topics_join_the_tree_in_their_readers_picture(spark):
     _same(_by_key(lone), _stands_out([o for o in own if o["reader"] == 2], 3))
 
 
+def test_nodes_at_one_place_meet_once(spark, monkeypatch):
+    """Many nodes at few places: as many rows reach the tiles as there are places, with the results of all nodes."""
+    rng = np.random.default_rng(8)
+    told = [[float(x) for x in rng.normal(size=6)] for _ in range(7)]
+    kind = lambda i: ("own", 1, None) if i % 3 else ("leaf", 1 + i % 2, f"p{i % 2}")
+    rows = [{"reader": 1 + i % 2, "key": f"k{i:03d}", **dict(zip(("kind", "depth", "parent"), kind(i))), "vector": told[i % 7]} for i in range(240)]
+    # A reader with a key twice, at two places.
+    rows += [{"reader": 3, "key": f"k{i % 8}", "kind": "own", "depth": 1, "parent": None, "vector": told[i % 5]} for i in range(11)]
+    fields = "reader long, " + NODE_FIELDS
+    frame = spark.createDataFrame([tuple(r[c.split()[0]] for c in fields.split(", ")) for r in rows], fields)
+    met, tiles = [], graph._tiles
+    monkeypatch.setattr(graph, "_tiles", lambda left, right, *more: met.append(left.count()) or tiles(left, right, *more))
+    got = graph.closest(frame, 3, block_rows=4).collect()
+    assert sorted(met) == [11, len({(r["reader"], r["kind"], r["depth"], r["parent"], tuple(r["vector"])) for r in rows[:240]})]
+    for reader in (1, 2):
+        _same(_by_key([r for r in got if r["reader"] == reader]), _stands_out([r for r in rows if r["reader"] == reader], 3))
+    again = graph._standing_out(tiles(*[graph._framed(frame).where("reader = 3").withColumns({"scope": F.lit("3"), "deal": F.xxhash64("key")})] * 2, 3, 4), 3).collect()
+    assert sorted(map(tuple, again)) == sorted(tuple(r) for r in got if r["reader"] == 3)
+
+
+def test_unit_makes_its_vector_once(spark):
+    """What makes the vector stands in the plan once, not again for every component; a vector without length stays."""
+    made = vectors.unit(F.transform(F.array(F.col("id") * 3, F.col("id") * 4), lambda x: x * 7))
+    got = spark.range(3).select(made.alias("v"))
+    assert [r["v"] for r in got.collect()] == [[0.0, 0.0], [0.6, 0.8], [0.6, 0.8]]
+    assert got._jdf.queryExecution().analyzed().toString().count("cast(7 as bigint)") == 1
+
+
 def test_own_topics_without_stories_lie_at_their_own_vector(spark):
     topics = spark.createDataFrame([(1, "a", "n:a", None), (1, "b", "n:b", [0.0, 2.0]), (2, "c", "n:c", None)], "reader long, topic_key string, definition string, vector array<double>")
     fitting = spark.createDataFrame([("n:a", 7), ("n:b", 8)], "definition string, story_id long")
