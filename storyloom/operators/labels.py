@@ -105,16 +105,19 @@ def mine_names(story_items: DataFrame, items: DataFrame, stories: DataFrame, kno
         "story_id", "item_id", "t.word", "t.place", "t.previous").where("word <> ''")
     is_name = (F.col("place") > 0) & F.regexp_like("word", F.lit(full))
     lower_case = ~is_name & (F.col("word") == F.lower("word")) & (F.col("word") != F.upper("word"))
-    # The words are read once for all counts: this keeps one row per distinct word,
-    # use and word before, and the counts below come from the written copy.
+    # The texts are cut into words once for all counts: this keeps a row per lower-case
+    # word, and per name, word before and member, and what follows reads the written copy.
     before_it = F.when(is_name & F.regexp_like("previous", F.lit(full)), F.col("previous"))
+    of_name = lambda c: F.when(is_name, F.col(c)).alias(c)
     uses = cut_lineage(
-        words.where(is_name | lower_case).groupBy("word", is_name.alias("is_name"), before_it.alias("previous")).agg(F.count("*").alias("n"))
+        words.where(is_name | lower_case).groupBy("word", is_name.alias("is_name"), before_it.alias("previous"), of_name("story_id"), of_name("item_id"))
+        .agg(F.count("*").alias("n"))
     )
-    capital = uses.where("is_name").groupBy("word").agg(F.sum("n").alias("times"))
+    named = uses.where("is_name")
+    capital = named.groupBy("word").agg(F.sum("n").alias("times"))
     lower = uses.where("NOT is_name").select(F.col("word").alias("low"), F.col("n").alias("low_times"))
-    prefix = uses.where("previous IS NOT NULL").groupBy("word").agg(F.max(F.struct("n", "previous")).alias("b"))
-    named = words.where(is_name)
+    pairs = named.where("previous IS NOT NULL").groupBy("word", "previous").agg(F.sum("n").alias("n"))
+    prefix = pairs.groupBy("word").agg(F.max(F.struct("n", "previous")).alias("b"))
     in_titles = rows.select("story_id", "item_id", F.explode(F.regexp_extract_all("title", F.lit(f"({PROPER})"), F.lit(1))).alias("word"))
     holders = in_titles.unionByName(named.select("story_id", "item_id", "word"))
     spread = holders.select("story_id", "word").distinct().groupBy("word").agg(F.count("*").alias("stories"))

@@ -236,6 +236,26 @@ def test_own_topics_without_stories_lie_at_their_own_vector(spark):
     assert got == {"own:a": [1.0, 0.0], "own:b": [0.0, 1.0]}
 
 
+def test_names_are_mined_from_words_cut_once(spark, monkeypatch):
+    """Three stories of two members each; the texts are cut into words by one job."""
+    said = [(i // 2, i, f"T{i}", f"here Ada Lovelace met Babbage and {'babbage ' * (i == 0)}wrote. Then Ada Lovelace left.") for i in range(6)]
+    members = spark.createDataFrame([(s, i) for s, i, _, _ in said], "story_id long, item_id long")
+    items = spark.createDataFrame([(i, t, x) for _, i, t, x in said], "item_id long, title string, summary string")
+    stories = spark.createDataFrame([(s, 86400 * 9) for s in range(3)], "story_id long, last_activity long")
+    cut, tokens = spark.sparkContext.accumulator(0), labels._tokens
+
+    @F.udf("string")
+    def told(text):
+        cut.add(1)
+        return text
+
+    monkeypatch.setattr(labels, "_tokens", lambda summary: tokens(told(summary)))
+    got = [tuple(r) for r in labels.mine_names(members, items, stories, [["Zed"]], 1).collect()]
+    # Ada follows a name in half of its uses, Lovelace in all, Babbage in none.
+    assert got == [("Ada Lovelace", 3, ["T0", "T1"]), ("Babbage", 3, ["T0", "T1"]), ("Then Ada", 3, ["T0", "T1"])]
+    assert cut.value == 6
+
+
 def test_ingest_outcomes(spark):
     now = 100 * 86400
     item = "source string, external_id string, kind string, url string, title string, author string, published_s long, summary string, body string, media_url string, metadata string, seq int"
