@@ -29,7 +29,13 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Scaled to length one; a vector without length stays as it is."""
-    # Vector and length are bound once: a lambda computes again, for every component, what stands inside it.
+    length = norm(a)
+    scale = F.when(length == 0, F.lit(1.0)).otherwise(length)
+    return F.transform(a, lambda x: x.cast("double") / scale)
+
+
+def unit_of_made(a: Column) -> Column:
+    """``unit`` of a vector that is costly to make: vector and length are bound, for a lambda makes again, per component, what stands inside it."""
     by = lambda v, length: F.transform(v, lambda x: x.cast("double") / F.when(length == 0, F.lit(1.0)).otherwise(length))
     return bind(a, lambda v: bind(norm(v), lambda length: by(v, length)))
 

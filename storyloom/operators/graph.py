@@ -47,7 +47,7 @@ def own_nodes(topics: DataFrame, fitting: DataFrame, centroids: DataFrame) -> Da
     stories at the topic's own vector, and without either there is no node.
     """
     means = topic_vectors(fitting.select(F.col("definition").alias("place"), "story_id"), centroids).withColumnRenamed("vector", "mean")
-    said = V.unit(V.packed(F.col("vector")).cast("array<double>"))
+    said = V.unit_of_made(V.packed(F.col("vector")).cast("array<double>"))
     # The test reads both columns as they are, so that what is made of them is made once.
     rows = topics.join(means, F.col("definition") == F.col("place"), "left").where("mean IS NOT NULL OR vector IS NOT NULL").withColumn("at", F.coalesce("mean", said))
     return rows.select("reader", F.concat(F.lit("own:"), "topic_key").alias("key"), F.lit("own").alias("kind"), F.lit(1).alias("depth"),

@@ -222,7 +222,7 @@ def test_nodes_at_one_place_meet_once(spark, monkeypatch):
 
 def test_unit_makes_its_vector_once(spark):
     """What makes the vector stands in the plan once, not again for every component; a vector without length stays."""
-    made = vectors.unit(F.transform(F.array(F.col("id") * 3, F.col("id") * 4), lambda x: x * 7))
+    made = vectors.unit_of_made(F.transform(F.array(F.col("id") * 3, F.col("id") * 4), lambda x: x * 7))
     got = spark.range(3).select(made.alias("v"))
     assert [r["v"] for r in got.collect()] == [[0.0, 0.0], [0.6, 0.8], [0.6, 0.8]]
     assert got._jdf.queryExecution().analyzed().toString().count("cast(7 as bigint)") == 1
