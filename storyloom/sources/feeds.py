@@ -65,6 +65,12 @@ def _whole_children(xml: Column, opening: Column, closing: Column) -> Column:
     return F.concat(opening, F.array_join(as_text, ""), closing)
 
 
+def _settled(rows: DataFrame) -> DataFrame:
+    """``rows``, computed once a row: a condition on a generator's output stays above it, so the columns
+    it reads are not worked out a second time, each time they are named, to test it."""
+    return rows.select(F.explode_outer(F.array(F.struct(*rows.columns))).alias("r")).select("r.*")
+
+
 def scan(payloads: DataFrame) -> DataFrame:
     """(feed, place, e, piece): every entry of a payload (feed, body) parsed on its own; ``e`` is null where that fails.
 
@@ -85,7 +91,7 @@ def scan(payloads: DataFrame) -> DataFrame:
     parsed = parsed.withColumn("e", F.when(good(F.col("e")), F.col("e")).otherwise(F.from_xml(_escaped(whole), ENTRY)))
     parsed = parsed.withColumn("e", F.when(good(F.col("e")), F.col("e")).when(
         opening != "", F.from_xml(_whole_children(_escaped(F.col("piece")), opening, F.col("closing")), ENTRY)))
-    return parsed.select("feed", "place", F.when(good(F.col("e")), F.col("e")).alias("e"), "piece")
+    return _settled(parsed.select("feed", "place", F.when(good(F.col("e")), F.col("e")).alias("e"), "piece"))
 
 
 def entries(payloads: DataFrame) -> DataFrame:
@@ -107,7 +113,7 @@ def entries(payloads: DataFrame) -> DataFrame:
 
 
 def _addressable(payloads: DataFrame) -> DataFrame:
-    return entries(payloads).withColumn("plain", X.strip_html(F.col("title")))
+    return _settled(entries(payloads).withColumn("plain", X.strip_html(F.col("title"))))
 
 
 def quarantined(payloads: DataFrame) -> DataFrame:

@@ -110,3 +110,12 @@ def test_feed_times(spark):
             "Thursday, 01 Jan 26 20:04:05 MST": 1767323045, "2026-01-02T03:04:05Z": 1767323045, "nonsense": None, "Fri, 02 Jan 2026 03:04:05 XYZ": None}
     rows = spark.createDataFrame([(t,) for t in when], "v string").select("v", feeds.feed_time(F.col("v")).alias("s"))
     assert {r.v: r.s for r in rows.collect()} == when
+
+
+def test_an_entry_is_parsed_once_however_its_items_are_filtered(spark):
+    payloads = spark.createDataFrame([("f", "<rss><item><title>a &amp;amp; b</title><link>http://e/1</link></item><item><title>no link</title></item></rss>")], "feed string, body string")
+    for rows, kept in ((feeds.normalise(payloads), 1), (feeds.quarantined(payloads), 1)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        # As it comes, with its ampersands mended, from its whole children; a filter moved below would name them again.
+        assert plan.count("from_xml(") == 3
+        assert rows.count() == kept
