@@ -2,6 +2,7 @@
 
 A stage is (name, function); a function takes (spark, docs, sf_dir) and returns
 the documents it keeps, with their columns. The last returns the packed pieces.
+Their rows are whole texts, so the session moves few at a time to Python workers.
 """
 
 from __future__ import annotations
@@ -10,11 +11,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from storyloom.llm import decontamination, jaccard, lines, packing, quality
-from storyloom.llm.common import stored, table
+from storyloom.llm.common import set_small_batches, stored, table
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier, fitted on the labelled ones, rejects go."""
+    set_small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -30,11 +32,13 @@ def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, re-parameterised or not, go."""
+    set_small_batches(spark)
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
+    set_small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -223,3 +224,20 @@ def test_pipeline_equals_its_stages(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     count = lambda rows: sorted((r.doc_id, r.doc_tokens) for r in rows.where("start = 0").collect())
     assert count(corpus_pipeline.run(spark, sf)) == count(last)
+
+
+def test_pipeline_moves_few_texts_at_a_time(spark):
+    name, sf = "spark.sql.execution.arrow.maxRecordsPerBatch", "/root/testdata/sf0.001"
+    before = spark.conf.get(name, None)
+
+    def sizes(batches):
+        yield pa.RecordBatch.from_pydict({"n": [max(b.num_rows for b in batches)]})
+
+    docs = spark.range(2500).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text")
+    try:
+        for stage in (corpus_pipeline.classify_quality, corpus_pipeline.decontaminate, corpus_pipeline.pack):
+            spark.conf.set(name, "10000")
+            stage(spark, docs, sf)
+            assert docs.coalesce(1).mapInArrow(sizes, "n long").first().n <= 1000
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
