@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import drop, stored, unused
+from storyloom.llm.common import drop, small_batches, stored, unused
 from storyloom.llm.rolling import U, mix, shingle_groups
 from storyloom.operators.cluster import roots
 
@@ -302,9 +302,11 @@ def similar_pairs(docs: DataFrame, rows: DataFrame, levels, words: int, percent:
 def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id) per row of ``docs``."""
     spark = docs.sparkSession
-    levels = spark.sparkContext.broadcast(rarity_levels(docs, words))
-    rows = stored(described(docs, levels, words, percent), "jaccard-rows")
-    label = components(similar_pairs(docs, rows, levels, words, percent))
+    with small_batches(spark):
+        levels = spark.sparkContext.broadcast(rarity_levels(docs, words))
+        rows = stored(described(docs, levels, words, percent), "jaccard-rows")
+        links = similar_pairs(docs, rows, levels, words, percent)
+    label = components(links)
     # A set is a node by its own name, for an id may have several sets; ids come in at the end.
     named = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("first_id")).join(
         label, F.col("set_key") == F.col("node"), "left").select("set_key", "first_id", F.coalesce("component", "set_key").alias("component"))

@@ -73,7 +73,7 @@ def _runs(found: np.ndarray, size: int) -> np.ndarray:
 
 
 #: Bytes of text worked on in one go.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 
 
 def shingle_groups(texts: list[str | None], size: int):

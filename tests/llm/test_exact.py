@@ -179,3 +179,11 @@ def test_warc_round_trip(spark):
     assert hits.count() == 3 + 1 + 1200
     payloads = {bytes(r.payload) for r in warc.read(hits.where("url_key = 'b,a)/x'"), folder).collect() if r.payload is not None}
     assert payloads == {"<p>é".encode()}
+
+
+def test_jaccard_moves_few_rows_at_a_time(spark, docs, monkeypatch):
+    name, seen, levels = "spark.sql.execution.arrow.maxRecordsPerBatch", [], jaccard.rarity_levels
+    monkeypatch.setattr(jaccard, "rarity_levels", lambda *given: (seen.append(int(spark.conf.get(name, "10000"))), levels(*given))[1])
+    before = spark.conf.get(name, None)
+    jaccard.grouped(docs)
+    assert seen and max(seen) <= 1000 and spark.conf.get(name, None) == before
