@@ -110,30 +110,52 @@ def _marks(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(k, 256), axis=1, bitorder="little").view(np.int64)
 
 
+def _sketch(tokens: np.ndarray) -> bytes:
+    """Marks as ``_marks`` that grow with the set, at least two bits per token; empty where those say it already."""
+    bits = 1 << (2 * len(tokens) - 1).bit_length()
+    if bits <= 64 * len(MARKS):
+        return b""
+    odd = np.bincount((tokens & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _apart(one: bytes, other: bytes) -> int:
+    """Tokens that two sets differ in at least, by their sketches; the longer is folded to the shorter's length."""
+    x, y = sorted((np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)), key=len)
+    if not len(x):
+        return 0
+    while len(y) > len(x):
+        half = len(y) // 2
+        y = y[:half] ^ y[half:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _signed(tokens: np.ndarray) -> list:
     return tokens.view(np.int64).tolist()
 
 
 def described(docs: DataFrame, levels, words: int, percent: int) -> DataFrame:
-    """(doc_id, text_key, set_key, n, marks, prefix) per row; the key is null and the prefix empty without words."""
+    """(doc_id, text_key, set_key, n, marks, sketch, prefix) per row; the key is null and the prefix empty without words."""
     def read(batches):
         table = np.frombuffer(levels.value, np.uint8)
         for batch in batches:
-            keys, sizes, prefixes, marks = [], [], [], [np.zeros((0, 4), np.int64)]
+            keys, sizes, prefixes, sketches, marks = [], [], [], [], [np.zeros((0, 4), np.int64)]
             for _, bounds, tokens in shingle_groups(batch.column("text").to_pylist(), words):
                 ranks, size = _ranks(tokens, table, 0), np.diff(bounds)
                 keys += [key if n else None for key, n in zip(_set_keys(tokens, bounds).tolist(), size.tolist())]
                 sizes += size.tolist()
                 marks.append(_marks(tokens, bounds))
+                sketches += [_sketch(tokens[a:b]) if a < b else b"" for a, b in zip(bounds[:-1], bounds[1:])]
                 prefixes += [_signed(_prefix(tokens[a:b], ranks[a:b], percent)) if a < b else [] for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()),
-                 *(pa.array(np.concatenate(marks)[:, k]) for k in range(4)), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "set_key", "n", *MARKS, "prefix"],
+                 *(pa.array(np.concatenate(marks)[:, k]) for k in range(4)), pa.array(sketches, pa.binary()),
+                 pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "set_key", "n", *MARKS, "sketch", "prefix"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(read, "doc_id long, text_key long, set_key long, n long, m0 long, m1 long, m2 long, m3 long, prefix array<long>")
+    return rows.mapInArrow(read, "doc_id long, text_key long, set_key long, n long, m0 long, m1 long, m2 long, m3 long, sketch binary, prefix array<long>")
 
 
 def _live_bits(live: DataFrame) -> bytes:
@@ -205,12 +227,25 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 
 
 def _differ_little(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose marks differ in no more bits than the sets of a link may differ in tokens."""
+    """The pairs whose marks, then sketches, differ in no more bits than the sets of a link may differ in tokens.
+
+    The marks of a long set are full whatever it holds; its sketch still tells, and only pairs that pass the marks move sketches.
+    """
     side = lambda at: nodes.select(F.col("node").alias(at), F.struct("n", *MARKS).alias(f"{at}_m"))
     bits = sum((F.bit_count(F.col(f"a_m.{m}").bitwiseXOR(F.col(f"b_m.{m}"))) for m in MARKS), F.lit(0))
     total = F.col("a_m.n") + F.col("b_m.n")
     needed = F.ceil(total * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-6))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(bits <= total - 2 * needed).select("a", "b").distinct()
+    close = pairs.join(side("a"), "a").join(side("b"), "b").where(bits <= total - 2 * needed).select("a", "b", (total - 2 * needed).alias("may")).distinct()
+
+    def compare(batches):
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("one", "other", "may"))
+            at = pa.array([row for row, (one, other, may) in enumerate(zip(*columns)) if _apart(one, other) <= may], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
+
+    sketch = lambda at, name: nodes.select(F.col("node").alias(at), F.col("sketch").alias(name))
+    met = close.join(sketch("a", "one"), "a").join(sketch("b", "other"), "b")
+    return met.select("a", "b", "may", "one", "other").mapInArrow(compare, "a long, b long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -262,7 +297,7 @@ def _across(tokens: DataFrame, label: DataFrame, percent: int) -> DataFrame:
 def similar_pairs(docs: DataFrame, rows: DataFrame, levels, words: int, percent: int) -> DataFrame:
     """(a, b): links between nodes that, with the nodes themselves, give the components."""
     nodes = stored(
-        rows.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("node")).agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("n", *MARKS, "prefix")))
+        rows.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("node")).agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in ("n", *MARKS, "sketch", "prefix")))
         .where("first_id IS NOT NULL"), "jaccard-nodes",
     )
     first = _shared(nodes)

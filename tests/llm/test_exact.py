@@ -6,6 +6,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from storyloom.llm import jaccard, lines, secrets, suffixes, warc
 from tests.llm.conftest import ordered
 
@@ -181,6 +183,33 @@ def test_warc_round_trip(spark):
     assert payloads == {"<p>é".encode()}
 
 
+def test_long_sets_are_told_apart_unread(spark):
+    """Marks of fixed size are full for long sets and let every pair pass."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(1500)]
+    half, near = base[:900] + [f"v{rng.randrange(10**6)}" for _ in range(600)], base[:1490] + ["x"] * 10
+    rows = spark.createDataFrame([(k, " ".join(words)) for k, words in enumerate((base, half, near, base[:12], base[:11]))], "doc_id long, text string")
+    levels = spark.sparkContext.broadcast(bytes(1 << jaccard.BUCKET_BITS))
+    found = jaccard.described(rows, levels, 4, 85).cache()
+    nodes = found.withColumnRenamed("set_key", "node")
+    node = {r.doc_id: r.node for r in nodes.collect()}
+    pairs = spark.createDataFrame([(node[0], node[1]), (node[0], node[2]), (node[3], node[4])], "a long, b long")
+    got = {(r.a, r.b) for r in jaccard._differ_little(pairs, nodes, 85).collect()}
+    assert got == {(node[0], node[2]), (node[3], node[4])}
+
+
+def test_sketches_never_say_too_much():
+    rng = np.random.default_rng(4)
+    for n in (60, 130, 300, 1000, 5000):
+        one = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for kept in (n, n - 1, n * 9 // 10, n // 2):
+            for more in (0, 1, n // 9, n):
+                other = np.unique(np.concatenate([one[:kept], rng.integers(0, 1 << 63, more, dtype=np.uint64)]))
+                apart = jaccard._apart(jaccard._sketch(one), jaccard._sketch(other))
+                assert apart <= len(np.setxor1d(one, other))
+    assert jaccard._apart(b"", jaccard._sketch(one)) == 0
+
+
 def test_jaccard_moves_few_rows_at_a_time(spark, docs, monkeypatch):
     name, seen, levels = "spark.sql.execution.arrow.maxRecordsPerBatch", [], jaccard.rarity_levels
     monkeypatch.setattr(jaccard, "rarity_levels", lambda *given: (seen.append(int(spark.conf.get(name, "10000"))), levels(*given))[1])
