@@ -10,12 +10,13 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 import corpus_pipeline
 from storyloom.llm import decontamination, fingerprints, jaccard, lines, packing, quality, toxicity
 from storyloom.llm.common import bounded_sample, unused
 from storyloom.llm.plans import QUERIES
-from storyloom.llm.tokens import Tokens
+from storyloom.llm.tokens import WORD_END, Tokens
 from tests.llm.conftest import prose
 
 SF, VOCABULARY = "/root/testdata/sf0.01", public_tokenizers.path("word_bpe_49k.json")
@@ -80,6 +81,15 @@ def test_tokens_equal_the_library():
         assert own(text).tolist() == codec.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_are_encoded_together(monkeypatch):
+    codec, own = Tokenizer.from_file(VOCABULARY), Tokens(VOCABULARY)
+    assert all(letter + WORD_END in codec.get_vocab() for letter in ByteLevel.alphabet())  # every word has a piece that ends it
+    texts = [prose(random.Random(k), 40) + f" zyx{k}qé 's ${k}&" for k in range(30)]
+    want = [codec.encode(text, add_special_tokens=False).ids for text in texts]
+    monkeypatch.setattr(own, "codec", None)  # the whole codec, slow on single words, is for other texts
+    assert [ids.tolist() for ids in own.many(texts)] == want == [ids.tolist() for ids in own.many(texts)]
+
+
 def test_packing_round_trip(docs, no_docs):
     codec = Tokenizer.from_file(VOCABULARY)
     want = defaultdict(list)
