@@ -27,19 +27,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables of ``stored`` that nothing reads any more.
-
-    Files of the shuffles behind them go when the driver's collector finds that
-    nothing refers to these; a job of many rounds has it look here.
-    """
+    """Delete tables of ``stored`` that nothing reads any more, and the files of the shuffles behind them."""
     for df in tables:
         jvm = df.sparkSession._jvm
         for file in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(file)
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
     if tables:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+        drop_shuffles(tables[0].sparkSession)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Files of shuffles go when the driver's collector finds that nothing refers to them; a job of many rounds has it look here."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 #: Rows of an Arrow batch where a row holds a whole text or set. A task holds some batches at once, on both sides of its pipe.

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import stored
+from storyloom.llm.common import drop, drop_shuffles, stored
 from storyloom.llm.rolling import U, mix, prefix_sums, span_hash
 
 LENGTH, GRAM = 200, 48
@@ -231,17 +231,23 @@ def repeated_starts(own: DataFrame) -> DataFrame:
     grams = stored(pieces(own).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "suffix-grams")
     held = context.broadcast(_bitmap(grams, "gram"))
     met = stored(pieces(own, held).join(grams, "gram"), "suffix-pieces")
+    drop(grams)
     counted = stored(met.groupBy("gram", "piece").agg(F.count("*").alias("n"), F.min("spot").alias("spot")), "suffix-names")
-    whole = stored(counted.where("n > 1").select("gram", "piece"), "suffix-whole")
-    settled = met.join(whole, ["gram", "piece"], "left_semi").select("text_key", "low", "high")
+    whole = counted.where("n > 1").select("gram", "piece")
+    settled = stored(met.join(whole, ["gram", "piece"], "left_semi").select("text_key", "low", "high"), "suffix-settled")
+    drop(met)
     # A gram met before different pieces: the single ones, and one occurrence of each other, are compared further.
     several = stored(counted.groupBy("gram").agg(F.count("*").alias("pieces")).where("pieces > 1").select("gram"), "suffix-several")
     spots = context.broadcast(_bitmap(counted.join(several, "gram", "left_semi"), "spot"))
     single = context.broadcast(_bitmap(counted.where("n = 1"), "piece"))
+    drop(counted, several)
     repeated = cores(own, spots).groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
     rest = stored(prefixes(own, spots, context.broadcast(_bitmap(repeated, "core")), single), "suffix-prefixes")
     equal = stored(rest.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix"), "suffix-equal")
-    late = rest.where("open").join(equal, "prefix", "left_semi").select("text_key", F.col("at").alias("low"), F.col("at").alias("high"))
+    # What was shuffled to count prefixes goes before they are shuffled again.
+    drop_shuffles(own.sparkSession)
+    late = stored(rest.where("open").join(equal, "prefix", "left_semi").select("text_key", F.col("at").alias("low"), F.col("at").alias("high")), "suffix-late")
+    drop(rest, equal)
     return settled.union(late)
 
 
@@ -249,8 +255,10 @@ def removed(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text``, ``cuts`` per row of ``docs``: cuts are the removed byte ranges (start, stop), in order and apart."""
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     # Starts of one text meet once, however many rows hold that text.
-    runs = repeated_starts(own.select("text_key", "text")).groupBy("text_key").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
+    starts = repeated_starts(own.select("text_key", "text"))
+    runs = starts.groupBy("text_key").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
     runs = stored(runs.withColumnRenamed("text_key", "_key"), "suffix-runs")
+    drop(starts)
     return own.join(runs, F.col("text_key") == F.col("_key"), "left").select("doc_id", "text", "runs")
 
 

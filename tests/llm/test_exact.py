@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from storyloom.llm import jaccard, lines, secrets, suffixes, warc
+from storyloom.session import checkpoint_folder
 from tests.llm.conftest import ordered
 
 
@@ -210,6 +212,13 @@ def test_sketches_never_say_too_much():
     assert jaccard._apart(b"", jaccard._sketch(one)) == 0
 
 
+def test_suffix_tables_go_when_read(spark, docs):
+    folder = checkpoint_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    suffixes.report(docs).collect()
+    assert {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before if name.startswith("suffix-")} == {"suffix-runs"}
+
+
 def test_jaccard_moves_few_rows_at_a_time(spark, docs, monkeypatch):
     name, seen, levels = "spark.sql.execution.arrow.maxRecordsPerBatch", [], jaccard.rarity_levels
     monkeypatch.setattr(jaccard, "rarity_levels", lambda *given: (seen.append(int(spark.conf.get(name, "10000"))), levels(*given))[1])
