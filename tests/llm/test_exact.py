@@ -11,7 +11,7 @@ import numpy as np
 
 from storyloom.llm import jaccard, lines, secrets, suffixes, warc
 from storyloom.session import checkpoint_folder
-from tests.llm.conftest import ordered
+from tests.llm.conftest import ordered, prose
 
 
 def pairs(docs):
@@ -103,6 +103,28 @@ def test_line_removal(docs, no_docs):
     assert all(r.n_chars == len(r.text) for r in by_id.values() if r.text is not None)
 
 
+def test_long_lines_are_told_apart_by_marks(spark, monkeypatch):
+    """Long lines that share a passage only are not compared as whole sets; what reads nothing any more is deleted."""
+    rng = random.Random(5)
+    passage = prose(rng, 30)
+    texts = [f"{prose(rng, 200)} {passage}" for _ in range(40)]
+    # Near copies: one word changed, and lengths on both sides of the one that marks go by.
+    for k in (3, 17):
+        words = texts[k].split(" ")
+        words[90] = "changed"
+        texts.append(" ".join(words))
+    whole = prose(rng, lines.SHORT + 9)
+    texts += [whole, whole.rsplit(" ", 7)[0]]
+    met, verified = [], lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *more: met.append(pairs.count()) or verified(pairs, *more))
+    folder = checkpoint_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert ordered(lines.report(rows).collect()) == [(40, 0), (41, 0), (43, 0)]
+    assert sum(met) < 20
+    assert {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before if name.startswith("line-")} == {"line-gone"}
+
+
 def found(text):
     """Base spans, by the standard library."""
     text, out = text or "", []
