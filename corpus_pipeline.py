@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from storyloom.llm import decontamination, jaccard, lines, packing, quality
-from storyloom.llm.common import set_small_batches, stored, table
+from storyloom.llm.common import drop, set_small_batches, stored, table
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written and read back as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each stage's result is written and read back as the next one's input, and deleted once that is written."""
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(*read)
+        read = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

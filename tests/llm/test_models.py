@@ -1,6 +1,7 @@
 """Operators that learn, pack or sign: held-out accuracy, round trips, defined edge cases."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -17,6 +18,7 @@ from storyloom.llm import decontamination, fingerprints, jaccard, lines, packing
 from storyloom.llm.common import bounded_sample, unused
 from storyloom.llm.plans import QUERIES
 from storyloom.llm.tokens import WORD_END, Tokens
+from storyloom.session import checkpoint_folder
 from tests.llm.conftest import prose
 
 SF, VOCABULARY = "/root/testdata/sf0.01", public_tokenizers.path("word_bpe_49k.json")
@@ -236,6 +238,17 @@ def test_pipeline_equals_its_stages(spark):
     assert count(corpus_pipeline.run(spark, sf)) == count(last)
 
 
+def test_pipeline_deletes_what_the_next_stage_has_read(spark, monkeypatch):
+    folder = checkpoint_folder(spark).removeprefix("file:")
+    held = lambda: {name.rsplit("-", 1)[0] for name in os.listdir(folder) if name.startswith("stage-try")}
+    seen = []
+    stage = lambda spark, docs, sf: (seen.append(held()), docs.where(f"doc_id > {len(seen)}"))[1]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(f"try_{k}", stage) for k in range(4)])
+    sf = "/root/testdata/sf0.001"
+    assert corpus_pipeline.run(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").where("doc_id > 4").count() > 0
+    assert seen == [set(), {"stage-try_0"}, {"stage-try_1"}, {"stage-try_2"}]
+
+
 def test_pipeline_moves_few_texts_at_a_time(spark):
     name, sf = "spark.sql.execution.arrow.maxRecordsPerBatch", "/root/testdata/sf0.001"
     before = spark.conf.get(name, None)
