@@ -1,5 +1,7 @@
 """The distributed forms against plain sequential ones on random input."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -327,3 +329,21 @@ def test_topics_of_one_offer_meet_its_stories_once(spark):
     asking = spark.createDataFrame([(k, f"t{k}", ["a"]) for k in range(300)], "reader long, topic_key string, says array<string>")
     takers, offered = readers.offers(asking, spark.range(200).selectExpr("'a' AS definition", "id AS story_id"))
     assert offered.count() == 1 and readers.taken(takers, offered).count() == 60_000
+
+
+def test_only_many_marks_move_the_rows_of_a_topic(spark, monkeypatch):
+    """New and read are told where a topic's rows are made; rows of topics with many marks alone are joined, with the same results."""
+    rng = random.Random(6)
+    topics = [(r, f"t{r}-{k}", ["a"] if (r + k) % 3 else ["b"]) for r in range(12) for k in range(2)] + [(None, "t", ["a"])]
+    asking = spark.createDataFrame(topics, "reader long, topic_key string, says array<string>")
+    fits = spark.createDataFrame([(d, i, i % 3 == 0) for d in "ab" for i in range(60)], "definition string, story_id long, fresh boolean")
+    rows = [(r, i) for r in range(12) for i in rng.sample(range(60), 30 if r == 5 else r % 4)] * 2 + [(None, 0), (3, None)]
+    seen = spark.createDataFrame(rows, "reader long, story_id long")
+    takers, offered = readers.offers(asking, fits)
+    want = sorted((str(r), t, i, i % 3 == 0 and (r is None or (r, i) not in rows)) for r, t, _ in topics for i in range(60))
+    met, joined = [], readers.is_new
+    monkeypatch.setattr(readers, "is_new", lambda each, marks: met.append(each.count()) or joined(each, marks))
+    for in_place, moved in ((64, 0), (4, 120)):
+        got = readers.new_rows(takers, offered, seen, in_place).select("reader", "topic_key", "story_id", "is_new").collect()
+        assert sorted((str(r.reader), r.topic_key, r.story_id, r.is_new) for r in got) == want
+        assert met.pop() == moved
